@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .binary_ids import op4_binary_ids
+from .packing import op9_best_fit_packing
+from .quality_rules import op2_quality_rules
+from .simhash import op5_simhash_near_dedup
+from .url_filter import OP10_SQL, op10_url_filter
 
-QUERIES = {"op4_binary_ids": op4_binary_ids}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_binary_ids, op5_simhash_near_dedup, op9_best_fit_packing, op10_url_filter)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
