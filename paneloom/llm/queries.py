@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .binary_ids import op4_binary_ids
+from .classifier import op8_quality_classifier
 from .packing import op9_best_fit_packing
 from .quality_rules import op2_quality_rules
+from .sharding import op3_sharding
 from .simhash import op5_simhash_near_dedup
 from .url_filter import OP10_SQL, op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_binary_ids, op5_simhash_near_dedup, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_sharding, op4_binary_ids, op5_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
