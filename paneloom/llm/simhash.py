@@ -253,10 +253,3 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document at 2 or fewer differing bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, words: int = 5, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the least doc_id of each."""
-    found = near_duplicates(docs, words, distance)
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi")
