@@ -30,7 +30,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
 
 def t_p(t: float, df: float) -> float:
     """Two-sided."""
-    return float("nan") if df <= 0 or math.isnan(t) else beta_cdf(df / 2, 0.5, df / (df + t * t))
+    return float("nan") if df <= 0 or math.isnan(t) else float(beta_cdf(df / 2, 0.5, df / (df + t * t)))
 
 
 def f_p(f: float, df1: float, df2: float) -> float:
