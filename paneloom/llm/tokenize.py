@@ -25,7 +25,7 @@ class Encoder:
     most: units kept; the cache starts anew beyond it, so memory is bounded. Longer units than ``longest`` aren't kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, spaced: bool, most: int = 450_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
