@@ -125,9 +125,6 @@ def judged(features: DataFrame, cuts: DataFrame, few: int = 10_000) -> DataFrame
     return met.select("f.*", (~F.col("f.base_failed") & ~any_hit).alias("kept"))
 
 
-STRATUM = F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
-
-
 def keep_by_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
     inner = [F.col(c) for c in docs.columns]
@@ -139,6 +136,6 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base check and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    features = staged(flat(counted(docs).withColumn("stratum", STRATUM), "doc_id", "stratum"), "rules")
+    features = staged(flat(counted(docs).withColumn("stratum", F.coalesce("lang", F.lit(""))), "doc_id", "stratum"), "rules")
     found = judged(features, certified(features, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
