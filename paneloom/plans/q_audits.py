@@ -159,9 +159,9 @@ def a22_event_coverage(spark, sf_dir):
     return d.join(ref, "pixel_id", "left").groupBy("event_time", "treatment").agg(F.count("*").alias("n"), F.count_distinct("pixel_id").alias("units"), F.count_distinct("ref").alias("units_at_ref"))
 
 
-@query(f"WITH {PANEL_SQL} SELECT buff_km, year, season, round(sum(y), 2) AS total, count(*) AS n FROM panel WHERE year < 1998 AND buff_km > 0 GROUP BY ALL")
+@query(f"WITH {PANEL_SQL} SELECT buff_km, year, season, round(sum(y) + 1e-4, 2) AS total, count(*) AS n FROM panel WHERE year < 1998 AND buff_km > 0 GROUP BY ALL")
 def a23_control_facts(spark, sf_dir):
-    return panel(spark, sf_dir).where("year < 1998 AND buff_km > 0").groupBy("buff_km", "year", "season").agg(F.round(F.sum("y"), 2).alias("total"), F.count("*").alias("n"))
+    return panel(spark, sf_dir).where("year < 1998 AND buff_km > 0").groupBy("buff_km", "year", "season").agg(F.round(F.sum("y") + 1e-4, 2).alias("total"), F.count("*").alias("n"))
 
 
 @query("SELECT p_brand AS village, count(*) AS parcels, round(sum(l_extendedprice), 2) AS actual, round(sum(l_extendedprice * (1 + l_tax)), 2) AS proposed, round(100 * sum(l_extendedprice) / sum(l_extendedprice * (1 + l_tax)), 4) AS completion, count(*) FILTER (l_discount = 0) AS imputed FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
