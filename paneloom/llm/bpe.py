@@ -185,7 +185,7 @@ def word_batches(docs: DataFrame, pattern: str, batch_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, BATCH)
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_chars: int = 24_000_000, longest: int = 200) -> DataFrame:
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_chars: int = 5_000_000, longest: int = 200) -> DataFrame:
     """Each batch row with ids and decoded bytes of its distinct words (null for words longer than ``longest``)."""
     vocabulary = Vocabulary(ranks)
     short = F.transform("words", lambda w: F.when(F.octet_length(w) <= longest, vocabulary.fold(w)))
