@@ -1,0 +1,488 @@
+"""The text operators against brute force, exact round trips and held-out labels, with odd rows."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import json
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from paneloom.llm import binary_ids, bpe, chunking, classifier, html_text, near_copies, packing, quality_rules, sharding, simhash, url_filter
+from paneloom.llm.common import stage_path, staged
+from paneloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts_of(docs):
+    return collections.Counter((r.doc_id, r.text) for r in docs.collect())
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_chunks_rebuild_payloads(spark, odd_docs):
+    cutter = chunking.Cutter()
+    recipe = staged(chunking.recipes(odd_docs, cutter), "r")
+    path = chunking.store(odd_docs, recipe, stage_path(spark, "c"), cutter)
+    found = recipe.join(chunking.rebuilt(spark, path).mapInArrow(chunking._opened, chunking.READ).dropDuplicates(["payload"]), "payload").collect()
+    assert len(found) == odd_docs.count()
+    want = collections.Counter()
+    for (key, text), n in texts_of(odd_docs).items():
+        size, payload = chunking.padded(text)
+        assert len(payload) % 576 == 0 and len(payload) >= 576
+        want[key, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])] += n
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in found) == want
+
+
+def test_cuts_follow_content():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 200_000, np.uint8).tobytes()
+    cutter = chunking.Cutter()
+    digests = lambda x: [hashlib.sha256(x[a:b]).digest() for a, b in cutter.chunks(x)]
+    a, b = digests(data), digests(data[:100_000] + b"an insertion" + data[100_000:])
+    assert len(set(a) & set(b)) >= len(a) - 4
+    gears, h = cutter.gears.astype(np.uint64), chunking.rolling(np.frombuffer(data[:500], np.uint8), cutter.gears)
+    for i in (31, 200, 499):
+        assert int(h[i]) == sum(int(gears[data[i - k]]) << k for k in range(32)) % (1 << 32)
+
+
+def test_shared_chunks_are_stored_once(spark, frame):
+    base = " ".join(f"w{i * i % 7919}" for i in range(4000))
+    docs = frame([(1, base), (2, base + " tail"), (3, "head " + base)], "doc_id long, text string")
+    cutter = chunking.Cutter()
+    recipe = staged(chunking.recipes(docs, cutter), "r")
+    path = chunking.store(docs, recipe, stage_path(spark, "c"), cutter)
+    kept = spark.read.parquet(path).select(F.explode("frames")).count()
+    assert kept == recipe.select(F.explode("chunks")).distinct().count() < recipe.select(F.explode("chunks")).count()
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def counts(text):
+    w = WORD.findall(text or "")
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    seen, covered = collections.Counter(windows), set()
+    for i, x in enumerate(windows):
+        if seen[x] > 1:
+            covered.update(range(i, i + 8))
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rule_counts(odd_docs):
+    found = quality_rules.flat(quality_rules.counted(odd_docs), "doc_id", "text").collect()
+    assert len(found) == odd_docs.count()
+    for r in found:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+
+
+def test_rule_counts_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for r in quality_rules.flat(quality_rules.counted(docs), "doc_id", "text").collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)
+
+
+def test_binomial_tail(spark, frame):
+    cases = [(50, 0), (500, 3), (5000, 20), (5000, 90), (100, 99)]
+    rows = frame(cases, "n long, k long").select("n", "k", quality_rules.tail_probability(F.col("n"), F.col("k"), 0.01).alias("p")).collect()
+    for r in rows:
+        exact = sum(math.comb(r.n, j) * 0.01**j * 0.99 ** (r.n - j) for j in range(r.k + 1)) if r.k < r.n * 0.01 else 1.0
+        assert abs(r.p - exact) < 1e-9
+
+
+def test_certified_cutoffs_keep_good_documents(spark, frame):
+    rows = [(i, "s", 100, 500, 200 if i % 5 == 0 else 0, 0, 5, 0, False) for i in range(20_000)]
+    features = frame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean")
+    labels = frame([(i, 0 if i % 5 == 0 else 1) for i in range(20_000)], "doc_id long, quality int")
+    cuts = quality_rules.certified(features, labels)
+    found = {r.rule: r for r in cuts.collect()}
+    assert found["symbol_share"].n_bad_hit == 4000 and found["symbol_share"].k_good == 0 and found["symbol_share"].p_value < 0.05 / 4
+    kept = quality_rules.judged(features, cuts).groupBy("kept").count().collect()
+    assert {r.kept: r["count"] for r in kept} == {True: 16_000, False: 4_000}
+    few = quality_rules.certified(features, labels.where("doc_id < 100"))
+    assert few.count() == 0  # nothing is certain on so few
+
+
+def test_rules_on_empty_tables(spark, no_docs, frame):
+    assert quality_rules.keep_by_rules(no_docs, frame([], "doc_id long, quality int")).count() == 0
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_shards_are_exact(spark, odd_docs):
+    rows = odd_docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("c"))
+    got = sharding.shuffled(rows.union(spark.range(5000).select(F.col("id"), F.lit(1).cast("long"))), ["doc_id", "c"]).toPandas()
+    sizes = got.groupby("shard").slot.agg(["count", "min", "max", "nunique"])
+    assert sizes["count"].max() - sizes["count"].min() <= 1 and len(sizes) == 16
+    assert (sizes["count"] == sizes["nunique"]).all() and (sizes["max"] == sizes["count"] - 1).all() and (sizes["min"] == 0).all()
+    assert len(got) == odd_docs.count() + 5000
+
+
+def test_hypergeometric_law(spark):
+    n = 20_000
+    k = spark.range(n).select(sharding.hypergeometric(F.lit(30), F.lit(50), F.lit(120), (F.col("id") + 0.5) / n).alias("k")).groupBy("k").count().collect()
+    found = {r.k: r["count"] for r in k}
+    for j in range(31):
+        assert abs(found.get(j, 0) - n * math.comb(50, j) * math.comb(70, 30 - j) / math.comb(120, 30)) <= 1.5
+
+
+def test_shuffle_looks_uniform(spark):
+    got = sharding.shuffled(spark.range(16_000).withColumnRenamed("id", "doc_id"), ["doc_id"]).toPandas()
+    low = got[got.doc_id < 1600].groupby("shard").size()
+    assert abs(low - 100).max() < 45
+    assert abs(np.corrcoef(got.doc_id, got.slot)[0, 1]) < 0.04
+
+
+def test_no_rows_no_shards(spark):
+    assert sharding.shuffled(spark.range(0).withColumnRenamed("id", "doc_id"), ["doc_id"]).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_id_files(spark, odd_docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    path, encode = stage_path(spark, "ids"), binary_ids._ByteLevel(P.path("byte_bpe_50k.json"))
+    docs = odd_docs.where("doc_id IS NULL OR doc_id != 8")
+    binary_ids.write_ids(docs, path, encode, binary_ids.train_dictionary(docs, encode), end_id=2)
+    ids = {text: [*tok.encode(text or "", add_special_tokens=False).ids, 2] for (_, text) in texts_of(docs)}
+    back = binary_ids.read_ids(spark, path).orderBy("start").collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in back) == collections.Counter((k, tuple(ids[t])) for (k, t), n in texts_of(docs).items() for _ in range(n))
+    keys = [-1 if r.doc_id is None else r.doc_id for r in back]
+    assert keys == sorted(keys)
+    assert [r.start for r in back] == [sum(len(x.ids) for x in back[:i]) for i in range(len(back))]
+    one = binary_ids.read_document(spark, path, 6).collect()
+    assert [r.ids for r in one] == [r.ids for r in back if r.doc_id == 6]
+    assert collections.Counter(r.ids_crc32 for r in binary_ids.read_checksums(spark, path).collect()) == collections.Counter(zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in back)
+
+
+def test_id_files_use_a_dictionary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    encode = binary_ids._ByteLevel(P.path("byte_bpe_50k.json"))
+    assert len(binary_ids.train_dictionary(docs, encode)) > 1000
+
+
+def test_empty_id_file(spark, no_docs):
+    path = stage_path(spark, "ids")
+    binary_ids.write_ids(no_docs, path, binary_ids._ByteLevel(P.path("byte_bpe_50k.json")), b"", end_id=2)
+    assert binary_ids.read_ids(spark, path).count() == 0
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(fps, distance=2):
+    root = {f: f for f in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = list(fps)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= distance:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    groups = collections.defaultdict(set)
+    for f in fps:
+        groups[top(f)].add(f)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("crowd", [1, 50])
+@pytest.mark.parametrize("sizes", [(2,), (3,), (4,)])
+def test_links_find_every_component(spark, frame, crowd, sizes):
+    rng = np.random.default_rng(4)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(40):
+        f = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+        for _ in range(int(rng.integers(1, 9))):
+            fps.add(f)
+            for b in rng.integers(0, 64, int(rng.integers(1, 4))):
+                f ^= 1 << int(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = frame([(signed(f),) for f in fps], "fp long")
+    label = {r.node: r.label for r in simhash.components(simhash.links(nodes, 2, crowd, sizes)).collect()}
+    groups = collections.defaultdict(set)
+    for f in fps:
+        groups[label.get(signed(f), signed(f))].add(f)
+    assert {frozenset(g) for g in groups.values()} == brute_components(fps)
+
+
+def test_fingerprint_votes():
+    import xxhash
+
+    words = "the quick Brown fox jumps over the quick brown fox jumps".split()
+    low = [w.lower() for w in words]
+    h = [xxhash.xxh64_intdigest(" ".join(low[i : i + 3]).encode(), 42) for i in range(len(low) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(" \t".join(words)) == want
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n ") == 0
+    assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
+    assert simhash.fingerprint("\u00c9 x\u00a0y z") == xxhash.xxh64_intdigest("\u00c9 x\u00a0y z".encode(), 42)  # only A-Z is lowered, only ASCII space splits
+
+
+def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
+    rows = simhash.near_duplicates(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    by = {r.doc_id: r.component_id for r in rows}
+    assert by[1] == by[2] == 1 and by[3] == by[4] == 3 and by[None] is None
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_allocation_sums_and_costs():
+    parts = [list(range(0, 20)), list(range(20, 40)), list(range(40, 64))]
+    cost, chosen = simhash.allocate(1000, parts, [5000.0, 2000.0, 1000.0], 3)
+    assert sum(chosen) == 3 - 3 + 1 and cost > 0
+    import itertools
+
+    best = min(sum(simhash._around(len(p), t) * (2000 + s) for p, t, s in zip(parts, ts, [5000, 2000, 1000], strict=True) if t >= 0) for ts in itertools.product(range(-1, 4), repeat=3) if sum(ts) == 1)
+    assert cost == best
+
+
+def test_near_copies_are_found(frame):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows, wrong = [], 0
+    for g in range(60):
+        base = list(rng.choice(words, 300))
+        rows.append((10 * g, " ".join(base)))
+        for c in range(1, 4):
+            copy = list(base)
+            for i in rng.choice(300, 4, replace=False):
+                copy[i] = "changed"
+            rows.append((10 * g + c, " ".join(copy)))
+    rows += [(9001, None), (9002, ""), (None, "x"), (9003, " ".join(rng.choice(words, 300)))]
+    kept = {r.doc_id for r in near_copies.keep_one_of_each(frame(rows, "doc_id long, text string")).collect()}
+    assert {10 * g for g in range(60)} <= kept and {9001, 9003, None} <= kept and 9002 not in kept
+    wrong = len([k for k in kept if k is not None and k < 9000 and k % 10])
+    assert wrong == 0
+
+
+def test_crowded_buckets(frame):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[: i + 3], f"x{i}", *base[i + 4 :]])) for i in range(120)]
+    assert near_copies.keep_one_of_each(frame(rows, "doc_id long, text string")).count() == 1
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_is_tiktokens(spark, frame):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = ["", None, "  ", "a  b", " a ", "don't  x\n\n  y\t z ", "\x1c a \x1f\x1e b", "<|endoftext|> hi", "\u03bf\u0394\u039f\u03a3 \u03a3", "a\r\n b\x85 c", "\u65e5\u672c\u8a9e \u30c6", "\u00bd \uff11 12 3", "a" * 3000 + " " + "xyz" * 200, "\U0001f642\U0001f44d\U0001f3fd ok \u00a0 x \u200b"]
+    docs = frame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = bpe.digests(bpe.encoded(docs, ranks, P.PATTERN), ranks).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = own.encode_ordinary(rows[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_long_words_merge_alike():
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for word in ("abcabcabd" * 30, "x", "the" * 70, "\u00e9t\u00e9" * 50):
+        assert bpe.merge_long(word.encode(), ranks) == own.encode_ordinary(word)
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_articles_of_pages(spark):
+    import html as h
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", z)).split()) for z in re.split(r"</?(?:p|h1|br)>", inner)]
+        assert html_text.extract(r.html) == "\n".join(z for z in want if z)
+
+
+def test_odd_pages(spark, frame):
+    for page in (None, "", "   ", "<script>x", "<!-- only"):
+        assert html_text.extract(page) == ""
+    page = "<body><div class='site-menu'><a href=x>a</a></div><div id=c><section><p>Hello &amp; <i>wor</i>ld, long enough text</p><p>two\n two</p></section><section><p>three three</p></section></div><form>q</form><div class=comments><p>reader words</div><footer>f</footer>"
+    assert html_text.extract(page) == "Hello & world, long enough text\ntwo two\nthree three"
+    deep = "<div>" * 5000 + "text" + "</div>" * 5000
+    assert html_text.extract(deep) == "text"
+    rows = html_text.with_text(frame([(1, "u", None, "clash"), (1, "u", None, "clash"), (None, None, "<p>x</p>", "y")], "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.text, r.n_chars) for r in rows) == [("", 0), ("", 0), ("x", 1)]
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_trees_learn_and_flatten():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    model = classifier.fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    row, at = x[2500], 0
+    raw = model.base
+    for t in range(len(model.feature)):
+        at = 0
+        while at < model.feature.shape[1]:
+            at = 2 * at + 1 + int(row[model.feature[t, at]] > model.threshold[t, at])
+        raw += model.leaf[t, at - model.feature.shape[1]]
+    assert abs(1 / (1 + math.exp(-raw)) - model.score(row[None])[0]) < 1e-12
+    assert classifier.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+    assert classifier.fit(x[:50], np.ones(50)).score(x[:1])[0] > 0.9
+
+
+def test_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert ((got.score >= 0.3) == (got.quality == 1)).mean() > 0.95
+    assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
+
+
+def test_scores_of_odd_rows(spark, odd_docs, no_docs, frame):
+    labels = frame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    stats = staged(classifier.with_statistics(odd_docs), "s")
+    rows = classifier.scored(stats, classifier.trained(stats, labels)).collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert classifier.keep_by_classifier(no_docs, labels).count() == 0
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def check_packing(rows, capacity):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing_of_odd_rows(odd_docs, no_docs):
+    rows = packing.pack_documents(odd_docs.where("doc_id IS NULL OR doc_id != 8"), P.path("word_bpe_49k.json")).collect()
+    check_packing(rows, 4096)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    docs = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    for r in rows:
+        ids = np.array([*tok.encode(docs[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        part = ids[r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
+        assert r.length == 4096 or r.start + r.length == len(ids)
+    assert packing.pack_documents(no_docs, P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_best_fit_is_the_tightest_bin():
+    rng = np.random.default_rng(7)
+    fast, free, closed = packing.BestFit(100, 8), [], 0
+    for length in rng.integers(1, 101, 5000).tolist():
+        fits = [s for s in free if s >= length]
+        if fits:
+            space = min(fits)
+            free.remove(space)
+        else:
+            space = 100
+            if len(free) == 8:
+                free.remove(min(free))  # the fullest closes
+                closed += 1
+        assert fast.place(length)[1] == 100 - space
+        if space > length:
+            free.append(space - length)
+        assert fast.count == len(free)
+    assert closed > 10
+
+
+def test_packing_is_tight(spark):
+    rows = QUERIES["op9_best_fit_packing"](spark, "/root/testdata/sf0.01").collect()
+    assert check_packing(rows, 4096) <= 1.03 * sum(r.length for r in rows) / 4096 + 1
+
+
+# 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def brute_rule(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[3], best[4] if best else "allow"
+
+
+def test_urls(spark, frame):
+    urls = [None, "", "no scheme", "http://", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "https://a.www.example.com/en/q", "ftp://x.net/es/", "ftp://x.net/esx", "http://net/fr/1", "http://com", "http://com/", "http://bexample.com/en/", "x://a.net?/es/", "http://a.net/es/" + "l" * 100_000, "http://a..net/fr/#"]
+    rows = frame([(i, u, "clash") for i, u in enumerate(urls)] + [(4, urls[4], "clash")], "page_id long, url string, rule string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = url_filter.filter_urls(rows, rules).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == brute_rule(r.url, url_filter.RULES)
+    assert {r.verdict for r in url_filter.filter_urls(rows, rules.limit(0)).collect()} == {"allow"}
+    assert url_filter.filter_urls(rows.limit(0), rules).count() == 0
+
+
+def test_urls_as_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = con.sql(ORACLE_SQL["op10_url_filter"]).df().sort_values("page_id").reset_index(drop=True)
+    got = QUERIES["op10_url_filter"](spark, SF).toPandas().sort_values("page_id").reset_index(drop=True)
+    assert got.fillna("-").equals(want[got.columns].fillna("-"))
+
+
+# all -------------------------------------------------------------------------------------------------------------------
+
+COLUMNS = {
+    "op1": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op2": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op3": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id start n_tokens ids_crc32", "op5": "doc_id fingerprint component_id", "op6": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op7": "page_id url text n_chars", "op8": "doc_id held_out score predicted", "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "page_id host path rule verdict",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_document_has_its_columns(spark, name):
+    got = QUERIES[name](spark, SF)
+    assert set(COLUMNS[name.split("_")[0]].split()) <= set(got.columns)
+    key, source = ("page_id", "pages") if "page_id" in got.columns else ("doc_id", "documents")
+    assert got.select(key).distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_ranks_file():
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    assert len(ranks) == 50_256 and ranks[base64.b64decode(base64.b64encode(b"a"))] < 256
+    assert json.dumps(len(ranks))
