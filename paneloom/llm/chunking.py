@@ -2,8 +2,9 @@
 
 A payload is cut where a rolling gear hash of the last 32 bytes has its mask bits zero, between a least and a greatest
 chunk length, so an inserted passage moves the cuts near it alone. The stored form of a chunk is one zstandard frame of
-its 8-bit samples; the stored form of a payload is its chunks' frames in order, which any zstandard reader opens as one
-stream. The store is made by joins on digests:
+its 8-bit samples; the stored form of a payload is its chunks' frames in order, which a zstandard reader opens as one
+stream. Frames share a dictionary that is kept beside the store, fitted on a bounded sample of chunks. The store is made
+by joins on digests:
 
 1. Each row gives its payload's digest and the ordered list of its chunks' digests (no bytes move).
 2. Each chunk digest has one owner: the payload that has it with the least (digest, row key). Each payload is kept by
@@ -66,7 +67,7 @@ def cuts(data: np.ndarray, hashes: np.ndarray, bits: int, least: int, most: int)
 class Cutter:
     """chunks(payload) gives its (start, end) pairs."""
 
-    def __init__(self, bits: int = 11, least: int = 512, most: int = 16_384, seed: int = 1):
+    def __init__(self, bits: int = 12, least: int = 1024, most: int = 32_768, seed: int = 1):
         if least < WINDOW:
             raise ValueError("the least chunk holds a whole window")
         self.bits, self.least, self.most, self.gears = bits, least, most, gear_table(seed)
@@ -106,23 +107,48 @@ def recipes(docs: DataFrame, cutter: Cutter, unit: int = 576) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, RECIPE)
 
 
+def train_dictionary(docs: DataFrame, cutter: Cutter, unit: int = 576, size: int = 64_000, sample: int = 800) -> bytes:
+    """A dictionary from the first chunks of about ``sample`` documents, those whose key hashes lowest; empty for a few."""
+    import zstandard
+
+    buckets = max(1, docs.count() // sample)
+
+    def of(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for x in batch.column("text"):
+                _, payload = padded(x.as_py(), unit)
+                yield pa.RecordBatch.from_pydict({"chunk": [payload[a:b] for a, b in cutter.chunks(payload)[:4]]}, pa.schema({"chunk": pa.binary()}))
+
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)) == 0).select("text")
+    chunks = [bytes(r.chunk) for r in picked.mapInArrow(of, "chunk binary").limit(4 * sample).collect()]
+    if len(chunks) < 16:
+        return b""
+    try:
+        return zstandard.train_dictionary(max(1024, min(size, sum(map(len, chunks)) // 8)), chunks).as_bytes()
+    except zstandard.ZstdError:  # too uniform to have anything worth keeping
+        return b""
+
+
 STORE = "payload binary, chunks array<binary>, lengths array<int>, own array<int>, lent array<int>, frames array<binary>"
 
 
-def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, unit: int = 576, level: int = 3) -> str:
+def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, trained: bytes = b"", unit: int = 576, level: int = 9) -> str:
     """Writes each distinct payload once: its ordered chunk list, and the frames of the chunks that it owns."""
     keepers = recipe.groupBy("payload").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))).alias("k"), F.min("chunks").alias("chunks")).select("payload", "k.key", "chunks")
-    keepers = staged(keepers, "keepers")
-    parts = keepers.select("payload", "key", F.posexplode("chunks").alias("i", "digest"))
-    owners = parts.groupBy("digest").agg(F.min(F.struct("payload", "key", "i")).alias("o"), F.count("*").alias("uses"))
-    owned = owners.groupBy("o.payload", "o.key").agg(F.sort_array(F.collect_list("o.i")).alias("own"), F.sort_array(F.collect_list(F.when(F.col("uses") > 1, F.col("o.i")))).alias("lent"))
+    keepers = staged(keepers.withColumn("pid", F.xxhash64("payload")), "keepers")  # pid and key name a kept payload in short
+    parts = keepers.select("pid", "key", F.posexplode("chunks").alias("i", "digest"))
+    owners = parts.groupBy("digest").agg(F.min(F.struct("pid", "key", "i")).alias("o"), F.count("*").alias("uses"))
+    owned = owners.groupBy("o.pid", "o.key").agg(F.sort_array(F.collect_list("o.i")).alias("own"), F.sort_array(F.collect_list(F.when(F.col("uses") > 1, F.col("o.i")))).alias("lent"))
     none = F.array().cast("array<int>")
-    wanted = keepers.join(owned, ["payload", "key"], "left").select("payload", "key", F.coalesce("own", none).alias("own"), F.coalesce("lent", none).alias("lent"))
+    wanted = keepers.join(owned, ["pid", "key"], "left").select("payload", "key", F.coalesce("own", none).alias("own"), F.coalesce("lent", none).alias("lent"))
 
     def framed(batches: Iterator[pa.RecordBatch]):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False)
+        shared = zstandard.ZstdCompressionDict(trained) if trained else None
+        if shared:
+            shared.precompute_compress(level=level)
+        pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True, write_checksum=False)
         for batch in batches:
             digests, keys, lists, lengths, frames = [], [], [], [], []
             for key, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -138,6 +164,7 @@ def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, unit: i
     own = F.transform("own", lambda i: F.get("frames", i))
     kept = rows.join(wanted, ["payload", "key"]).select("payload", "chunks", "lengths", "own", "lent", own.alias("frames"))
     kept.write.option("compression", "none").parquet(path)  # frames are compressed already
+    docs.sparkSession.createDataFrame([(trained,)], "bytes binary").coalesce(1).write.parquet(f"{path}.dictionary")
     return path
 
 
@@ -153,21 +180,27 @@ def feature(payload: np.ndarray) -> str:
 READ = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _opened(batches: Iterator[pa.RecordBatch]):
-    import zstandard
+def opened(spark: SparkSession, path: str):
+    """A task that opens rebuilt payloads of a store, checks and describes them."""
+    trained = bytes(spark.read.parquet(f"{path}.dictionary").first().bytes)
+
+    def of(batches: Iterator[pa.RecordBatch]):
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        for batch in batches:
+            out = []
+            for digest, frames in zip(batch.column("payload").to_pylist(), batch.column("frames").to_pylist(), strict=True):
+                media = b"".join(frames)
+                payload = b"".join(map(open_.decompress, frames))
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError(f"the chunks of payload {digest.hex()} don't give its digest")
+                out.append((digest, len(payload), digest.hex(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
+            types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            names = ["payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, types, strict=True)], names)
 
-    open_ = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for digest, frames in zip(batch.column("payload").to_pylist(), batch.column("frames").to_pylist(), strict=True):
-            media = b"".join(frames)
-            payload = b"".join(map(open_.decompress, frames))
-            if hashlib.sha256(payload).digest() != digest:
-                raise ValueError(f"the chunks of payload {digest.hex()} don't give its digest")
-            out.append((digest, len(payload), digest.hex(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
-        types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, types, strict=True)], names)
+    return of
 
 
 def rebuilt(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +221,7 @@ def op1_chunked_media(spark: SparkSession, sf_dir: str, path: str | None = None)
     """Every document's payload stored in chunks, read back, verified and described."""
     docs, cutter = table(spark, sf_dir, "documents").select("doc_id", "text"), Cutter()
     recipe = staged(recipes(docs, cutter), "recipes")
-    path = store(docs, recipe, path or stage_path(spark, "chunks"), cutter)
-    read = staged(rebuilt(spark, path).mapInArrow(_opened, READ).dropDuplicates(["payload"]), "media")
+    path = store(docs, recipe, path or stage_path(spark, "chunks"), cutter, train_dictionary(docs, cutter))
+    read = staged(rebuilt(spark, path).mapInArrow(opened(spark, path), READ).dropDuplicates(["payload"]), "media")
     found = recipe.select("doc_id", "n_bytes", "payload", F.size("chunks").alias("n_chunks")).join(read, "payload")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")

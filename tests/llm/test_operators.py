@@ -32,8 +32,8 @@ def texts_of(docs):
 def test_chunks_rebuild_payloads(spark, odd_docs):
     cutter = chunking.Cutter()
     recipe = staged(chunking.recipes(odd_docs, cutter), "r")
-    path = chunking.store(odd_docs, recipe, stage_path(spark, "c"), cutter)
-    found = recipe.join(chunking.rebuilt(spark, path).mapInArrow(chunking._opened, chunking.READ).dropDuplicates(["payload"]), "payload").collect()
+    path = chunking.store(odd_docs, recipe, stage_path(spark, "c"), cutter, chunking.train_dictionary(odd_docs, cutter))
+    found = recipe.join(chunking.rebuilt(spark, path).mapInArrow(chunking.opened(spark, path), chunking.READ).dropDuplicates(["payload"]), "payload").collect()
     assert len(found) == odd_docs.count()
     want = collections.Counter()
     for (key, text), n in texts_of(odd_docs).items():
