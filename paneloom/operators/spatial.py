@@ -41,22 +41,22 @@ def canonical_map(pairs: DataFrame, rank: DataFrame, staged, rounds: int = 50) -
     """
     both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v")
     edges = staged(both.join(rank.toDF("u", "pu"), "u").join(rank.toDF("v", "pv"), "v"))
-    left, chosen = edges, None
+    left, taken = edges, None
     for _ in range(rounds):
         if left.isEmpty():
             break
-        first = left.groupBy("u", "pu").agg(F.min("pv").alias("best")).where("pu < best").select("u")
-        first = staged(first)
-        chosen = first if chosen is None else chosen.union(first)
-        beside = left.join(first, "u", "left_semi").select(F.col("v").alias("u")).distinct()
-        gone = staged(first.union(beside).distinct())
+        first = staged(left.groupBy("u", "pu").agg(F.min("pv").alias("best")).where("pu < best").select("u"))
+        beside = staged(left.join(first, "u", "left_semi").select(F.col("v").alias("u")).distinct())
+        taken = beside if taken is None else taken.union(beside)
+        gone = first.union(beside)
         left = staged(left.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v", "pu", "pv"))
     else:
         raise RuntimeError("the map did not settle")
-    if chosen is None:
+    if taken is None:
         return both.select(F.col("u").alias("node"), F.col("v").alias("canonical"))
-    mine = edges.join(chosen.withColumnRenamed("u", "v"), "v", "left_semi").groupBy("u").agg(F.min_by("v", "pv").alias("canonical"))
-    return mine.join(chosen, "u", "left_anti").select(F.col("u").alias("node"), "canonical")
+    # who is beside no canonical node is one: also those whose neighbours have all left before their turn
+    theirs = edges.join(taken, "u", "left_semi").join(taken.withColumnRenamed("u", "v"), "v", "left_anti")
+    return theirs.groupBy("u").agg(F.min_by("v", "pv").alias("canonical")).select(F.col("u").alias("node"), "canonical")
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, metres: float, key: str = "key", other_key: str = "other") -> DataFrame:
