@@ -22,17 +22,19 @@ class Encoder:
     add_special_tokens=False and special strings as ordinary text.
 
     spaced: the vocabulary has words with a leading space (byte-level); otherwise it drops white space.
-    most: units kept; the cache starts anew beyond it, so memory is bounded. Longer units than ``longest`` aren't kept.
+    most: units kept in each of two generations, so memory is bounded: when the young one is full it becomes the old one,
+    and units still met move up again. Longer units than ``longest`` aren't kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 450_000, longest: int = 48):
+    def __init__(self, path: str, spaced: bool, most: int = 350_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.spaced, self.most, self.longest = spaced, most, longest
-        self.known: dict[str, bytes] = {"": b""} if not spaced else {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, units: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(units, add_special_tokens=False)
@@ -46,9 +48,15 @@ class Encoder:
         new: set[str] = set()
         for parts in cut:
             new.update(parts[1:] if self.spaced else parts)
+        if not self.spaced:
+            self.known[""] = b""
         todo = [x for x in new if x not in self.known]
         if len(self.known) + len(todo) > self.most:
-            self.known, todo = {} if self.spaced else {"": b""}, list(new if self.spaced else new - {""})
+            self.older, self.known = self.known, {}
+            todo = list(new)
+        if self.older:
+            self.known.update((x, self.older[x]) for x in todo if x in self.older)
+            todo = [x for x in todo if x not in self.known]
         self.known.update(zip(todo, self._encode([" " + x for x in todo] if self.spaced else todo), strict=True))
         get = self.known.__getitem__
         if self.spaced:
