@@ -1,17 +1,15 @@
-"""Near-duplicates by similarity of word shingles: wide SimHash fingerprints, partitions, probe and verify.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: prefix join, exact filters, verification.
 
-Two texts whose shingle sets have Jaccard similarity J have fingerprints that differ in about acos(2J / (1 + J)) / pi of
-their bits: 15 % at J = 0.8. A certain pigeonhole for so many bits would need thousands of probes a text, so the
-fingerprint is wide (1024 bits) and its partitions are many: 56 partitions of 18 bits with threshold 0 are certain up to
-55 differing bits (J above 0.94) and find a pair at J = 0.8 with probability 0.95 (0.994 at 0.85). Candidates are verified
-on all bits; the estimate of J at the cut has a standard error of 0.013. Members of a bucket carry one lane of 64 bits, on
-which a pair must differ in 24 bits or fewer before its fingerprints are fetched: 4.9 standard deviations above what
-J = 0.8 gives, and 30 times fewer pairs than chance brings.
+All shingles have one order. Two sets of similarity t or more share a shingle among the first |x| - ceil(t |x|) + 1 of each,
+so texts that share none of these are never compared, and no pair is missed whatever the number of texts. Any order does;
+frequent shingles, which would make large buckets, come last in it. A pair that shares a shingle must pass three bounds that
+hold for every pair of similarity t: the sizes, the places of the shared shingle in both orders, and the parities (every
+shingle flips one of 1024 bits, so the bits of two sets differ in no more places than the sets do). What is left is
+verified on the sets themselves. Shingles are compared by 64-bit hash.
 
-The partition width follows the number of fingerprints (log2, 14 at least), so that a bucket has about one unrelated
-member however large the corpus. Buckets of more than ``crowd`` members don't make pairs: their members are dealt to
-blocks, and each pair of blocks is compared as bits in one task by matrix products, which gives back a spanning forest of
-the links, not the links. Only members of crowded buckets carry their fingerprints there.
+Buckets of more than ``crowd`` members are first compared with a few of their members; only members that are in different
+components after that make pairs. So as far as connectivity needs all links are found, and the components are those of all
+pairs.
 
 Defined results: a null text is an empty text, and texts without words are copies of each other; rows with a null doc_id
 take no part and stay; rows of one doc_id are one document; an empty table stays empty.
@@ -19,7 +17,6 @@ take no part and stay; rows of one doc_id are one document; an empty table stays
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,130 +27,212 @@ from pyspark.sql import functions as F
 from .common import staged
 from .simhash import components
 
-LANES = 16
-BITS = 64 * LANES
-_STEPS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(LANES)], np.uint64)
+BITS = 1024
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """LANES unsigned longs: the majority of each bit over the shingles' mixed hashes."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order; a text of fewer words is one shingle."""
     import xxhash
 
-    hash_ = xxhash.xxh64_intdigest
     found = (text or "").encode().lower().split()
     if not found:
-        return np.zeros(LANES, np.uint64)
-    shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    hashes = np.fromiter(map(hash_, shingles), np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
-        mixed = hashes[at : at + 255, None] * _STEPS
+        return np.zeros(0, np.uint64)
+    if len(found) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), 1)], np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = len(each) - words + 1
+    mixed = np.zeros(n, np.uint64)
+    for i in range(words):  # a chain, so that the order of words counts
+        mixed = (mixed ^ each[i : i + n]) * _MIX[0]
         mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed *= _MIX[1]
         mixed ^= mixed >> np.uint64(32)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+    return np.unique(mixed)
 
 
-def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id and wide (binary) of rows with a doc_id."""
+def parities(shingles: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((shingles * _MIX[2] >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
-    def of(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([wide_fingerprint(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary())], ["doc_id", "wide"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(of, "doc_id long, wide binary")
+def _needed(similarity: float, total):
+    """The shared shingles that sets of ``total`` shingles together need (a lower bound safe to rounding)."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-6)
 
 
-def most_differing(similarity: float, slack: float = 1.0) -> int:
-    """The verified distance: the expected one at ``similarity`` plus ``slack`` standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(BITS * p + slack * math.sqrt(BITS * p * (1 - p)))
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order, as many as similarity needs: ascending hashes, then ``common`` by ``rank``."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    take = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        frequent = common[at] == shingles
+        if frequent.any():
+            last = np.flatnonzero(frequent)
+            shingles = np.concatenate([shingles[~frequent], shingles[last[np.argsort(rank[at[last]], kind="stable")]]])
+    return shingles[:take]
 
 
-def forest(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks of bit rows (one block with itself if they are the same)."""
-    ids = np.concatenate([left_ids, right_ids])
-    root = list(range(len(ids)))
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    out, b = [], right.astype(np.float32)
-    ones = b.sum(axis=1)
-    for at in range(0, len(left), 256):
-        a = left[at : at + 256].astype(np.float32)
-        near = a.sum(axis=1)[:, None] + ones - 2 * (a @ b.T) <= most
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = top(at + int(i)), top(len(left) + int(j))
-            if x != y and ids[at + i] != ids[len(left) + j]:
-                root[x] = y
-                out.append((int(ids[at + i]), int(ids[len(left) + j])))
-    return out
+def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, key (of the shingle set), size and bits of rows with a doc_id."""
 
+    def of(batches: Iterator[pa.RecordBatch]):
+        import xxhash
 
-def _bits(wide: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
+            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "size", "bits"])
 
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(of, "doc_id long, key binary, size int, bits binary")
 
-def near_links(nodes: DataFrame, most: int, crowd: int = 24, block: int = 1000, lane_most: int = 24) -> DataFrame:
-    """Links (a, b) of ``nodes`` (node long, wide binary) at ``most`` differing bits or fewer, as far as connectivity needs."""
-    n = nodes.count()
-    width = max(14, math.ceil(math.log2(max(n, 2))))
-    parts = BITS // width
 
-    def keys(batches: Iterator[pa.RecordBatch]):
-        weights = (1 << np.arange(width)).astype(np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            for at in range(0, len(batch), 1000):
-                wide = batch.column("wide").slice(at, 1000).to_pylist()
-                bits = _bits(wide)[:, : parts * width].reshape(len(wide), parts, width)
-                value = bits @ weights + (np.arange(parts, dtype=np.int64) << 40)
-                lane = np.frombuffer(b"".join(x[-8:] for x in wide), "<i8")  # the last bits, of which partitions use few
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").slice(at, 1000).to_numpy(), parts)), pa.array(value.ravel()), pa.array(np.repeat(lane, parts))], ["node", "bucket", "lane"])
-
-    stored = staged(nodes.mapInArrow(keys, "node long, bucket long, lane long"), "probes")
-    sizes = staged(stored.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    calm = stored.join(sizes.where(F.col("n") <= crowd), "bucket")
-    asked = calm.select("bucket", F.col("node").alias("a"), F.col("lane").alias("la")).join(calm.select("bucket", F.col("node").alias("b"), F.col("lane").alias("lb")), "bucket")
-    asked = staged(asked.where((F.col("a") < F.col("b")) & (F.expr("bit_count(la ^ lb)") <= lane_most)).select("a", "b").distinct(), "pairs")
-    first = asked.join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]):
+def frequent_shingles(docs: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than ``crowd`` texts, of the half of least hashes, with their ranks; the most frequent come last.
+
+    Prefixes are mostly from that half. What is left out costs pairs, never links: any common order is right.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("wa", "wb"))
-                near = np.bitwise_count(x ^ y).sum(axis=1) <= most
+                sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
+                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64(1 << 63))] for x in sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
+
+    counted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(of, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = staged(counted.where(F.col("n") > crowd), "frequent")
+    sizes = sorted(found.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect(), reverse=True)
+    least, room = crowd + 1, most
+    for size, n in sizes:  # the driver and each worker hold ``most`` at most
+        room -= n
+        if room < 0:
+            least = 2 ** (size + 1)
+            break
+    rows = found.where(F.col("n") >= least).toArrow()
+    values = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], rows.column("n").to_numpy()[order]
+
+
+def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4) -> DataFrame:
+    """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
+
+    ``sizes`` has node, size and bits of each.
+    """
+    ordered = texts.sparkSession.sparkContext.broadcast(common)
+    ratio = similarity / (1 + similarity)
+
+    def probe(batches: Iterator[pa.RecordBatch]):
+        values, rank = ordered.value
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(x.as_py(), words) for x in part.column("text")]
+                first = [prefix(x, similarity, values, rank) for x in sets]
+                many = [len(x) for x in first]
+                columns = [np.concatenate(first).view(np.int64), np.repeat(part.column("node").to_numpy(), many), np.repeat(np.array([len(x) for x in sets], np.int32), many), np.concatenate([np.arange(x, dtype=np.int32) for x in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "size", "place"])
+
+    stored = staged(texts.mapInArrow(probe, "bucket long, node long, size int, place int"), "probes")
+    counts = staged(stored.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+
+    def bounds():
+        """Sizes and places that a pair of ``similarity`` or more can have where it shares its first shingle."""
+        need = F.ceil(F.lit(ratio) * (F.col("sa") + F.col("sb")) - 1e-6)
+        return F.expr("least(sa - pa, sb - pb)") >= need
+
+    def side(rows: DataFrame, x: str, *also: str) -> DataFrame:
+        return rows.select("bucket", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("place").alias(f"p{x}"), *also)
+
+    def possible_of(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that pass the parities."""
+        of = lambda x: sizes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"w{x}"))
+
+        def possible(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                if len(batch):
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("wa", "wb"))
+                    total = batch.column("sa").to_numpy().astype(np.int64) + batch.column("sb").to_numpy()
+                    near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= total - 2 * _needed(similarity, total))
+                    yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+        return staged(pairs, "pairs").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(possible, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose sets have the similarity."""
+        left = staged(pairs.distinct(), "possible")
+        asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+        wanted = texts.join(asked, "node", "left_semi")
+
+        def exact(batches: Iterator[pa.RecordBatch]):
+            held: tuple = (None, None)
+            for batch in batches:
+                near = np.zeros(len(batch), bool)
+                for i, (a, x, y) in enumerate(zip(*(batch.column(c) for c in ("a", "ta", "tb")), strict=True)):
+                    of_a = (a.as_py(), x.as_py())
+                    if held[0] != of_a:
+                        held = (of_a, shingle_set(of_a[1], words))
+                    near[i] = jaccard(held[1], shingle_set(y.as_py(), words)) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
-    found = first.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
-    busy = stored.join(sizes.where(F.col("n") > crowd), "bucket")
+        sets = left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return staged(sets.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "verified")
+
+    calm = stored.join(counts.where(F.col("n") <= crowd), "bucket")
+    pairs = side(calm, "a").join(side(calm, "b"), "bucket").where((F.col("a") < F.col("b")) & bounds()).select("a", "b").distinct()
+    found = verified(possible_of(pairs))
+    crowds = counts.where(F.col("n") > crowd)
+    if crowds.isEmpty():
+        return found
+    busy = staged(stored.join(crowds, "bucket"), "busy")
+    least = busy.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "size", "place")).alias(f"h{i}") for i in range(hubs)))
+    heads = least.select("bucket", F.explode(F.array(*(F.struct(F.col(f"h{i}.node").alias("a"), F.col(f"h{i}.size").alias("sa"), F.col(f"h{i}.place").alias("pa")) for i in range(hubs)))).alias("h")).select("bucket", "h.*").distinct()
+    pairs = heads.join(side(busy, "b"), "bucket").where((F.col("a") != F.col("b")) & bounds()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = staged(found.union(verified(possible_of(pairs))), "found")
+    named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    busy = busy.select("bucket", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    busy = busy.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node").join(nodes, "node")
-
-    def dense(table_: pa.Table) -> pa.Table:
-        mine, i, j = (table_.column(c).to_numpy() for c in ("mine", "i", "j"))
-        wide, ids = _bits(table_.column("wide").to_pylist()), table_.column("node").to_numpy()
-        left, right = mine == i[0], mine == j[0]
-        links = forest(wide[left], wide[right], ids[left], ids[right], most)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    crowded = busy.groupBy("bucket", "i", "j").applyInArrow(dense, "a long, b long")
-    return found.union(crowded)
+    dealt = named.join(divided, "bucket").withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "place").join(sizes.select("node", "size", "bits"), ["node", "size"])
+
+    def dense(rows: pa.Table) -> pa.Table:
+        mine, i, j, node, label, size, rest = (rows.column(c).to_numpy() for c in ("mine", "i", "j", "node", "label", "size", "place"))
+        size, bits = size.astype(np.int64), np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        rest, right, out = size - rest, np.flatnonzero(mine == j[0]), [np.zeros((2, 0), np.int64)]
+        left = np.flatnonzero(mine == i[0])
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64, None]
+            able = (label[x] != label[right]) & (np.minimum(rest[x], rest[right]) >= _needed(similarity, size[x] + size[right]))
+            if i[0] == j[0]:
+                able &= node[x] < node[right]
+            x, y = np.nonzero(able)
+            x, y = left[at + x], right[y]
+            total = size[x] + size[y]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= total - 2 * _needed(similarity, total)
+            out.append(np.sort(np.stack([node[x[near]], node[y[near]]]), axis=0))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return found.union(verified(dealt.groupBy("bucket", "i", "j").applyInArrow(dense, "a long, b long")))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but for those of documents that are copies or near copies of one with a lesser doc_id."""
-    marked = staged(wide_fingerprints(docs, words), "wide")
-    nodes = staged(marked.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
-    label = components(near_links(nodes.select("node", "wide"), most_differing(similarity)))
-    first = nodes.join(label, "node", "left").select("wide", F.coalesce("label", "node").alias("first"))
-    gone = staged(marked.join(first, "wide").where("doc_id > first").select("doc_id").distinct(), "gone")
+    marked = staged(summaries(docs, words), "summaries")
+    nodes = staged(marked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
+    texts = staged(docs.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi").distinct(), "texts")
+    links = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(docs, words, 24), similarity, words)
+    label = components(links)
+    first = nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("first"))
+    gone = staged(marked.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

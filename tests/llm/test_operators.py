@@ -284,6 +284,66 @@ def test_crowded_buckets(frame):
     assert near_copies.keep_one_of_each(frame(rows, "doc_id long, text string")).count() == 1
 
 
+def _kept_by_brute_force(rows, words=5, similarity=0.8):
+    """Ids of rows but for those of a component of exact links with a lesser id."""
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in ids if top(i) == i}
+
+
+def test_near_copies_are_those_of_exact_similarity(frame):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):  # pairs on both sides of 0.8
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        copy = list(base)
+        for at in rng.choice(200, 3 + g % 6, replace=False):
+            copy[at] = f"y{rng.integers(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    base = [f"v{x}" for x in range(150)]
+    for g in range(120):  # a crowd of more than one block's like, whose pairs are on both sides of 0.8
+        copy = list(base)
+        for at in rng.choice(150, 3, replace=False):
+            copy[at] = f"z{rng.integers(10**6)}"
+        rows.append((1000 + g, " ".join(copy)))
+    rows += [(2000, " ".join(base[:20] * 2)), (2001, " ".join(base[:20] * 7))]  # equal sets, a passage repeated
+    want = _kept_by_brute_force(rows)
+    assert 2001 not in want and 400 < len(want) < 700
+    assert {r.doc_id for r in near_copies.keep_one_of_each(frame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_links_in_small_blocks_connect_as_all_pairs_do(frame):
+    rng = np.random.default_rng(9)
+    base, rows = [f"v{x}" for x in range(150)], []
+    for g in range(90):
+        copy = list(base)
+        for at in rng.choice(150, 1 + g % 4, replace=False):
+            copy[at] = f"z{rng.integers(10**6)}"
+        rows.append((g, " ".join(copy)))
+    docs = frame(rows, "doc_id long, text string")
+    sizes = near_copies.summaries(docs).selectExpr("doc_id AS node", "size", "bits")
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    links = near_copies.near_links(docs.withColumnRenamed("doc_id", "node"), sizes, nothing, crowd=5, block=20, hubs=1)
+    label = {r.node: r.label for r in simhash.components(links).collect()}
+    assert {i for i, _ in rows if label.get(i, i) == i} == _kept_by_brute_force(rows)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
