@@ -133,25 +133,58 @@ def cate_quartiles(df: DataFrame, covariate: str, key: str = "unit", folds: int
     return s.groupBy(q.alias("quartile")).agg(F.avg("cate").alias("mean_cate"), (F.sum(F.col("v2") * F.col("pseudo")) / F.sum("v2")).alias("r_effect"), F.count("*").alias("n"))
 
 
-def matched_pairs(df: DataFrame, key: str = "unit", caliper: float = 0.2, rounds: int = 8) -> DataFrame:
-    """One-to-one matches on the logit of the propensity within a caliper of its spread, without replacement.
+def matched_pairs(df: DataFrame, key: str = "unit", caliper: float = 0.2, rounds: int = 1000) -> DataFrame:
+    """One-to-one matches on the logit of the propensity within a caliper of its spread, without replacement."""
+    s = _with_e(_propensity(0, 0, forest=False).fit(df), df).withColumn("logit", F.log(F.col("e") / (1 - F.col("e"))))
+    return pairs_within(s, caliper * (s.agg(F.stddev_samp("logit")).first()[0] or 1.0), key, rounds)
 
-    Scores are binned by the caliper, so a treated unit meets the controls of its own and neighbouring bins; in each round
-    pairs that are each other's nearest are taken (ties by key) and leave. Pairs left after the rounds stay unmatched.
+
+def pairs_within(s: DataFrame, width: float, key: str = "unit", rounds: int = 1000) -> DataFrame:
+    """(t, c, gap): one-to-one pairs of treated and controls (key, w, logit) that are ``width`` apart at most.
+
+    Units of one score and treatment are one entry with a count. Entries that are each other's nearest of the other kind
+    are neighbours in the order of scores; in each round all such neighbours give as many pairs as the lesser of them holds,
+    by rank of the key, until none is left. Equal gaps go to the lower score.
     """
-    s = _with_e(_propensity(0, 0, forest=False).fit(df), df).withColumn("logit", F.log(F.col("e") / (1 - F.col("e")))).select(key, "w", "logit")
-    width = caliper * (s.agg(F.stddev_samp("logit")).first()[0] or 1.0)
-    s = s.withColumn("bin", F.floor(F.col("logit") / width))
-    near = s.where("w = 1").select(F.col(key).alias("t"), F.col("logit").alias("lt"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    pairs = near.join(s.where("w = 0").select(F.col(key).alias("c"), F.col("logit").alias("lc"), "bin"), "bin").withColumn("gap", F.abs(F.col("lt") - F.col("lc"))).where(F.col("gap") <= width).select("t", "c", "gap")
     from paneloom.sources.staging import staged
 
-    pairs, taken = staged(pairs), None
+    ranked = staged(s.select(F.col(key).alias("key"), F.col("w").cast("int").alias("w"), "logit").withColumn("place", F.row_number().over(Window.partitionBy("logit", "w").orderBy("key")).cast("long")))
+    left, taken = staged(ranked.groupBy("logit", "w").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("used"))), []
+    order = Window.partitionBy("at").orderBy("logit", "w")
+    down = Window.partitionBy("at").orderBy(F.desc("logit"), F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda w: F.last(F.when(F.col("w") == w, F.col("logit")), ignorenulls=True)
+    home = F.floor(F.col("logit") / (1.01 * width))  # whatever is within ``width`` is in the next bin at most
     for _ in range(rounds):
-        best = lambda a: F.row_number().over(Window.partitionBy(a).orderBy("gap", "t", "c"))
-        mutual = staged(pairs.withColumns({"rt": best("t"), "rc": best("c")}).where("rt = 1 AND rc = 1").select("t", "c", "gap"))
-        if mutual.isEmpty():
+        seen = left.withColumn("home", home).withColumn("at", F.explode(F.array(*(F.col("home") + k for k in (-2, -1, 0, 1)))))
+        seen = seen.withColumn("next", F.lead(F.struct("logit", "w", "n", "used")).over(order))
+        seen = seen.withColumn("gap", F.when((F.col("next.w") != F.col("w")) & (F.col("next.logit") - F.col("logit") <= width), F.col("next.logit") - F.col("logit")))
+        seen = seen.withColumns({f"low{w}": of(w).over(up) for w in (0, 1)} | {f"high{w}": of(w).over(down) for w in (0, 1)})
+        seen = seen.withColumns({"before": F.expr("logit - if(w = 1, low0, low1)"), "after": F.expr("if(w = 1, high0, high1) - logit")})
+        seen = seen.withColumn("after", F.lead("after").over(order))
+        met = seen.where("at = home AND gap IS NOT NULL AND (before IS NULL OR gap < before) AND (after IS NULL OR gap <= after)")
+        met = staged(met.select("logit", "w", "used", "gap", F.least("n", "next.n").alias("m"), F.col("next.logit").alias("logit2"), F.col("next.w").alias("w2"), F.col("next.used").alias("used2")))
+        if met.isEmpty():
             break
-        taken = mutual if taken is None else taken.union(mutual)
-        pairs = staged(pairs.join(mutual.select("t"), "t", "left_anti").join(mutual.select("c"), "c", "left_anti"))
-    return taken if taken is not None else pairs.limit(0)
+        taken.append(met)
+        if len(taken) == 20:  # few tables in one plan
+            whole = taken[0]
+            for x in taken[1:]:
+                whole = whole.union(x)
+            taken = [staged(whole)]
+        spent = met.select("logit", "w", "m").union(met.select("logit2", "w2", "m"))
+        left = left.join(spent, ["logit", "w"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+        left = staged(left.select("logit", "w", (F.col("n") - F.col("m")).alias("n"), (F.col("used") + F.col("m")).alias("used")).where("n > 0"))
+    else:
+        raise RuntimeError(f"matching did not settle in {rounds} rounds")
+    if not taken:
+        return ranked.select(F.col("key").alias("t"), F.col("key").alias("c"), F.col("logit").alias("gap")).limit(0)
+    whole = taken[0]
+    for x in taken[1:]:
+        whole = whole.union(x)
+    each = whole.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    one = lambda mine, other: F.when(F.col("w") == 1, F.col(mine)).otherwise(F.col(other))
+    each = each.select("gap", one("logit", "logit2").alias("lt"), (one("used", "used2") + F.col("k")).alias("pt"), one("logit2", "logit").alias("lc"), (one("used2", "used") + F.col("k")).alias("pc"))
+    treated = ranked.where("w = 1").select(F.col("key").alias("t"), F.col("logit").alias("lt"), F.col("place").alias("pt"))
+    controls = ranked.where("w = 0").select(F.col("key").alias("c"), F.col("logit").alias("lc"), F.col("place").alias("pc"))
+    return each.join(treated, ["lt", "pt"]).join(controls, ["lc", "pc"]).select("t", "c", "gap")

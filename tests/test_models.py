@@ -96,3 +96,20 @@ def test_entropy_weights_balance(spark):
     got = w.toPandas()
     c, t = got[got.treatment == 0], got[got.treatment == 1]
     assert abs(np.average(c.a, weights=c.weight) - t.a.mean()) < 1e-8
+
+
+@pytest.mark.parametrize("digits", [0, 1, 12])
+def test_matching_takes_every_pair_that_greedy_matching_takes(spark, digits):
+    from paneloom.plans.ml import pairs_within
+
+    rng = np.random.default_rng(digits)
+    units = [(i, int(i < 120), float(np.round(rng.normal(0.3 * (i < 120)), digits))) for i in range(270)]
+    got = pairs_within(spark.createDataFrame(units, "unit long, w int, logit double"), 0.2).collect()
+    score = {u: x for u, _, x in units}
+    treated, controls, want = [u for u, w, _ in units if w], [u for u, w, _ in units if not w], []
+    for gap, _, t, c in sorted((abs(score[t] - score[c]), min(score[t], score[c]), t, c) for t in treated for c in controls if abs(score[t] - score[c]) <= 0.2):
+        if t in treated and c in controls:
+            treated.remove(t), controls.remove(c), want.append(gap)
+    assert len({r.t for r in got}) == len({r.c for r in got}) == len(got) == len(want) > 60
+    assert all(abs(abs(score[r.t] - score[r.c]) - r.gap) < 1e-12 and r.gap <= 0.2 for r in got)
+    assert np.allclose(sorted(r.gap for r in got), sorted(want))
