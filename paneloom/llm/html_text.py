@@ -8,7 +8,9 @@ the threshold are left and of the others the subtree with the greatest density s
 that subtree the text is written block by block.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are no content wherever they
-stand: their elements are left out by name, role, class or id before densities are taken.
+stand: their elements are left out by name, role, class or id before densities are taken. A form or an element marked by
+role, class or id stays if it is round the article: if no article or main stands outside marked elements, and it holds one
+or most of the page's text outside links.
 
 Defined results: a null page and a page without text give an empty text; unclosed and stray tags are closed or passed
 over as browsers do for paragraphs and list items; repeated rows each keep a row; an empty table gives no rows.
@@ -40,16 +42,18 @@ KEPT = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("name", "parts", "parent", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("name", "parts", "parent", "out", "marked", "holds", "plain", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, name: str, parent: Node | None, out: bool):
         self.name, self.parent, self.out, self.parts = name, parent, out, []
+        self.marked = self.holds = False
+        self.plain = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _apart(name: str, attributes: str) -> bool:
-    if name in APART:
+def _marked(name: str, attributes: str) -> bool:
+    if name == "form":
         return True
     if name in KEPT or not attributes:
         return False
@@ -96,17 +100,53 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not root and up.name == name:
                 here = up.parent
-        child = Node(name, here, here.out or _apart(name, m[3]))
+        child = Node(name, here, here.out or (name in APART and name != "form"))
+        child.marked = not child.out and _marked(name, m[3])
         here.parts.append(child)
+        if name in ("svg", "math") and m[3].endswith("/"):  # foreign elements may close themselves
+            continue
         if name in RAW:
             child.out = True
             end = re.compile(rf"</{name}\s*>|\Z", re.I).search(page, at)
             at = end.end()
         elif name not in VOID and not m[3].endswith("/"):
             here = child
+    leave_out(root)
     return root
 
 
+def leave_out(root: Node) -> None:
+    """Marks the marked elements as out, but for those round the article.
+
+    Where an article or main stands outside all marked elements, they all go. Else one that holds an article, a main or most
+    of the page's text outside links is opened, and the marked elements in it are judged in the same way.
+    """
+    for node in reversed(_order(root)):
+        node.holds = node.name in ("article", "main")
+        for x in node.parts:
+            if isinstance(x, str):
+                node.plain += len("".join(x.split()))
+            elif not x.out:
+                node.holds |= x.holds
+                node.plain += x.plain
+        if node.name == "a":
+            node.plain = 0
+    scopes = [root]
+    while scopes:
+        todo, found, free = [scopes.pop()], [], False
+        while todo:
+            node = todo.pop()
+            free |= node.name in ("article", "main")
+            for x in node.parts:
+                if isinstance(x, Node) and not x.out:
+                    (found if x.marked else todo).append(x)
+        for x in found:
+            if not free and (x.holds or 2 * x.plain > root.plain):
+                scopes.append(x)
+            else:
+                x.out = True
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that may be content, parents first."""
     found, todo = [], [root]

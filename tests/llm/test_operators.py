@@ -395,6 +395,14 @@ def test_odd_pages(spark, frame):
     assert sorted((r.text, r.n_chars) for r in rows) == [("", 0), ("", 0), ("x", 1)]
 
 
+def test_marked_wrappers_and_closed_foreign_elements():
+    article = "<article><p>The article, a long enough text</p></article><div class=sidebar><p>aside words</p></div>"
+    for page in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='site-content no-sidebar'>{}</div>", "<form>{}</form>", "<form><div id='main search'>{}</div></form>", "<svg/>{}", "<math />{}<svg></svg>"):
+        assert html_text.extract(f"<body>{page.format(article)}</body>") == "The article, a long enough text"
+    assert html_text.extract("<body><div class='page no-sidebar'><p>Most of the text is here</p></div><div class=comments><p>reader words</p></div></body>") == "Most of the text is here"
+    assert html_text.extract("<body><article><p>short one</p></article><div class=comments><p>" + "reader words " * 50 + "</p></div></body>") == "short one"
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
