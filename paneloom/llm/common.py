@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ WORD = f"[^{SPACES}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    Only where a session of one machine has none a temporary folder is made and set; a cluster without one is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,11 +32,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/paneloom/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage ends there, so a lost
     executor costs its own tasks and not the work before the table."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

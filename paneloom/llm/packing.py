@@ -3,7 +3,8 @@
 A packer holds a fixed number of open bins. A bitset has a bit for each free space that some open bin has, so the
 tightest bin that takes a piece is the lowest set bit at or above the piece's length. When no bin takes the piece and
 all are open, the fullest one closes for good. Only lengths move between tasks: pieces are dealt to packers by a hash of
-their key, about ``per_packer`` to each, so the number of packers grows with the input and each one's rows stay bounded.
+their key, about ``per_packer`` to each (some 4,000 sequences, so that bins do close), so the number of packers grows with the input and
+each one's rows stay bounded.
 
 Defined results: a null or empty text gives its end id alone; a document longer than a sequence is cut into full pieces
 and a last one; equal doc_ids and repeated rows each keep their pieces; an empty table gives no rows.
@@ -85,7 +86,7 @@ class BestFit:
         return bin_
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, per_packer: int = 4000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, per_packer: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset. Full pieces are sequences of their own and meet no packer.
 
     pieces: rows with a positive ``length`` of at most ``capacity``; other columns are carried along. The order in which
@@ -130,7 +131,7 @@ class WordLevel:
         return encoder(self.vocabulary, spaced=False).ids(texts)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096, open_bins: int = 1024, per_packer: int = 4000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096, open_bins: int = 1024, per_packer: int = 20_000) -> DataFrame:
     """Tokenizes whole documents, stages the pieces (lengths and checksums, no text) and packs them."""
     pieces = staged(pieces_of(docs, WordLevel(vocabulary), end_id, capacity), "pieces")
     return pack(pieces, capacity, open_bins, per_packer)

@@ -1,72 +1,95 @@
-"""Encoding whole texts with a public tokenizer, each distinct unit once per Python worker.
+"""Encoding whole texts with a public tokenizer, each distinct unit about once per Python worker.
 
 A unit is what stands between two cuts at spaces. Both vocabularies split a text at white space before they merge
 (the byte-level one lets a word take one space before it), so the ids of a text are the ids of its units in turn.
 Cuts are made only before a space whose left neighbour is not white space by the widest definition, so that no run of
-white space is divided.
+white space is divided. No special token has a space in it, so that each one stands in one unit.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 _DIVIDED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
 
 
+class _Known(dict):
+    """Units and their ids; a unit met for the first time stands for itself and is noted in ``new``. Units of the older
+    generation move up."""
+
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        self.older, self.new = older, []
+
+    def __missing__(self, unit: str) -> bytes | str:
+        found = self.older.get(unit)
+        if found is None:
+            self.new.append(unit)
+            found = unit
+        self[unit] = found
+        return found
+
+
 class Encoder:
-    """ids(texts) gives little-endian unsigned 32-bit ids of each text as bytes, by the ``tokenizers`` library with
-    add_special_tokens=False and special strings as ordinary text.
+    """ids(texts) gives little-endian unsigned 32-bit ids of each text as bytes, as the ``tokenizers`` library does with
+    add_special_tokens=False.
 
-    spaced: the vocabulary has words with a leading space (byte-level); otherwise it drops white space.
+    spaced: the vocabulary has words with a leading space (byte-level); otherwise it lower-cases and drops white space.
     most: units kept in each of two generations, so memory is bounded: when the young one is full it becomes the old one,
     and units still met move up again. Longer units than ``longest`` aren't kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, spaced: bool, most: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.spaced, self.most, self.longest = spaced, most, longest
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known({})
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _cut(self, text: str) -> list[str]:
         if self.spaced:
-            cut = [x.split(" ") if _DIVIDED.search(x) is None else _CUT.split(x) for x in texts]
-        else:
-            cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new: set[str] = set()
-        for parts in cut:
-            new.update(parts[1:] if self.spaced else parts)
+            return text.split(" ") if _DIVIDED.search(text) is None else _CUT.split(text)
+        if "<|" not in text:  # special tokens are told by case; A-Z are lowered by the vocabulary anyway
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, units: list[str]) -> None:
+        """The ids of new units. Letters and a last comma or point are two words in both vocabularies."""
+        known, whole, ended = self.known, [], []
+        for x in units:
+            stem = x[:-1]
+            if x[-1:] in (",", ".") and (known.get(stem) or known.older.get(stem)) and stem.isalpha() and stem.lower().isalpha():
+                ended.append(x)
+            else:
+                whole.append(x)
+        space = " " if self.spaced else ""
+        known.update(zip(whole, self._encode([space + x for x in whole]), strict=True))
+        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in ended])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(x) for x in texts]
+        heads = self._encode([parts.pop(0) for parts in cut]) if self.spaced else [b""] * len(cut)
+        if len(self.known) > self.most:
+            self.known = _Known(dict(self.known))
         if not self.spaced:
             self.known[""] = b""
-        todo = [x for x in new if x not in self.known]
-        if len(self.known) + len(todo) > self.most:
-            self.older, self.known = self.known, {}
-            todo = list(new)
-        if self.older:
-            self.known.update((x, self.older[x]) for x in todo if x in self.older)
-            todo = [x for x in todo if x not in self.known]
-        self.known.update(zip(todo, self._encode([" " + x for x in todo] if self.spaced else todo), strict=True))
-        get = self.known.__getitem__
-        if self.spaced:
-            heads = self._encode([parts[0] for parts in cut])
-            out = [head + b"".join(map(get, parts[1:])) for head, parts in zip(heads, cut, strict=True)]
-        else:
-            out = [b"".join(map(get, parts)) for parts in cut]
-        for x in todo:
+        known, get = self.known, self.known.__getitem__
+        met = [list(map(get, parts)) for parts in cut]  # ids, or the unit itself where it is new
+        new = known.new[:]
+        known.new.clear()
+        self._learn(new)
+        out = [head + b"".join([x if x.__class__ is bytes else known[x] for x in parts]) for head, parts in zip(heads, met, strict=True)]
+        for x in new:
             if len(x) > self.longest:
-                del self.known[x]
+                known.pop(x, None)
         return out
 
 

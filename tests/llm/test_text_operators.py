@@ -7,6 +7,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 
@@ -158,7 +159,6 @@ def test_id_files(spark, odd_docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     path, encode = stage_path(spark, "ids"), binary_ids._ByteLevel(P.path("byte_bpe_50k.json"))
     docs = odd_docs.where("doc_id IS NULL OR doc_id != 8")
     binary_ids.write_ids(docs, path, encode, binary_ids.train_dictionary(docs, encode), end_id=2)
@@ -185,6 +185,22 @@ def test_empty_id_file(spark, no_docs):
     assert binary_ids.read_ids(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_is_the_library(name, spaced):
+    """Random texts of odd parts, special strings among them, with a cache that turns over."""
+    from tokenizers import Tokenizer
+
+    from paneloom.llm.tokenize import Encoder
+
+    library, mine, rng = Tokenizer.from_file(P.path(name)), Encoder(P.path(name), spaced, most=50), random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", ",", ".", "a", "B", "\u0130", "e\u0301", "don't", "'s", "Stra\u00dfe", "\u0391\u03a3", "K", "3", "\u3000", "foo,", "Bar.", "x..", "\u00f1,", "\u0130,", "\U0001f642", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert any(50256 in x or 49407 in x for x in want)
+    got = [np.frombuffer(x, "<u4").tolist() for at in range(0, 4000, 40) for x in mine.ids(texts[at : at + 40])]
+    assert got == want
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -461,7 +477,6 @@ def test_packing_of_odd_rows(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     docs = {r.doc_id: r.text or "" for r in odd_docs.collect()}
     for r in rows:
         ids = np.array([*tok.encode(docs[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
