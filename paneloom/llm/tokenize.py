@@ -14,6 +14,7 @@ from array import array
 
 _DIVIDED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
+_ENDS = ",.!?;:#%*&|<>$()[]\"/-_"
 
 
 class _Known(dict):
@@ -49,7 +50,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.spaced, self.most, self.longest = spaced, most, longest
         self.known = _Known({})
-        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, units: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
@@ -62,17 +63,24 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, units: list[str]) -> None:
-        """The ids of new units. Letters and a last comma or point are two words in both vocabularies."""
+        """The ids of new units. Letters and the punctuation after them are two words in both vocabularies."""
         known, whole, ended = self.known, [], []
+        if len(self.tails) > 50_000:
+            self.tails = {}
         for x in units:
-            stem = x[:-1]
-            if x[-1:] in (",", ".") and (known.get(stem) or known.older.get(stem)) and stem.isalpha() and stem.lower().isalpha():
-                ended.append(x)
+            stem = x.rstrip(_ENDS)
+            if len(stem) < len(x) and stem.isalpha() and stem.lower().isalpha():
+                known[stem]
+                ended.append((x, stem, x[len(stem) :]))
             else:
                 whole.append(x)
+        whole += known.new
+        known.new.clear()
         space = " " if self.spaced else ""
         known.update(zip(whole, self._encode([space + x for x in whole]), strict=True))
-        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in ended])
+        tails = list({x for _, _, x in ended if x not in self.tails})
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        known.update([(x, known[stem] + self.tails[tail]) for x, stem, tail in ended])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(x) for x in texts]
