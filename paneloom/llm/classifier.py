@@ -125,12 +125,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
 
-def trained(stats: DataFrame, labels: DataFrame, most: int = 40_000) -> Trees:
-    """Trees fitted on at most ``most`` labelled rows outside the held-out fold; only these reach the driver."""
+def trained(docs: DataFrame, labels: DataFrame, most: int = 40_000) -> Trees:
+    """Trees fitted on at most ``most`` labelled documents outside the held-out fold. Labels are picked first, so that
+    statistics are taken of these documents alone; only they reach the driver."""
     seen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(f"NOT ({HELD_OUT})")
-    seen = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(seen, "doc_id").select(F.xxhash64("doc_id").alias("order"), "doc_id", "stats", "quality").orderBy("order", "doc_id", "stats").limit(most)
-    got = rows.select("stats", "quality").toPandas()
+    seen = seen.groupBy("doc_id").agg(F.min("quality").alias("quality")).select(F.xxhash64("doc_id").alias("order"), "doc_id", "quality").orderBy("order", "doc_id").limit(most)
+    seen = F.broadcast(staged(seen, "picked"))  # ``most`` rows
+    rows = with_statistics(docs.join(seen.select("doc_id"), "doc_id", "left_semi")).join(seen, "doc_id")
+    got = rows.orderBy("order", "doc_id", "stats").limit(most).select("stats", "quality").toPandas()
     x = np.stack(got["stats"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["quality"].to_numpy(np.float64))
 
@@ -149,9 +151,8 @@ def scored(stats: DataFrame, model: Trees, cut: float = 0.3) -> DataFrame:
 
 
 def keep_by_classifier(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``cut`` or more, with the columns of ``docs``. Texts stay where they are: the
-    statistics are staged for the fit and taken again where a row is judged."""
-    model = trained(staged(with_statistics(docs), "statistics"), labels)
+    """The rows of ``docs`` that score ``cut`` or more, with the columns of ``docs``. Texts stay where they are."""
+    model = trained(docs, labels)
 
     @F.pandas_udf("double")
     def score(text):
@@ -164,6 +165,6 @@ def keep_by_classifier(docs: DataFrame, labels: DataFrame, cut: float = 0.3) ->
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction of every document; rows of the held-out fold have taught nothing."""
-    stats = staged(with_statistics(table(spark, sf_dir, "documents")), "statistics")
-    found = scored(stats, trained(stats, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    found = scored(with_statistics(docs), trained(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", "predicted")

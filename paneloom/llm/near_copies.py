@@ -1,18 +1,24 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: prefix join, exact filters, verification.
-
-All shingles have one order. Two sets of similarity t or more share a shingle among the first |x| - ceil(t |x|) + 1 of each,
-so texts that share none of these are never compared, and no pair is missed whatever the number of texts. Any order does;
-frequent shingles, which would make large buckets, come last in it. A pair that shares a shingle must pass three bounds that
-hold for every pair of similarity t: the sizes, the places of the shared shingle in both orders, and the parities (every
-shingle flips one of 1024 bits, so the bits of two sets differ in no more places than the sets do). What is left is
-verified on the sets themselves. Shingles are compared by 64-bit hash.
+"""Near-duplicates by SimHash with the generalised pigeonhole, verified and completed to exact Jaccard similarity.
+
+1. Each text has a fingerprint of its word shingles. Operator 5's search (correlated bits in partitions, thresholds by dynamic
+   programming, probe and verify on all bits) finds the fingerprints within two bits of each other; what it links is verified by
+   the exact Jaccard similarity of the shingle sets.
+2. No distance of fingerprints holds for every pair of similarity 0.8 (at 64 bits such pairs differ in 10 bits on average and in
+   up to 20), and a distance that held would make buckets that grow with the corpus. So the pairs that step 1 leaves in different
+   components are found by a prefix join. All shingles have one order; two sets of similarity t or more share a shingle among
+   the first |x| - ceil(t |x|) + 1 of each, so texts that share none of these are never compared, and no pair is missed
+   whatever the number of texts. Any order does; frequent shingles, which would make large buckets, come last in it. A pair
+   that shares a shingle must pass three bounds that hold for every pair of similarity t: the sizes, the places of the shared
+   shingle in both orders, and the parities (every shingle flips one of 1024 bits, so the bits of two sets differ in no more
+   places than the sets do). What is left is verified on the sets themselves. Shingles and sets are named by 64-bit hash.
 
 Buckets of more than ``crowd`` members are first compared with a few of their members; only members that are in different
 components after that make pairs. So as far as connectivity needs all links are found, and the components are those of all
 pairs.
 
 Defined results: a null text is an empty text, and texts without words are copies of each other; rows with a null doc_id
-take no part and stay; rows of one doc_id are one document; an empty table stays empty.
+take no part and stay; rows alike in doc_id and text are one document; of rows alike in doc_id alone each is judged by its
+own text; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .simhash import components
+from .simhash import _votes, components, links
 
 BITS = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct shingles' hashes in ascending order; a text of fewer words is one shingle."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     found = (text or "").encode().lower().split()
@@ -48,7 +54,12 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
         mixed *= _MIX[1]
         mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    return np.unique(shingles(text, words))
 
 
 def parities(shingles: np.ndarray) -> bytes:
@@ -82,34 +93,40 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+SUMMARY = "doc_id long, own long, node long, size int, bits binary, fp long"
+
+
 def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, key (of the shingle set), size and bits of rows with a doc_id."""
+    """For each row (doc_id, own, text): node (the name of its shingle set), size, parities and fingerprint (fp)."""
 
     def of(batches: Iterator[pa.RecordBatch]):
         import xxhash
 
         for batch in batches:
-            sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
-            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "size", "bits"])
+            lists = [shingles(x.as_py(), words) for x in batch.column("text")]
+            sets = [np.unique(x) for x in lists]
+            names = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            prints = np.array([_votes(x) if len(x) else 0 for x in lists], np.uint64).view(np.int64)
+            columns = [pa.array(names), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *columns], ["doc_id", "own", "node", "size", "bits", "fp"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(of, "doc_id long, key binary, size int, bits binary")
+    return docs.select("doc_id", "own", "text").mapInArrow(of, SUMMARY)
 
 
-def frequent_shingles(docs: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than ``crowd`` texts, of the half of least hashes, with their ranks; the most frequent come last.
+def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than ``crowd`` texts, of the third of least hashes, with their ranks; the most frequent come last.
 
-    Prefixes are mostly from that half. What is left out costs pairs, never links: any common order is right.
+    Prefixes are mostly from that third. What is left out costs pairs, never links: any common order is right.
     """
 
     def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if len(batch):
                 sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
-                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64(1 << 63))] for x in sets]), return_counts=True)
+                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64((1 << 64) // 3))] for x in sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
 
-    counted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(of, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(of, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = staged(counted.where(F.col("n") > crowd), "frequent")
     sizes = sorted(found.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect(), reverse=True)
     least, room = crowd + 1, most
@@ -124,10 +141,11 @@ def frequent_shingles(docs: DataFrame, words: int, crowd: int, most: int = 1_000
     return values[order], rows.column("n").to_numpy()[order]
 
 
-def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4) -> DataFrame:
+def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None) -> DataFrame:
     """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
 
-    ``sizes`` has node, size and bits of each.
+    ``sizes`` has node, size and bits of each. Pairs of ``suspected`` (a, b) are verified first, and pairs of one component
+    are not asked again.
     """
     ordered = texts.sparkSession.sparkContext.broadcast(common)
     ratio = similarity / (1 + similarity)
@@ -154,9 +172,10 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
     def side(rows: DataFrame, x: str, *also: str) -> DataFrame:
         return rows.select("bucket", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("place").alias(f"p{x}"), *also)
 
-    def possible_of(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that pass the parities."""
-        of = lambda x: sizes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"w{x}"))
+    def possible_of(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) between different components that pass the parities."""
+        known = sizes.join(label, "node", "left").select("node", "size", "bits", F.coalesce("label", "node").alias("label"))
+        of = lambda x: known.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"w{x}"), F.col("label").alias(f"l{x}"))
 
         def possible(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -166,7 +185,7 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
                     near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= total - 2 * _needed(similarity, total))
                     yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
-        return staged(pairs, "pairs").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(possible, "a long, b long")
+        return staged(pairs, "pairs").join(of("a"), "a").join(of("b"), "b").where("la != lb").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(possible, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sets have the similarity."""
@@ -190,7 +209,9 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
 
     calm = stored.join(counts.where(F.col("n") <= crowd), "bucket")
     pairs = side(calm, "a").join(side(calm, "b"), "bucket").where((F.col("a") < F.col("b")) & bounds()).select("a", "b").distinct()
-    found = verified(possible_of(pairs))
+    found = verified(suspected) if suspected is not None else pairs.where("false")
+    label = components(found)
+    found = found.union(verified(possible_of(pairs, label)))
     crowds = counts.where(F.col("n") > crowd)
     if crowds.isEmpty():
         return found
@@ -198,7 +219,7 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
     least = busy.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "size", "place")).alias(f"h{i}") for i in range(hubs)))
     heads = least.select("bucket", F.explode(F.array(*(F.struct(F.col(f"h{i}.node").alias("a"), F.col(f"h{i}.size").alias("sa"), F.col(f"h{i}.place").alias("pa")) for i in range(hubs)))).alias("h")).select("bucket", "h.*").distinct()
     pairs = heads.join(side(busy, "b"), "bucket").where((F.col("a") != F.col("b")) & bounds()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = staged(found.union(verified(possible_of(pairs))), "found")
+    found = staged(found.union(verified(possible_of(pairs, components(found)))), "found")
     named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -226,13 +247,28 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
     return found.union(verified(dealt.groupBy("bucket", "i", "j").applyInArrow(dense, "a long, b long")))
 
 
+def suspected_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) by operator 5's search: a star for each fingerprint, and a link between the hubs of
+    fingerprints within ``distance``."""
+    hubs = staged(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    stars = nodes.join(hubs, "fp").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = links(hubs.select("fp"), distance).withColumnsRenamed({"a": "fa", "b": "fb"})
+    ends = [hubs.select(F.col("fp").alias(f"f{x}"), F.col("hub").alias(x)) for x in "ab"]
+    return stars.union(near.join(ends[0], "fa").join(ends[1], "fb").select("a", "b"))
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` but for those of documents that are copies or near copies of one with a lesser doc_id."""
-    marked = staged(summaries(docs, words), "summaries")
-    nodes = staged(marked.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
-    texts = staged(docs.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi").distinct(), "texts")
-    links = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(docs, words, 24), similarity, words)
-    label = components(links)
-    first = nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("first"))
-    gone = staged(marked.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for copies and near copies of a row with a lesser doc_id."""
+    own = "__own"  # tells rows of one doc_id apart
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.where("doc_id IS NOT NULL").select("doc_id", F.col(own).alias("own"), "text")
+    marked = staged(summaries(rows, words), "summaries")
+    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("doc_id", "own")).alias("first"), *(F.first(c).alias(c) for c in ("size", "bits", "fp"))), "nodes")
+    texts = staged(rows.join(nodes.select("first.*", "node"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
+    found = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(texts, words, 24), similarity, words, suspected=suspected_links(nodes.select("node", "fp")))
+    label = nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    label = staged(label, "labels")
+    stays = label.groupBy("label").agg(F.min("first").alias("stays"))
+    of_node = label.select("node", "label").join(stays, "label").select("node", "stays")
+    gone = staged(marked.select("doc_id", "own", "node").join(of_node, "node").where("struct(doc_id, own) != stays").select("doc_id", F.col("own").alias(own)).distinct(), "gone")
+    return keyed.join(gone, ["doc_id", own], "left_anti").select(*docs.columns)

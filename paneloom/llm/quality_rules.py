@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are chosen under a proven risk, in DataFrame functions alone.
 
-Each rule rejects a document whose value lies above a cutoff. A labelled holdout tells, for a stratum (a language), how
-many good documents (quality 1 that pass the fixed base checks) a cutoff would reject. With n good documents and k of
-them rejected, P(Bin(n, risk) <= k) is the exact p-value of "the cutoff rejects more than ``risk`` of good documents".
-Cutoffs are tested from the loosest to the strictest and testing stops at the first that fails (a fixed sequence needs
-no further correction); the chains of all rules and strata share ``delta`` by Bonferroni, and the rules share ``risk``,
-so that with probability 1 - delta no stratum loses more than ``risk`` of its good documents. Of the certified cutoffs
-the one is taken that rejects most bad labelled documents net of good ones, the loosest of equals. A rule without a
-certified cutoff is not used in that stratum.
+Each rule rejects a document whose value lies above its cutoff. A setting gives every rule a cutoff, and the settings run from
+the loosest to the strictest. A labelled holdout tells, for a stratum (a language), how many good documents (quality 1 that
+pass the fixed base checks) a setting would reject, by any of its rules. With n good documents and k of them rejected,
+P(Bin(n, risk) <= k) is the exact p-value of "the setting rejects more than ``risk`` of the stratum's good documents".
+Settings are tested in their order and testing stops at the first that fails; such a fixed sequence needs no correction of its
+own. The strata share ``delta`` by Tarone's correction: with n good documents no p-value is below (1 - risk)^n, so strata with
+too few to reach their share can never be certified and take none; the number of strata that share is the least K such that
+no more than K of them can reach delta / K. It depends on the n alone, not on what the rules do. So with probability
+1 - delta no stratum loses more than ``risk`` of its good documents. Of the certified settings the one is taken that rejects
+most bad labelled documents net of good ones, the loosest of equals. A stratum without a certified setting uses no rule.
 
 Defined results: null texts are texts without words (base_failed); null languages are one stratum of their own; strata
 without labels use no rule; labels that are null are not counted, a document with several labels counts as bad if one
@@ -16,7 +18,7 @@ says so; repeated rows each keep a row; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, staged, table
@@ -92,50 +94,69 @@ def tail_probability(n: Column, k: Column, risk: float) -> Column:
     return F.when(k >= n * risk, F.lit(1.0)).otherwise(F.aggregate(few, first, add, lambda a: a["sum"]))
 
 
+def stratum(lang: str) -> Column:
+    """The stratum of a language; null is one of its own."""
+    return F.when(F.col(lang).isNull(), "none").otherwise(F.concat(F.lit("lang "), lang))
+
+
+STEPS = 12
+
+
+def setting(step: int) -> dict[str, float]:
+    """The cutoff of each rule at a step from 0 (loosest) to STEPS - 1 (strictest)."""
+    return {name: cutoffs[step * len(cutoffs) // STEPS] for name, (_, cutoffs) in RULES.items()}
+
+
+def _hit(cutoffs: dict[str, Column | float]) -> Column:
+    """A value of some rule lies above its cutoff."""
+    out = F.lit(False)
+    for name, (value, _) in RULES.items():
+        out = out | F.coalesce(F.expr(value) > cutoffs[name], F.lit(False))
+    return out
+
+
 def certified(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, k_good, n_bad_hit, p_value) of the cutoff taken for each rule and stratum."""
+    """(stratum, step, n_good, k_good, n_bad_hit, p_value, a column for each rule's cutoff) of each stratum's setting."""
     one = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = features.where(~F.col("base_failed")).join(one, "doc_id")
     sums = []
-    for name, (value, cutoffs) in RULES.items():
-        for i, cut in enumerate(cutoffs):
-            hit = F.expr(value) > cut
-            sums += [F.count_if(hit & (F.col("quality") == 1)).alias(f"{name}_{i}_good"), F.count_if(hit & (F.col("quality") == 0)).alias(f"{name}_{i}_bad")]
+    for i in range(STEPS):
+        hit = _hit(setting(i))
+        sums += [F.count_if(hit & (F.col("quality") == 1)).alias(f"good_{i}"), F.count_if(hit & (F.col("quality") == 0)).alias(f"bad_{i}")]
     wide = staged(seen.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n_good"), *sums), "holdout")
-    cells = [F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(float(cut)).alias("cutoff"), F.col(f"{name}_{i}_good").alias("k_good"), F.col(f"{name}_{i}_bad").alias("n_bad_hit")) for name, (_, cutoffs) in RULES.items() for i, cut in enumerate(cutoffs)]
-    long = wide.select("stratum", "n_good", F.inline(F.array(*cells)))
-    tested = long.withColumn("p_value", tail_probability(F.col("n_good"), F.col("k_good"), risk / len(RULES)))
-    chains = wide.agg((F.count("*") * len(RULES)).alias("chains"))
-    tested = tested.join(F.broadcast(chains))  # one row
-    per = tested.groupBy("stratum", "rule").agg(F.min(F.when(F.col("p_value") > F.lit(delta) / F.col("chains"), F.col("step"))).alias("stop"))
-    passed = tested.join(per, ["stratum", "rule"]).where(F.col("stop").isNull() | (F.col("step") < F.col("stop")))
-    best = passed.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n_good", "k_good", "n_bad_hit", "p_value"), F.struct(F.col("n_bad_hit") - F.col("k_good"), -F.col("step"))).alias("b"))
-    return best.select("stratum", "rule", "b.*")
+    able = wide.withColumn("least", F.pow(F.lit(1 - risk), "n_good")).where(F.col("least") <= delta)
+    # K = 1 + the number of K whose delta / K more than K strata can reach; one row for each stratum of some hundred labels
+    ranked = able.withColumn("rank", F.row_number().over(Window.orderBy("least", "stratum")))
+    sharing = ranked.agg((1 + F.count_if((F.col("rank") > 1) & (F.col("least") <= F.lit(delta) / (F.col("rank") - 1)))).alias("sharing"))
+    cells = [F.struct(F.lit(i).alias("step"), F.col(f"good_{i}").alias("k_good"), F.col(f"bad_{i}").alias("n_bad_hit"), *(F.lit(float(x)).alias(name) for name, x in setting(i).items())) for i in range(STEPS)]
+    tested = able.select("stratum", "n_good", F.inline(F.array(*cells))).join(F.broadcast(sharing))  # one row
+    tested = tested.withColumn("p_value", tail_probability(F.col("n_good"), F.col("k_good"), risk))
+    failed = F.when(F.col("p_value") > F.lit(delta) / F.col("sharing"), F.col("step"))
+    tested = tested.withColumn("stop", F.min(failed).over(Window.partitionBy("stratum")))
+    passed = tested.where(F.col("stop").isNull() | (F.col("step") < F.col("stop")))
+    kept = F.struct("step", "n_good", "k_good", "n_bad_hit", "p_value", *RULES)
+    return passed.groupBy("stratum").agg(F.max_by(kept, F.struct(F.col("n_bad_hit") - F.col("k_good"), -F.col("step"))).alias("b")).select("stratum", "b.*")
 
 
 def judged(features: DataFrame, cuts: DataFrame, few: int = 10_000) -> DataFrame:
     """``features`` with ``kept``: false if base_failed or above a taken cutoff of its stratum."""
-    wide = staged(cuts.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")), "cutoffs")
+    wide = staged(cuts.select("stratum", *RULES), "cutoffs")
     side = F.broadcast(wide) if wide.count() <= few else wide  # a row a stratum; broadcast only when counted few
-    hits = [F.coalesce(F.expr(value) > F.col(f"cut.{name}"), F.lit(False)) for name, (value, _) in RULES.items()]
-    any_hit = hits[0]
-    for x in hits[1:]:
-        any_hit = any_hit | x
     met = features.alias("f").join(side.alias("cut"), F.col("f.stratum") == F.col("cut.stratum"), "left")
-    return met.select("f.*", (~F.col("f.base_failed") & ~any_hit).alias("kept"))
+    return met.select("f.*", (~F.col("f.base_failed") & ~_hit({name: F.col(f"cut.{name}") for name in RULES})).alias("kept"))
 
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
     inner = [F.col(c) for c in docs.columns]
     whole = staged(counted(docs.select(F.struct(*inner).alias("row"), "text")).drop("text"), "counted")
-    features = flat(whole.select("row", "counts", F.coalesce("row.lang", F.lit("")).alias("stratum"), F.col("row.doc_id").alias("doc_id")), "row", "stratum", "doc_id")
+    features = flat(whole.select("row", "counts", stratum("row.lang").alias("stratum"), F.col("row.doc_id").alias("doc_id")), "row", "stratum", "doc_id")
     return judged(features, certified(features.drop("row"), labels, risk, delta)).where("kept").select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base check and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    features = staged(flat(counted(docs).withColumn("stratum", F.coalesce("lang", F.lit(""))), "doc_id", "stratum"), "rules")
+    features = staged(flat(counted(docs).withColumn("stratum", stratum("lang")), "doc_id", "stratum"), "rules")
     found = judged(features, certified(features, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -8,11 +8,14 @@ by its row of the matrix; after the exchange every shard permutes its rows again
 seed and the row, and the second is done in buckets of the hash, whose sizes give each bucket its first slot, so that no
 task ever holds a whole shard.
 
-The matrix has blocks x shards cells, both parameters; it and the buckets' first slots are the only sides broadcast.
+The matrix has blocks x shards cells; it and the buckets' first slots are the only sides broadcast, if their counted rows are few.
 
-Defined results: a null text has size 1 and the checksum of an empty text; null doc_ids take part; repeated rows are
-interchangeable, and each has a slot of its own; shard sizes differ by one at most whatever the rows; an empty table
-gives no rows. Extra columns are not carried along.
+Rows are staged with a number each before anything is drawn, and the number goes into every hash, so that rows alike in all
+columns are dealt as freely as others; the staged table also makes a retried task see the same numbers.
+
+Defined results: a null text has size 1 and the checksum of an empty text; null doc_ids take part; repeated rows have a slot
+each, anywhere; shard sizes differ by one at most whatever the rows; an empty table gives no rows. Extra columns are not
+carried along.
 """
 
 from __future__ import annotations
@@ -113,21 +116,27 @@ def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     return drawn.select(F.col("d.block").alias("block"), running.alias("upto"))
 
 
-def shuffled(rows: DataFrame, keys: list[str], shards: int = 16, blocks: int = 512, buckets: int = 64, seed: int = 11) -> DataFrame:
-    """``rows`` with shard and slot. ``keys`` tell rows apart; rows alike in all keys are interchangeable."""
-    hashed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)))
+def shuffled(rows: DataFrame, keys: list[str], shards: int = 16, per_block: int = 1_000_000, per_bucket: int = 250_000, seed: int = 11) -> DataFrame:
+    """``rows`` with shard and slot. Blocks and buckets are as many as ``per_block`` and ``per_bucket`` ask for, and at least
+    512 and 64; so a task's rows stay bounded. ``keys`` and a row's number tell rows apart."""
+    numbered = staged(rows.withColumn("nth", F.monotonically_increasing_id()), "numbered")
+    n = numbered.count()
+    keys, blocks, buckets = [*keys, "nth"], max(512, n // per_block), max(64, n // (shards * per_bucket))
+    hashed = numbered.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)))
     counts = staged(hashed.groupBy("block").agg(F.count("*").alias("n")), "blocks")
-    dealt = staged(matrix(counts, shards, seed), "matrix")  # blocks rows
+    dealt = staged(matrix(counts, shards, seed), "matrix")  # a row for each block, whose number is checked
+    side = F.broadcast(dealt) if blocks <= 100_000 else dealt
     within = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), *keys), *keys)
-    placed = hashed.withColumn("place", F.row_number().over(within)).join(F.broadcast(dealt), "block")
+    placed = hashed.withColumn("place", F.row_number().over(within)).join(side, "block")
     shard = F.size(F.filter("upto", lambda x: x < F.col("place"))).cast("int")
-    sent = placed.select(*rows.columns, shard.alias("shard"), F.xxhash64(F.lit(seed + 2), *keys).alias("order"))
+    sent = placed.select(*rows.columns, "nth", shard.alias("shard"), F.xxhash64(F.lit(seed + 2), *keys).alias("order"))
     sent = staged(sent.withColumn("bucket", F.floor(F.shiftrightunsigned("order", 11) / float(1 << 53) * buckets).cast("int")), "sent")
     sizes = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    begins = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("begin"))  # shards x buckets rows
+    begins = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("begin"))
+    begins = F.broadcast(begins) if shards * buckets <= 1_000_000 else begins  # shards x buckets rows
     again = Window.partitionBy("shard", "bucket").orderBy(F.shiftrightunsigned("order", 11), "order", *keys)
     slot = F.row_number().over(again) - 1 + F.col("begin")
-    return sent.join(F.broadcast(begins), ["shard", "bucket"]).select(*rows.columns, "shard", slot.cast("long").alias("slot"))
+    return sent.join(begins, ["shard", "bucket"]).select(*rows.columns, "shard", slot.cast("long").alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +144,5 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    found = shuffled(staged(rows, "rows"), ["doc_id", "size", "text_crc32"])
+    found = shuffled(rows, ["doc_id", "size", "text_crc32"])
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
