@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm.classifier import keep_by_classifier
+from paneloom.llm.classifier import HELD_OUT, keep_by_classifier
 from paneloom.llm.common import staged, table
 from paneloom.llm.near_copies import keep_one_of_each
 from paneloom.llm.packing import pack_documents
@@ -17,8 +17,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base checks and the risk-controlled rules."""
-    return keep_by_rules(docs, table(spark, sf_dir, "labels"))
+    """Documents that pass the base checks and the risk-controlled rules, whose holdout is the fold that the classifier hasn't
+    learned from."""
+    return keep_by_rules(docs, table(spark, sf_dir, "labels").where(HELD_OUT))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
