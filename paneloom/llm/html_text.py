@@ -13,7 +13,7 @@ role, class or id stays if it is round the article: if no article or main stands
 or most of the page's text outside links.
 
 Defined results: a null page and a page without text give an empty text; unclosed and stray tags are closed or passed
-over as browsers do for paragraphs and list items; repeated rows each keep a row; an empty table gives no rows.
+over as browsers do for paragraphs and list items; a br ends a block's line; repeated rows each keep a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CLOSES_P = BLOCKS - {"br"}
 #: Words in class, id or role that mark what is not the article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|side|aside|comments?|disqus|reply|replies|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|widget|toolbar|pagination|pager|search|login|signup|contentinfo|complementary|navigation|alert|dialog)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies)(?:$|[\s_-])", re.I)
 KEPT = frozenset(("html", "body", "article", "main"))
 
 
@@ -55,15 +56,24 @@ class Node:
 def _marked(name: str, attributes: str) -> bool:
     if name == "form":
         return True
-    if name in KEPT or not attributes:
+    if name in ("html", "body") or not attributes:
         return False
-    return any(MARKS.search(m[1].strip("\"'")) for m in _NAMED.finditer(attributes))
+    marks = COMMENTS if name in KEPT else MARKS  # an article is left out only as a reader's comment
+    return any(marks.search(m[1].strip("\"'")) for m in _NAMED.finditer(attributes))
 
 
 def parse(page: str) -> Node:
     """The tree of a page; parts of a node are its texts and child nodes in order."""
     root = here = Node("html", None, False)
     at, n = 0, len(page)
+    opened: dict[str, int] = {}  # how many of a name stand open, so that a stray closing tag costs no walk
+
+    def close(down_to: Node) -> None:
+        nonlocal here
+        while here is not down_to:
+            opened[here.name] -= 1
+            here = here.parent
+
     while at < n:
         m = _TOKEN.search(page, at)
         begin = m.start() if m else n
@@ -77,6 +87,8 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
+            if not opened.get(name):
+                continue
             up = here
             while up is not root and up.name != name:
                 if up.name in ("td", "th", "table", "article", "body") and name not in BLOCKS:
@@ -84,22 +96,22 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up is not root:
-                here = up.parent
+                close(up.parent)
             continue
         if name == "html":
             continue
-        if name in CLOSES_P:  # a block ends an open paragraph, and whatever is open in it
+        if name in CLOSES_P and opened.get("p"):  # a block ends an open paragraph, and whatever is open in it
             up = here
             while up is not root and up.name != "p" and (up.name not in BLOCKS):
                 up = up.parent
             if up is not root and up.name == "p":
-                here = up.parent
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                close(up.parent)
+        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and opened.get(name):
             up = here
             while up is not root and up.name != name and up.name not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select") and not (name != "tr" and up.name == "tr"):
                 up = up.parent
             if up is not root and up.name == name:
-                here = up.parent
+                close(up.parent)
         child = Node(name, here, here.out or (name in APART and name != "form"))
         child.marked = not child.out and _marked(name, m[3])
         here.parts.append(child)
@@ -111,6 +123,7 @@ def parse(page: str) -> Node:
             at = end.end()
         elif name not in VOID and not m[3].endswith("/"):
             here = child
+            opened[name] = opened.get(name, 0) + 1
     leave_out(root)
     return root
 
@@ -122,7 +135,7 @@ def leave_out(root: Node) -> None:
     of the page's text outside links is opened, and the marked elements in it are judged in the same way.
     """
     for node in reversed(_order(root)):
-        node.holds = node.name in ("article", "main")
+        node.holds = node.name in ("article", "main") and not node.marked
         for x in node.parts:
             if isinstance(x, str):
                 node.plain += len("".join(x.split()))
@@ -136,7 +149,7 @@ def leave_out(root: Node) -> None:
         todo, found, free = [scopes.pop()], [], False
         while todo:
             node = todo.pop()
-            free |= node.name in ("article", "main")
+            free |= node.name in ("article", "main") and not node.marked
             for x in node.parts:
                 if isinstance(x, Node) and not x.out:
                     (found if x.marked else todo).append(x)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .simhash import _votes, components, links
+from .tokenize import release
 
 BITS = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -93,37 +94,38 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-SUMMARY = "doc_id long, own long, node long, size int, bits binary, fp long"
+SUMMARY = "doc_id long, own long, name long, size int, bits binary, fp long"
 
 
 def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
-    """For each row (doc_id, own, text): node (the name of its shingle set), size, parities and fingerprint (fp)."""
+    """For each row (doc_id, own, text): the name of its shingle set, its size, parities and fingerprint (fp)."""
 
     def of(batches: Iterator[pa.RecordBatch]):
         import xxhash
 
+        release()
         for batch in batches:
             lists = [shingles(x.as_py(), words) for x in batch.column("text")]
             sets = [np.unique(x) for x in lists]
             names = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             prints = np.array([_votes(x) if len(x) else 0 for x in lists], np.uint64).view(np.int64)
             columns = [pa.array(names), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(prints)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *columns], ["doc_id", "own", "node", "size", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), *columns], ["doc_id", "own", "name", "size", "bits", "fp"])
 
     return docs.select("doc_id", "own", "text").mapInArrow(of, SUMMARY)
 
 
 def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than ``crowd`` texts, of the third of least hashes, with their ranks; the most frequent come last.
+    """Shingles of more than ``crowd`` texts, of the quarter of least hashes, with their ranks; the most frequent come last.
 
-    Prefixes are mostly from that third. What is left out costs pairs, never links: any common order is right.
+    Prefixes are mostly from that quarter. What is left out costs pairs, never links: any common order is right.
     """
 
     def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if len(batch):
                 sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
-                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64((1 << 64) // 3))] for x in sets]), return_counts=True)
+                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64(1 << 62))] for x in sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
 
     counted = texts.select("text").mapInArrow(of, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -141,6 +143,30 @@ def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_00
     return values[order], rows.column("n").to_numpy()[order]
 
 
+SLOTS = 1 << 23
+
+
+def _slots(key: list[str]):
+    """The word and the bit of a key in a bitmap of SLOTS bits."""
+    slot = F.pmod(F.xxhash64(F.lit(5), *key), F.lit(SLOTS))
+    return F.shiftright(slot, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit")
+
+
+def maybe(rows: DataFrame, wanted: DataFrame, *key: str, others: bool = False) -> DataFrame:
+    """The rows whose key may be in ``wanted`` (or the ``others``), by a bitmap of SLOTS bits, whatever the sizes: at most
+    SLOTS / 64 rows are broadcast. Rows that it lets go need no shuffle."""
+    word, bit = _slots(list(key))
+    bitmap = wanted.select(word, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    met = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bitmap), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return met.where(~hit if others else hit).select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key isn't in ``gone``: of those that the bitmap can't clear, by an anti-join."""
+    return maybe(rows, gone, *key, others=True).union(maybe(rows, gone, *key).join(gone, list(key), "left_anti").select(*rows.columns))
+
+
 def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None) -> DataFrame:
     """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
 
@@ -162,7 +188,8 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "size", "place"])
 
     stored = staged(texts.mapInArrow(probe, "bucket long, node long, size int, place int"), "probes")
-    counts = staged(stored.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    counts = stored.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(stored.join(counts, "bucket"), "met")
 
     def bounds():
         """Sizes and places that a pair of ``similarity`` or more can have where it shares its first shingle."""
@@ -191,7 +218,7 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
         """Those of ``pairs`` (a, b) whose sets have the similarity."""
         left = staged(pairs.distinct(), "possible")
         asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        wanted = texts.join(asked, "node", "left_semi")
+        wanted = maybe(texts, asked, "node").join(asked, "node", "left_semi")
 
         def exact(batches: Iterator[pa.RecordBatch]):
             held: tuple = (None, None)
@@ -207,15 +234,13 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
         sets = left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return staged(sets.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "verified")
 
-    calm = stored.join(counts.where(F.col("n") <= crowd), "bucket")
+    calm, busy = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
     pairs = side(calm, "a").join(side(calm, "b"), "bucket").where((F.col("a") < F.col("b")) & bounds()).select("a", "b").distinct()
     found = verified(suspected) if suspected is not None else pairs.where("false")
     label = components(found)
     found = found.union(verified(possible_of(pairs, label)))
-    crowds = counts.where(F.col("n") > crowd)
-    if crowds.isEmpty():
+    if busy.isEmpty():
         return found
-    busy = staged(stored.join(crowds, "bucket"), "busy")
     least = busy.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "size", "place")).alias(f"h{i}") for i in range(hubs)))
     heads = least.select("bucket", F.explode(F.array(*(F.struct(F.col(f"h{i}.node").alias("a"), F.col(f"h{i}.size").alias("sa"), F.col(f"h{i}.place").alias("pa")) for i in range(hubs)))).alias("h")).select("bucket", "h.*").distinct()
     pairs = heads.join(side(busy, "b"), "bucket").where((F.col("a") != F.col("b")) & bounds()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -263,12 +288,16 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = keyed.where("doc_id IS NOT NULL").select("doc_id", F.col(own).alias("own"), "text")
     marked = staged(summaries(rows, words), "summaries")
-    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("doc_id", "own")).alias("first"), *(F.first(c).alias(c) for c in ("size", "bits", "fp"))), "nodes")
-    texts = staged(rows.join(nodes.select("first.*", "node"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
+    node = F.xxhash64("doc_id", "own").alias("node")  # a shingle set is named by its first row, so that texts need no join
+    firsts = marked.groupBy("name").agg(F.min(F.struct("doc_id", "own")).alias("first"), *(F.first(c).alias(c) for c in ("size", "bits", "fp")))
+    nodes = staged(firsts.select("name", "first", F.xxhash64("first.doc_id", "first.own").alias("node"), "size", "bits", "fp"), "nodes")
+    named = staged(marked.select("doc_id", "own", "name").join(nodes.select("name", "first", "node"), "name").drop("name"), "named")
+    copies = named.where("struct(doc_id, own) != first").select("doc_id", "own")
+    texts = without(rows, copies, "doc_id", "own").select(node, "text")
     found = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(texts, words, 24), similarity, words, suspected=suspected_links(nodes.select("node", "fp")))
     label = nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     label = staged(label, "labels")
     stays = label.groupBy("label").agg(F.min("first").alias("stays"))
     of_node = label.select("node", "label").join(stays, "label").select("node", "stays")
-    gone = staged(marked.select("doc_id", "own", "node").join(of_node, "node").where("struct(doc_id, own) != stays").select("doc_id", F.col("own").alias(own)).distinct(), "gone")
-    return keyed.join(gone, ["doc_id", own], "left_anti").select(*docs.columns)
+    gone = staged(named.join(of_node, "node").where("struct(doc_id, own) != stays").select("doc_id", F.col("own").alias(own)).distinct(), "gone")
+    return without(keyed, gone, "doc_id", own).select(*docs.columns)

@@ -109,6 +109,11 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _made.get((path, spaced)) or _made.setdefault((path, spaced), Encoder(path, spaced))
 
 
+def release() -> None:
+    """Lets a worker that turns to other work give its encoders' memory back."""
+    _made.clear()
+
+
 def slices(texts: list[str | None], most: int = 4_000_000):
     """Index ranges whose texts together have about ``most`` characters, for bounded memory within a batch."""
     begin = total = 0

@@ -462,6 +462,30 @@ def test_marked_wrappers_and_closed_foreign_elements():
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
+def test_comments_and_stray_tags():
+    import time
+
+    article = "<p>" + "The article has a first sentence of many words. " * 8 + "</p>"
+    note = "<article class='comment'><p>" + "A reader says this and that. " * 4 + "</p></article>"
+    page = f"<body><article>{article}{note}{article}</article></body>"
+    assert "reader" not in html_text.extract(page) and html_text.extract(page).count("\n") == 1
+    page = f"<body><div class='search-results-story related'>{article}{article}</div></body>"
+    assert html_text.extract(page).count("first sentence") == 16
+    began = time.process_time()
+    html_text.extract("<b>" * 8000 + "x" + "</i>" * 8000)
+    html_text.extract("<b>" * 8000 + "<p>x" * 8000 + "<li>y" * 100)
+    assert time.process_time() - began < 2
+
+
+def test_density_decides():
+    """Without any marks the densest subtree is taken: links and scattered words beside it are left."""
+    links = "<div>" + "".join(f"<a href='/{i}'>Item {i}</a> " for i in range(40)) + "</div>"
+    article = "<div>" + ("<p>" + "The article has a first sentence of many words. " * 8 + "</p>") * 5 + "</div>"
+    assert "Item" in "\n".join(html_text.blocks(html_text.parse(f"<body>{links}{article}{links}</body>")))
+    found = html_text.extract(f"<body>{links}{article}{links}</body>")
+    assert "Item" not in found and found.count("first sentence") == 40
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 4))
