@@ -9,7 +9,8 @@ by joins on digests:
 1. Each row gives its payload's digest and the ordered list of its chunks' digests (no bytes move).
 2. Each chunk digest has one owner: the payload that has it with the least (digest, row key). Each payload is kept by
    one row.
-3. The keeping rows meet the list of chunks that they own and write those frames alone, with the whole chunk list.
+3. The keeping rows are framed, meet the list of chunks that they own and write those frames alone, with the whole chunk
+   list.
 4. Reading back, a payload that owns all its chunks is complete in its own row; the others fetch frames from their
    owners by a join on digests. Each payload is reassembled in list order, opened and checked against its digest before
    anything is computed from it.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_path, staged, table
+from .common import maybe, stage_path, staged, table
 
 WINDOW = 32
 
@@ -89,11 +90,16 @@ def _digest(data) -> bytes:
     return hashlib.sha256(data).digest()[:20]
 
 
-RECIPE = "doc_id long, n_bytes long, payload binary, chunks array<binary>"
+RECIPE = "doc_id long, name long, n_bytes long, payload binary, chunks array<binary>"
+
+
+def _name():
+    """A short name of a row's text."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("name")
 
 
 def recipes(docs: DataFrame, cutter: Cutter, unit: int = 576) -> DataFrame:
-    """For each row its payload's digest and its chunks' digests."""
+    """For each row (doc_id, name) its payload's digest and its chunks' digests."""
 
     def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -102,9 +108,9 @@ def recipes(docs: DataFrame, cutter: Cutter, unit: int = 576) -> DataFrame:
                 n, payload = padded(x.as_py(), unit)
                 sizes.append(n), payloads.append(hashlib.sha256(payload).digest())
                 lists.append([_digest(payload[a:b]) for a, b in cutter.chunks(payload)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "payload", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "name", "n_bytes", "payload", "chunks"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, RECIPE)
+    return docs.select("doc_id", _name(), "text").mapInArrow(of, RECIPE)
 
 
 def train_dictionary(docs: DataFrame, cutter: Cutter, unit: int = 576, size: int = 64_000, sample: int = 800) -> bytes:
@@ -132,9 +138,9 @@ def train_dictionary(docs: DataFrame, cutter: Cutter, unit: int = 576, size: int
 STORE = "payload binary, chunks array<binary>, lengths array<int>, own array<int>, lent array<int>, frames array<binary>"
 
 
-def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, trained: bytes = b"", unit: int = 576, level: int = 9) -> str:
+def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, trained: bytes = b"", unit: int = 576, level: int = 13) -> str:
     """Writes each distinct payload once: its ordered chunk list, and the frames of the chunks that it owns."""
-    keepers = recipe.groupBy("payload").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))).alias("k"), F.min("chunks").alias("chunks")).select("payload", "k.key", "chunks")
+    keepers = recipe.groupBy("payload").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", "name")).alias("k"), F.min("chunks").alias("chunks")).select("payload", "k.*", "chunks")
     keepers = staged(keepers.withColumn("pid", F.xxhash64("payload")), "keepers")  # pid and key name a kept payload in short
     parts = keepers.select("pid", "key", F.posexplode("chunks").alias("i", "digest"))
     owners = parts.groupBy("digest").agg(F.min(F.struct("pid", "key", "i")).alias("o"), F.count("*").alias("uses"))
@@ -160,7 +166,8 @@ def store(docs: DataFrame, recipe: DataFrame, path: str, cutter: Cutter, trained
             columns = [pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(frames, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["payload", "key", "chunks", "lengths", "frames"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(framed, "payload binary, key long, chunks array<binary>, lengths array<int>, frames array<binary>")
+    # rows that keep no payload are let go before they are framed, but for a few that the bitmap can't tell
+    rows = maybe(docs.select("doc_id", _name(), "text"), keepers, "doc_id", "name").select("doc_id", "text").mapInArrow(framed, "payload binary, key long, chunks array<binary>, lengths array<int>, frames array<binary>")
     own = F.transform("own", lambda i: F.get("frames", i))
     kept = rows.join(wanted, ["payload", "key"]).select("payload", "chunks", "lengths", "own", "lent", own.alias("frames"))
     kept.write.option("compression", "none").parquet(path)  # frames are compressed already

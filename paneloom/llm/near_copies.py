@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import maybe, staged
 from .simhash import _votes, components, links
 from .tokenize import release
 
@@ -143,25 +143,6 @@ def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_00
     return values[order], rows.column("n").to_numpy()[order]
 
 
-SLOTS = 1 << 23
-
-
-def _slots(key: list[str]):
-    """The word and the bit of a key in a bitmap of SLOTS bits."""
-    slot = F.pmod(F.xxhash64(F.lit(5), *key), F.lit(SLOTS))
-    return F.shiftright(slot, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit")
-
-
-def maybe(rows: DataFrame, wanted: DataFrame, *key: str, others: bool = False) -> DataFrame:
-    """The rows whose key may be in ``wanted`` (or the ``others``), by a bitmap of SLOTS bits, whatever the sizes: at most
-    SLOTS / 64 rows are broadcast. Rows that it lets go need no shuffle."""
-    word, bit = _slots(list(key))
-    bitmap = wanted.select(word, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    met = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bitmap), "__word", "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
-    return met.where(~hit if others else hit).select(*rows.columns)
-
-
 def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
     """The rows whose key isn't in ``gone``: of those that the bitmap can't clear, by an anti-join."""
     return maybe(rows, gone, *key, others=True).union(maybe(rows, gone, *key).join(gone, list(key), "left_anti").select(*rows.columns))
