@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
+from .tokenize import release
 
 FEATURES = ("log_words", "word_length", "word_length_spread", "distinct_words", "repeated_neighbours", "symbols", "upper", "digits", "punctuation", "exclamations", "bars", "other_bytes", "lines_per_word", "dup_lines", "longest_word", "distinct_pairs", "short_words")
 
@@ -59,6 +60,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each row of ``docs``."""
 
     def of(batches: Iterator[pa.RecordBatch]):
+        release()
         for batch in batches:
             rows = [statistics(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])

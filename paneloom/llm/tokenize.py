@@ -43,7 +43,7 @@ class Encoder:
     and units still met move up again. Longer units than ``longest`` aren't kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, spaced: bool, most: int = 300_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
