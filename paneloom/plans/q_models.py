@@ -126,7 +126,9 @@ def m34_sensitivity(spark, sf_dir):
     pre = [fit.beta[times.index(t)] for t in (-3, -2)] + [0.0]
     worst = max(abs(b - a) for a, b in zip(pre, pre[1:], strict=False))
     half = lambda m: 1.959963984540054 * se + m * worst * (sum(t >= 0 for t in times) + 1) / 2
-    return spark.createDataFrame([(m / 4, est - half(m / 4), est + half(m / 4)) for m in range(9)], "mbar double, low double, high double")
+    breakdown = float((abs(est) - 1.959963984540054 * se) / max(worst * (sum(t >= 0 for t in times) + 1) / 2, 1e-300))  # the bounds reach zero there
+    rows = [(m / 4, float(est - half(m / 4)), float(est + half(m / 4)), max(breakdown, 0.0)) for m in range(9)]
+    return spark.createDataFrame(rows, "mbar double, low double, high double, breakdown double")
 
 
 @query(_EVENT_SQL.replace("m AS (SELECT year,", "m AS (SELECT site_id % 3 AS k, year,").replace("GROUP BY 1)", "GROUP BY ALL)") + ", t AS (SELECT regr_slope(gap, year) AS slope FROM (SELECT year, avg(gap) AS gap FROM m WHERE year < 1998 GROUP BY 1)) SELECT round(slope + 1e-7, 4) AS slope FROM t")
@@ -334,12 +336,12 @@ def m04_changes_in_changes(spark, sf_dir):
     return M.changes_in_changes(treated(panel(spark, sf_dir)))
 
 
-@query(f"""WITH {BALANCED_SQL}, w AS (SELECT buff_km = 0 AS tr, year, y - avg(y) FILTER (year < 1998) OVER (PARTITION BY unit) AS e FROM pb), q AS (SELECT t.tau, tr, year >= 1998 AS post, quantile_cont(e, 0.1) AS q10, quantile_cont(e, 0.5) AS q50, quantile_cont(e, 0.9) AS q90 FROM w CROSS JOIN (SELECT 0 AS tau) t GROUP BY ALL)
-SELECT round(sum(CASE WHEN tr = post THEN q10 ELSE -q10 END) + 1e-7, 4) AS q10, round(sum(CASE WHEN tr = post THEN q50 ELSE -q50 END) + 1e-7, 4) AS q50, round(sum(CASE WHEN tr = post THEN q90 ELSE -q90 END) + 1e-7, 4) AS q90 FROM q""")
+@query(f"""WITH {BALANCED_SQL}, w AS (SELECT buff_km = 0 AS tr, year, y - avg(y) FILTER (year < 1998) OVER (PARTITION BY unit) AS e FROM pb), q AS (SELECT t.tau, tr, year >= 1998 AS post, {", ".join(f"quantile_cont(e, {t}) AS q{round(100 * t)}" for t in (0.1, 0.25, 0.5, 0.75, 0.9))} FROM w CROSS JOIN (SELECT 0 AS tau) t GROUP BY ALL)
+SELECT {", ".join(f"round(sum(CASE WHEN tr = post THEN q{q} ELSE -q{q} END) + 1e-7, 4) AS q{q}" for q in (10, 25, 50, 75, 90))} FROM q""")
 def m35_quantile_did(spark, sf_dir):
     e = F.col("y") - F.avg(F.when(F.col("year") < 1998, F.col("y"))).over(Window.partitionBy("unit"))
     w = _pb(spark, sf_dir).withColumn("e", e)
-    taus = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    taus = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
     q = w.groupBy("treatment", "post").agg(*(F.percentile("e", t).alias(k) for k, t in taus.items()))
     sign = F.when(F.col("treatment") == F.col("post"), 1).otherwise(-1)
     return q.agg(*(r4(F.sum(sign * F.col(k))).alias(k) for k in taus))

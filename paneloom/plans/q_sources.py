@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paneloom.sources import exports as X
-from paneloom.sources.staging import staged
+from paneloom.sources.staging import shared_dir, staged
 from paneloom.sources.tables import ORDERS_SQL, PANEL_SQL, orders_by_customer, panel, table
 
 from .registry import query
@@ -34,11 +34,7 @@ def s8_headers(spark, sf_dir):
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(min(15 + floor(o_custkey / 40) * 1e-4), 4) AS south FROM orders GROUP BY 1")
 def s3_export_round_trip(spark, sf_dir):
     """Orders written as one CSV export a year under two header styles, found again, harmonised and summed."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        staged(spark.range(1))
-        root = spark.conf.get("spark.checkpoint.dir")
-    folder = f"{root.rstrip('/')}/paneloom/exports-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/paneloom/exports-{uuid.uuid4().hex}"
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"), (15 + F.floor(F.col("o_custkey") / 40) * 1e-4).alias("lat"), (75 + (F.col("o_custkey") % 40) * 1e-4).alias("lon"), F.col("o_totalprice").alias("v"))
     even = F.col("yr") % 2 == 0
     o.where(even).select(F.col("lat").alias("Latitude"), F.col("lon").alias("LONG"), F.col("v").alias("NDVI mean"), F.col("yr").alias("Year")).write.option("header", True).csv(f"{folder}/even")
@@ -50,11 +46,7 @@ def s3_export_round_trip(spark, sf_dir):
 @query(f"WITH {PANEL_SQL} SELECT year, season, count(*) AS n, count(DISTINCT pixel_id) AS pixels, round(sum(y) + 1e-4, 2) AS total FROM panel GROUP BY ALL")
 def s14_panel_sink(spark, sf_dir):
     """The panel written by year and season in its natural order, and read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        staged(spark.range(1))
-        root = spark.conf.get("spark.checkpoint.dir")
-    path = f"{root.rstrip('/')}/paneloom/panel-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/paneloom/panel-{uuid.uuid4().hex}"
     X.write_panel(panel(spark, sf_dir).withColumnsRenamed({"year": "Year", "season": "Season"}), path)
     return spark.read.parquet(path).groupBy(F.col("Year").alias("year"), F.col("Season").alias("season")).agg(F.count("*").alias("n"), F.count_distinct("pixel_id").alias("pixels"), F.round(F.sum("y") + 1e-4, 2).alias("total"))
 

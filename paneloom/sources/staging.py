@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a session of one machine may lack it; it then gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests on one machine
+    if not root:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/paneloom/stage-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/paneloom/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
