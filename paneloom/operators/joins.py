@@ -60,14 +60,21 @@ def reconciled(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").select(*keys, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"), side.alias("side"))
 
 
-def name_clusters(pairs: DataFrame, names: DataFrame, staged, rounds: int = 30) -> DataFrame:
-    """(name, cluster): names joined by pairs (a, b), named by their least member; labels spread until they settle."""
-    both = staged(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("name", "other"))
-    label = staged(names.select("name", F.col("name").alias("cluster")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.min("cluster").alias("low"))
-        after = staged(label.join(near, "name", "left").select("name", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster")))
-        if after.exceptAll(label).isEmpty():
-            return after
-        label = after
-    raise RuntimeError("the clusters did not settle")
+def name_clusters(pairs: DataFrame, names: DataFrame, staged) -> DataFrame:
+    """(name, cluster): names joined by pairs (a, b), named by their least member.
+
+    Each round hangs a name's larger neighbours on its least one, then its smaller neighbours on the least of these, until
+    only stars are left; long chains shrink by a factor a round.
+    """
+    arcs = staged(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = arcs.union(arcs.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        hung = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        after = staged(hung.union(low.select("u", "low")).distinct())
+        if after.exceptAll(arcs).isEmpty() and arcs.exceptAll(after).isEmpty():
+            break
+        arcs = after
+    return names.join(arcs.select(F.col("u").alias("name"), F.col("v").alias("cluster")), "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))

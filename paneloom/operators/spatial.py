@@ -33,7 +33,7 @@ def overlap_pairs(points: DataFrame, key: str, lat: str = "lat", lon: str = "lon
     return met.where((dx < side) & (dy < side)).withColumn("overlap", share).where(F.col("overlap") >= least).select("a", "b", "overlap")
 
 
-def canonical_map(pairs: DataFrame, rank: DataFrame, staged, rounds: int = 50) -> DataFrame:
+def canonical_map(pairs: DataFrame, rank: DataFrame, staged) -> DataFrame:
     """(node, canonical): the lexicographically first independent set in order of ``rank`` (node, place; lower first).
 
     Each round takes the nodes that come before all their unassigned neighbours, and hands their neighbours over; every
@@ -42,16 +42,12 @@ def canonical_map(pairs: DataFrame, rank: DataFrame, staged, rounds: int = 50) -
     both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v")
     edges = staged(both.join(rank.toDF("u", "pu"), "u").join(rank.toDF("v", "pv"), "v"))
     left, taken = edges, None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # the first of all that are left always goes, so this ends
         first = staged(left.groupBy("u", "pu").agg(F.min("pv").alias("best")).where("pu < best").select("u"))
         beside = staged(left.join(first, "u", "left_semi").select(F.col("v").alias("u")).distinct())
         taken = beside if taken is None else taken.union(beside)
         gone = first.union(beside)
         left = staged(left.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v", "pu", "pv"))
-    else:
-        raise RuntimeError("the map did not settle")
     if taken is None:
         return both.select(F.col("u").alias("node"), F.col("v").alias("canonical"))
     # who is beside no canonical node is one: also those whose neighbours have all left before their turn
@@ -71,10 +67,11 @@ def nearest(points: DataFrame, others: DataFrame, k: int, metres: float, key: st
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(key, other_key, "metres", "place")
 
 
-def nearest_exact(points: DataFrame, others: DataFrame, k: int, metres: float, staged, key: str = "key", other_key: str = "other", rounds: int = 12) -> DataFrame:
-    """As ``nearest`` without a bound: rows with fewer than k found are asked again with twice the radius."""
-    out, left = None, points
-    for _ in range(rounds):
+def nearest_exact(points: DataFrame, others: DataFrame, k: int, metres: float, staged, key: str = "key", other_key: str = "other") -> DataFrame:
+    """As ``nearest`` without a bound: rows with fewer than k found (or than there are) are asked again with twice the radius,
+    until it spans the earth."""
+    out, left, k = None, points, min(k, others.count())
+    while k and metres < 8e7:
         found = staged(nearest(left, others, k, metres, key, other_key))
         full = found.groupBy(key).count().where(F.col("count") >= k).select(key)
         done = found.join(full, key, "left_semi")
@@ -83,7 +80,7 @@ def nearest_exact(points: DataFrame, others: DataFrame, k: int, metres: float, s
         metres *= 2
         if left.isEmpty():
             break
-    return out if left.isEmpty() else out.union(nearest(left, others, k, metres, key, other_key))
+    return out if out is not None else nearest(points, others, 1, metres, key, other_key)
 
 
 def in_polygon(points: DataFrame, edges: DataFrame, degrees: float = 0.01) -> DataFrame:

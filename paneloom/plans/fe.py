@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paneloom.sources.staging import staged
+
 from .stats import t_p
 
 RESULT = "term string, estimate double, se double, p_value double, se_how string, n_obs long, n_units long, n_clusters long"
@@ -66,6 +68,7 @@ def twfe(df: DataFrame, y: str, xs: list[str], unit: str, period: str, cluster:
     within = base.withColumn("_n", F.count("*").over(by_unit)).where("_n > 1").withColumn("_total", F.sum("_w").over(by_unit))
     z = [f"_z{i}" for i in range(len(cols))]
     within = within.withColumns({c: F.col(c) - F.sum(F.col("_w") * F.col(c)).over(by_unit) / F.col("_total") for c in z})
+    within = staged(within)  # three passes read it
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     sums = within.groupBy(*keys, "_p").agg(
         F.sum("_w").alias("w"), F.count("*").alias("n"), F.sum(1 / F.col("_n")).alias("units"), *(F.sum(F.col("_w") * F.col(c)).alias(f"d{i}") for i, c in enumerate(z)), *(F.sum(F.col("_w") * F.col(z[i]) * F.col(z[j])).alias(f"q{i}_{j}") for i, j in pairs)

@@ -105,3 +105,24 @@ def test_nearest_without_a_bound(spark):
     far = pts.withColumnRenamed("key", "other").where(F.col("other") % 9 == 0)
     got = {r.key: r.other for r in spatial.nearest_exact(pts, far, 1, 5.0, staged).collect()}
     assert got == {i: min((0, 9, 18), key=lambda j: (abs(i - j), j)) for i in range(20)}
+
+
+def test_long_chains_settle(spark):
+    """A strip of 120 squares in order of rank, and a chain of 100 names."""
+    strip = spark.createDataFrame([(i, i + 1) for i in range(119)], "a int, b int")
+    got = {r.node: r.canonical for r in spatial.canonical_map(strip, spark.range(120).selectExpr("int(id) AS node", "struct(id) AS place"), staged).collect()}
+    assert got == {i: i - 1 for i in range(1, 120, 2)}
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(99)], "a string, b string")
+    names = spark.createDataFrame([(f"n{i:03}",) for i in range(100)] + [("other",)], "name string")
+    from paneloom.operators import joins
+
+    got = {r.name: r.cluster for r in joins.name_clusters(chain, names, staged).collect()}
+    assert got == {f"n{i:03}": "n000" for i in range(100)} | {"other": "other"}
+
+
+def test_dates_between_their_neighbours(spark):
+    from paneloom.operators import panel
+
+    rows = [("a", 1, "13/01/2019"), ("a", 2, "02/03/2019"), ("a", 3, "20/02/2019"), ("b", 1, "05/06/2019"), ("c", 1, "31/12/2018"), ("c", 2, "04/05/2019"), ("c", 3, "25/05/2019")]
+    got = {(r.g, r.v): (str(r.date), r.read) for r in panel.dates_in_order(spark.createDataFrame(rows, "g string, v int, t string"), "g", "v", "t").collect()}
+    assert got["a", 2] == ("2019-02-03", "month first") and got["b", 1] == ("2019-06-05", "open") and got["c", 2] == ("2019-05-04", "open")
