@@ -193,13 +193,14 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
                     near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= total - 2 * _needed(similarity, total))
                     yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
-        return staged(pairs, "pairs").join(of("a"), "a").join(of("b"), "b").where("la != lb").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(possible, "a long, b long")
+        return staged(pairs, "pairs").hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b").where("la != lb").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(possible, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sets have the similarity."""
         left = staged(pairs.distinct(), "possible")
         asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        wanted = maybe(texts, asked, "node").join(asked, "node", "left_semi")
+        # one plan at every size: neither pairs nor texts are bounded, so neither is broadcast
+        wanted = maybe(texts, asked, "node").join(asked.hint("merge"), "node", "left_semi")
 
         def exact(batches: Iterator[pa.RecordBatch]):
             held: tuple = (None, None)
@@ -212,7 +213,7 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
                     near[i] = jaccard(held[1], shingle_set(y.as_py(), words)) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
-        sets = left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        sets = left.hint("merge").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").hint("merge").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return staged(sets.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "verified")
 
     calm, busy = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
@@ -226,13 +227,19 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
     heads = least.select("bucket", F.explode(F.array(*(F.struct(F.col(f"h{i}.node").alias("a"), F.col(f"h{i}.size").alias("sa"), F.col(f"h{i}.place").alias("pa")) for i in range(hubs)))).alias("h")).select("bucket", "h.*").distinct()
     pairs = heads.join(side(busy, "b"), "bucket").where((F.col("a") != F.col("b")) & bounds()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = staged(found.union(verified(possible_of(pairs, components(found)))), "found")
-    named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
-    divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = named.join(divided, "bucket").withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "place").join(sizes.select("node", "size", "bits"), ["node", "size"])
 
-    def dense(rows: pa.Table) -> pa.Table:
+    def apart(closest: bool) -> DataFrame:
+        """Verified links between members of a crowded bucket that ``found`` leaves in different components: of each two
+        components in a block of pairs the closest pair, or all pairs."""
+        named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+        dealt = named.join(divided, "bucket").withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "place").join(sizes.select("node", "size", "bits"), ["node", "size"])
+        pairs = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda rows: dense(rows, closest), "a long, b long")
+        return verified(pairs)
+
+    def dense(rows: pa.Table, closest: bool) -> pa.Table:
         mine, i, j, node, label, size, rest = (rows.column(c).to_numpy() for c in ("mine", "i", "j", "node", "label", "size", "place"))
         size, bits = size.astype(np.int64), np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         rest, right, out = size - rest, np.flatnonzero(mine == j[0]), [np.zeros((2, 0), np.int64)]
@@ -245,12 +252,22 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
             x, y = np.nonzero(able)
             x, y = left[at + x], right[y]
             total = size[x] + size[y]
-            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= total - 2 * _needed(similarity, total)
-            out.append(np.sort(np.stack([node[x[near]], node[y[near]]]), axis=0))
+            apart_by = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+            near = np.flatnonzero(apart_by <= total - 2 * _needed(similarity, total))
+            x, y = x[near], y[near]
+            if closest and len(x):
+                lx, ly = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                order = np.lexsort((apart_by[near], ly, lx))
+                first = np.r_[True, (np.diff(lx[order]) != 0) | (np.diff(ly[order]) != 0)]
+                x, y = x[order[first]], y[order[first]]
+            out.append(np.sort(np.stack([node[x], node[y]]), axis=0))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return found.union(verified(dealt.groupBy("bucket", "i", "j").applyInArrow(dense, "a long, b long")))
+    # rounds over the closest pairs join what a group has in common; each merges components, so they end
+    while not (more := apart(True)).isEmpty():
+        found = staged(found.union(more), "found")
+    return found.union(apart(False))
 
 
 def suspected_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
