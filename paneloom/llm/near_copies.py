@@ -231,10 +231,13 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
 
     def apart(closest: bool) -> DataFrame:
         """Verified links between members of a crowded bucket that ``found`` leaves in different components: of each two
-        components in a block of pairs the closest pair, or all pairs."""
+        components in a block of pairs the closest pair, each member in its least bucket alone; or all pairs."""
         named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
         divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        dealt = named.join(divided, "bucket").withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        here = named.join(divided, "bucket")
+        if closest:  # members of one group share many buckets; one is enough to find what they have in common
+            here = here.groupBy("node").agg(F.min(F.struct("bucket", "n", "label", "size", "place")).alias("h")).select("node", "h.*")
+        dealt = here.withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "size", "place").join(sizes.select("node", "size", "bits"), ["node", "size"])
         pairs = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda rows: dense(rows, closest), "a long, b long")
         return verified(pairs)
