@@ -106,7 +106,8 @@ _made: dict[tuple, Encoder] = {}
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return _made.get((path, spaced)) or _made.setdefault((path, spaced), Encoder(path, spaced))
+    most = 600_000 if spaced else 300_000  # vocabularies that keep case have more units
+    return _made.get((path, spaced)) or _made.setdefault((path, spaced), Encoder(path, spaced, most))
 
 
 def release() -> None:
