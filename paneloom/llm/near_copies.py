@@ -148,12 +148,13 @@ def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
     return maybe(rows, gone, *key, others=True).union(maybe(rows, gone, *key).join(gone, list(key), "left_anti").select(*rows.columns))
 
 
-def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None) -> DataFrame:
+def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None, stored_texts: DataFrame | None = None) -> DataFrame:
     """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
 
     ``sizes`` has node, size and bits of each. Pairs of ``suspected`` (a, b) are verified first, and pairs of one component
-    are not asked again.
+    are not asked again. ``stored_texts`` (node, text) may hold more nodes than ``texts`` and be cheaper to read again.
     """
+    asked_of = texts if stored_texts is None else stored_texts
     ordered = texts.sparkSession.sparkContext.broadcast(common)
     ratio = similarity / (1 + similarity)
 
@@ -200,7 +201,7 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
         left = staged(pairs.distinct(), "possible")
         asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
         # one plan at every size: neither pairs nor texts are bounded, so neither is broadcast
-        wanted = maybe(texts, asked, "node").join(asked.hint("merge"), "node", "left_semi")
+        wanted = maybe(asked_of, asked, "node").join(asked.hint("merge"), "node", "left_semi")
 
         def exact(batches: Iterator[pa.RecordBatch]):
             held: tuple = (None, None)
@@ -295,7 +296,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     named = staged(marked.select("doc_id", "own", "name").join(nodes.select("name", "first", "node"), "name").drop("name"), "named")
     copies = named.where("struct(doc_id, own) != first").select("doc_id", "own")
     texts = without(rows, copies, "doc_id", "own").select(node, "text")
-    found = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(texts, words, 24), similarity, words, suspected=suspected_links(nodes.select("node", "fp")))
+    found = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(texts, words, 24), similarity, words, suspected=suspected_links(nodes.select("node", "fp")), stored_texts=rows.select(node, "text"))
     label = nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     label = staged(label, "labels")
     stays = label.groupBy("label").agg(F.min("first").alias("stays"))
