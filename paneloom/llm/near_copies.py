@@ -144,8 +144,11 @@ def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_00
 
 
 def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key isn't in ``gone``: of those that the bitmap can't clear, by an anti-join."""
-    return maybe(rows, gone, *key, others=True).union(maybe(rows, gone, *key).join(gone, list(key), "left_anti").select(*rows.columns))
+    """The rows whose key isn't in ``gone``. Keys alone tell which rows that the bitmap can't clear stay; only rows that may be
+    one of these are moved to an anti-join."""
+    unclear = maybe(rows, gone, *key)
+    stay = unclear.select(*key).join(gone, list(key), "left_anti")
+    return maybe(rows, gone, *key, others=True).union(maybe(unclear, stay, *key).join(gone, list(key), "left_anti").select(*rows.columns))
 
 
 def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None, stored_texts: DataFrame | None = None) -> DataFrame:
