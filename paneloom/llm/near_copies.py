@@ -35,6 +35,7 @@ from .simhash import _votes, components, links
 from .tokenize import release
 
 BITS = 1024
+QUARTER = 1 << 62  # hashes below are counted in all texts
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -115,8 +116,9 @@ def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "own", "text").mapInArrow(of, SUMMARY)
 
 
-def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_000_000) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """Shingles of more than ``crowd`` texts, of the quarter of least hashes, with their ranks; the most frequent come last.
+    Also (shingle, n) of all in that quarter that several texts hold.
 
     Prefixes are mostly from that quarter. What is left out costs pairs, never links: any common order is right.
     """
@@ -125,11 +127,12 @@ def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_00
         for batch in batches:
             if len(batch):
                 sets = [shingle_set(x.as_py(), words) for x in batch.column("text")]
-                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64(1 << 62))] for x in sets]), return_counts=True)
+                values, counts = np.unique(np.concatenate([x[: np.searchsorted(x, np.uint64(QUARTER))] for x in sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
 
     counted = texts.select("text").mapInArrow(of, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = staged(counted.where(F.col("n") > crowd), "frequent")
+    repeated = staged(counted.where("n > 1"), "repeated")
+    found = repeated.where(F.col("n") > crowd)
     sizes = sorted(found.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect(), reverse=True)
     least, room = crowd + 1, most
     for size, n in sizes:  # the driver and each worker hold ``most`` at most
@@ -140,7 +143,7 @@ def frequent_shingles(texts: DataFrame, words: int, crowd: int, most: int = 1_00
     rows = found.where(F.col("n") >= least).toArrow()
     values = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], rows.column("n").to_numpy()[order]
+    return (values[order], rows.column("n").to_numpy()[order]), repeated
 
 
 def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
@@ -151,11 +154,12 @@ def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
     return maybe(rows, gone, *key, others=True).union(maybe(unclear, stay, *key).join(gone, list(key), "left_anti").select(*rows.columns))
 
 
-def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None, stored_texts: DataFrame | None = None) -> DataFrame:
+def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None, stored_texts: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
     """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
 
     ``sizes`` has node, size and bits of each. Pairs of ``suspected`` (a, b) are verified first, and pairs of one component
-    are not asked again. ``stored_texts`` (node, text) may hold more nodes than ``texts`` and be cheaper to read again.
+    are not asked again. ``stored_texts`` (node, text) may hold more nodes than ``texts`` and be cheaper to read again;
+    ``repeated`` (shingle, n) has the shingles below QUARTER that several texts hold, so that buckets of these aren't counted.
     """
     asked_of = texts if stored_texts is None else stored_texts
     ordered = texts.sparkSession.sparkContext.broadcast(common)
@@ -173,7 +177,10 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "size", "place"])
 
     stored = staged(texts.mapInArrow(probe, "bucket long, node long, size int, place int"), "probes")
-    counts = stored.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    others = stored if repeated is None else stored.where((F.col("bucket") < 0) | (F.col("bucket") >= QUARTER))
+    counts = others.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated is not None:  # a text holds a shingle of its prefix, so n is the bucket's size or more
+        counts = counts.union(repeated.select("shingle", "n"))
     met = staged(stored.join(counts, "bucket"), "met")
 
     def bounds():
@@ -299,7 +306,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     named = staged(marked.select("doc_id", "own", "name").join(nodes.select("name", "first", "node"), "name").drop("name"), "named")
     copies = named.where("struct(doc_id, own) != first").select("doc_id", "own")
     texts = without(rows, copies, "doc_id", "own").select(node, "text")
-    found = near_links(texts, nodes.select("node", "size", "bits"), frequent_shingles(texts, words, 24), similarity, words, suspected=suspected_links(nodes.select("node", "fp")), stored_texts=rows.select(node, "text"))
+    common, repeated = frequent_shingles(texts, words, 24)
+    found = near_links(texts, nodes.select("node", "size", "bits"), common, similarity, words, suspected=suspected_links(nodes.select("node", "fp")), stored_texts=rows.select(node, "text"), repeated=repeated)
     label = nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     label = staged(label, "labels")
     stays = label.groupBy("label").agg(F.min("first").alias("stays"))
