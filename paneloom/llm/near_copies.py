@@ -155,7 +155,7 @@ def without(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
 
 
 def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = 0.8, words: int = 5, crowd: int = 24, block: int = 1000, hubs: int = 4, suspected: DataFrame | None = None, stored_texts: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) at ``similarity`` or more between texts (node long, text), as far as connectivity needs.
+    """Stars (a, b): each text (node long, text) that has links at ``similarity`` or more, and the least node they reach.
 
     ``sizes`` has node, size and bits of each. Pairs of ``suspected`` (a, b) are verified first, and pairs of one component
     are not asked again. ``stored_texts`` (node, text) may hold more nodes than ``texts`` and be cheaper to read again;
@@ -229,21 +229,25 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
 
     calm, busy = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
     pairs = side(calm, "a").join(side(calm, "b"), "bucket").where((F.col("a") < F.col("b")) & bounds()).select("a", "b").distinct()
-    found = verified(suspected) if suspected is not None else pairs.where("false")
-    label = components(found)
-    found = found.union(verified(possible_of(pairs, label)))
+    label = components(verified(suspected) if suspected is not None else pairs.where("false"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components of ``label`` with links ``more``: its stars stand for the links known before."""
+        return label if more.isEmpty() else components(stars(label).union(more))
+
+    label = joined(verified(possible_of(pairs, label)))
     if busy.isEmpty():
-        return found
+        return stars(label)
     least = busy.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "size", "place")).alias(f"h{i}") for i in range(hubs)))
     heads = least.select("bucket", F.explode(F.array(*(F.struct(F.col(f"h{i}.node").alias("a"), F.col(f"h{i}.size").alias("sa"), F.col(f"h{i}.place").alias("pa")) for i in range(hubs)))).alias("h")).select("bucket", "h.*").distinct()
     pairs = heads.join(side(busy, "b"), "bucket").where((F.col("a") != F.col("b")) & bounds()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = staged(found.union(verified(possible_of(pairs, components(found)))), "found")
+    label = joined(verified(possible_of(pairs, label)))
     blocks = F.ceil(F.col("n") / block).cast("int")
 
     def apart(closest: bool) -> DataFrame:
-        """Verified links between members of a crowded bucket that ``found`` leaves in different components: of each two
+        """Verified links between members of a crowded bucket that ``label`` leaves in different components: of each two
         components in a block of pairs the closest pair, each member in its least bucket alone; or all pairs."""
-        named = staged(busy.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        named = staged(busy.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
         divided = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         here = named.join(divided, "bucket")
         if closest:  # members of one group share many buckets; one is enough to find what they have in common
@@ -280,8 +284,14 @@ def near_links(texts: DataFrame, sizes: DataFrame, common: tuple[np.ndarray, np.
 
     # rounds over the closest pairs join what a group has in common; each merges components, so they end
     while not (more := apart(True)).isEmpty():
-        found = staged(found.union(more), "found")
-    return found.union(apart(False))
+        label = joined(more)
+    label = joined(apart(False))
+    return stars(label)
+
+
+def stars(label: DataFrame) -> DataFrame:
+    """The links (a, b) of nodes with their components' least ones."""
+    return label.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def suspected_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
@@ -307,8 +317,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     copies = named.where("struct(doc_id, own) != first").select("doc_id", "own")
     texts = without(rows, copies, "doc_id", "own").select(node, "text")
     common, repeated = frequent_shingles(texts, words, 24)
-    found = near_links(texts, nodes.select("node", "size", "bits"), common, similarity, words, suspected=suspected_links(nodes.select("node", "fp")), stored_texts=rows.select(node, "text"), repeated=repeated)
-    label = nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    linked = near_links(texts, nodes.select("node", "size", "bits"), common, similarity, words, suspected=suspected_links(nodes.select("node", "fp")), stored_texts=rows.select(node, "text"), repeated=repeated)
+    label = nodes.join(linked.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     label = staged(label, "labels")
     stays = label.groupBy("label").agg(F.min("first").alias("stays"))
     of_node = label.select("node", "label").join(stays, "label").select("node", "stays")

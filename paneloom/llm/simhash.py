@@ -218,26 +218,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that links reach, for every node of ``edges`` (a, b).
 
     Each round links every node's larger neighbours to its smallest one, then every node's smaller neighbours to the
-    smallest; stars are what stays. The links are written in the shared folder after each round.
+    smallest; stars are what stays. The links are written in the shared folder after each round, and a round that leaves
+    their number and the digest of the set as they were was the last.
     """
     pairs = staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = _digest(pairs)
     for _ in range(rounds):
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))  # no more rows than pairs
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         hung = large.join(low, "u")
         small = hung.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v"))).distinct()
-        after = staged(small, "links")
-        same = after.join(pairs, ["u", "v"], "left_anti").isEmpty() and after.count() == pairs.count()
-        pairs = after
-        if same:
+        pairs = staged(small, "links")
+        after = _digest(pairs)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _digest(pairs: DataFrame):
+    """The number of distinct rows (u, v) and two 64-bit digests of the set."""
+    return pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first()
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, crowd: int = 50) -> DataFrame:
     """doc_id, fp (signed long) and component_id of every row of ``docs``."""
     marked = staged(fingerprints(docs, words), "fingerprints")
