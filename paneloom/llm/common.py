@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes, one row at least."""
+    each = max(1, int(most * len(batch) // max(1, batch.nbytes)))
+    queue = [batch.slice(i, each) for i in range(0, len(batch), each)][::-1]
+    while queue:
+        part = queue.pop()
+        if len(part) > 1 and part.nbytes > 2 * most:  # long texts stand together
+            half = len(part) // 2
+            queue += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 SLOTS = 1 << 23
 
 
