@@ -33,6 +33,7 @@ class Fit:
     n_clusters: int
     df: float
     period_effects: dict | None = None
+    rows: dict | None = None
 
     @property
     def se(self) -> np.ndarray:
@@ -115,7 +116,7 @@ def twfe(df: DataFrame, y: str, xs: list[str], unit: str, period: str, cluster:
     nets = {"_shift": off(F.col("shift"))} | {f"_x{j}": F.coalesce(F.get(mine, F.lit(j)) - off(F.get("wx", F.lit(j))), F.lit(0.0)) for j in range(wide)}
     resid = F.col("_z0") - F.col("_shift") - F.aggregate(F.zip_with("beta", mine, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = joined.withColumns(nets).withColumn("_e", F.col("_w") * resid)
-    scores = scored.groupBy(*keys, "_c").agg(*(F.sum(F.col(f"_x{j}") * F.col("_e")).alias(f"s{j}") for j in range(wide)))
+    scores = scored.groupBy(*keys, "_c").agg(F.count("*").alias("_rows"), *(F.sum(F.col(f"_x{j}") * F.col("_e")).alias(f"s{j}") for j in range(wide)))
     duo = [(i, j) for i in range(wide) for j in range(i, wide)]
     meat = {tuple(r[k] for k in keys): r for r in scores.groupBy(*keys).agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in duo)).collect()}
     out = {}

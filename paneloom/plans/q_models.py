@@ -15,6 +15,7 @@ from .fe import twfe
 from .q_audits import r4, season_net
 from .registry import query
 from .stats import chi2_p, t_p
+from .two_stage import two_stage
 
 
 def _pb(spark, sf_dir):
@@ -353,16 +354,55 @@ def m27_sample(spark, sf_dir):
     return _staggered(spark, sf_dir).agg(F.count_if(tr).alias("treated_rows"), F.count_if(~tr).alias("untreated_rows"))
 
 
-@query()
+def _stages_sql(cells: str, centre: str) -> str:
+    """SQL of a two-stage estimate on the staggered panel, whose units of one cohort share their untreated years: the normal
+    equations of cohorts and years, for the outcome (key -99) and for every cell, are solved by alternation."""
+    return _STAG.replace("WITH", "WITH RECURSIVE", 1) + f""", d AS (SELECT unit, site_id, year, y, coalesce(cohort, 9999) AS c, year < coalesce(cohort, 9999) AS free, CASE WHEN {cells} THEN year - cohort END AS k FROM st),
+f AS (SELECT *, count(*) OVER (PARTITION BY c) AS years FROM (SELECT c, year, avg(y) AS m, count(*) AS units FROM d WHERE free GROUP BY ALL)),
+rc AS (SELECT -99 AS key, c, sum(m) AS r FROM f GROUP BY 2 UNION ALL SELECT key, c, count(*) FILTER (k = key) FROM (SELECT DISTINCT c, year, k FROM d) CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
+qt AS (SELECT -99 AS key, year, sum(m * units) AS q FROM f GROUP BY 2 UNION ALL SELECT key, year, count(*) FILTER (k = key) FROM d CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
+b AS (SELECT 0 AS it, key, year, CAST(0 AS DOUBLE) AS b FROM qt UNION ALL
+  SELECT it + 1, key, year, (any_value(q) - sum(units * (r - sb) / years)) / sum(units) FROM (SELECT b.it, b.key, b.year, q, r, units, years, sum(b.b) OVER (PARTITION BY b.key, f.c) AS sb FROM b JOIN f USING (year) JOIN rc USING (key, c) JOIN qt USING (key, year) WHERE it < 80) GROUP BY it, key, year),
+v AS (SELECT key, c, year, (r - sum(b) OVER (PARTITION BY key, c)) / years + b AS v FROM b JOIN f USING (year) JOIN rc USING (key, c) WHERE it = 80),
+l AS (SELECT year, b AS shift FROM b WHERE it = 80 AND key = -99),
+e AS (SELECT *, y - shift - avg(y - shift) FILTER (free) OVER (PARTITION BY unit) AS e FROM d JOIN l USING (year)),
+g AS (SELECT *, e - avg(e) OVER (PARTITION BY {centre}) AS w, count(*) OVER (PARTITION BY k) AS n FROM e WHERE k IS NOT NULL),
+sc AS (SELECT key, site_id, sum(s) AS s FROM (SELECT k AS key, site_id, w / n AS s FROM g UNION ALL SELECT key, site_id, -v * e / n FROM e JOIN v USING (c, year) JOIN (SELECT DISTINCT k AS key, n FROM g) USING (key)) GROUP BY ALL),
+o AS (SELECT k AS key, avg(e) AS est, count(*) AS n FROM g GROUP BY 1), se AS (SELECT key, sqrt(sum(s * s)) AS se FROM sc GROUP BY 1)"""
+
+
+def _stage_rows(spark, fit, head=()):
+    """A row for each cell and, with ``head`` (its weights by cell), one for their weighted sum."""
+    rows = [(int(k), float(b), float(s), t_p(float(b / s), fit.df), fit.rows[k]) for k, b, s in zip(fit.terms, fit.beta, fit.se, strict=True)]
+    if len(head):
+        rows.append((None, *fit.linear(head), sum(n for (k, n), w in zip(fit.rows.items(), head, strict=True) if w)))
+    return spark.createDataFrame(rows, "event_time int, estimate double, se double, p_value double, n long")
+
+
+def _untreated(spark, sf_dir):
+    return _staggered(spark, sf_dir).withColumns({"free": F.col("year") < F.coalesce("cohort", F.lit(9999)), "event": F.col("year") - F.col("cohort")})
+
+
+@query(_stages_sql("year >= cohort", "k, c, year") + """ SELECT CAST(key AS INT) AS horizon, round(est + 1e-7, 4) AS estimate, round(se + 1e-7, 4) AS se, n FROM o JOIN se USING (key)
+UNION ALL SELECT NULL, round((SELECT sum(est * n) / sum(n) FROM o) + 1e-7, 4), round(sqrt(sum(s * s)) + 1e-7, 4), (SELECT CAST(sum(n) AS BIGINT) FROM o) FROM (SELECT site_id, sum(s * n) / (SELECT sum(n) FROM o) AS s FROM sc JOIN o USING (key) GROUP BY 1)""")
 def m27_imputation(spark, sf_dir):
-    """Unit and year effects of untreated rows impute what treated rows would have been; the gaps' means by horizon."""
-    st = _staggered(spark, sf_dir).withColumn("tr", F.col("year") >= F.coalesce("cohort", F.lit(9999)))
-    free = st.where("NOT tr").withColumn("none", F.rand(1))  # a regressor of noise keeps the core's shape
-    fit = twfe(free, "y", ["none"], "unit", "year", "site_id")[()]
-    years = spark.createDataFrame([(int(k), float(v)) for k, v in fit.period_effects.items()], "year int, effect double")
-    unit = free.join(F.broadcast(years), "year").groupBy("unit").agg(F.avg(F.col("y") - F.col("effect")).alias("own"))
-    gaps = st.where("tr").join(F.broadcast(years), "year").join(unit, "unit").select((F.col("year") - F.col("cohort")).alias("horizon"), (F.col("y") - F.col("effect") - F.col("own")).alias("gap"))
-    return gaps.groupBy("horizon").agg(r4(F.avg("gap")).alias("estimate"), F.count("*").alias("n"))
+    """Unit and year effects of untreated rows impute what treated rows would have been; the gaps' means by horizon and over
+    all treated rows, residuals net of the mean of cohort and year."""
+    st = _untreated(spark, sf_dir).withColumn("horizon", F.when(~F.col("free"), F.col("event")))
+    fit = two_stage(st, "y", "free", "horizon", "unit", "year", "site_id", centre=("cohort", "year"))
+    n = np.array([fit.rows[k] for k in fit.terms], float)
+    return _stage_rows(spark, fit, n / n.sum()).select(F.col("event_time").alias("horizon"), r4(F.col("estimate")).alias("estimate"), r4(F.col("se")).alias("se"), "n")
+
+
+@query(_stages_sql("cohort IS NOT NULL AND year - cohort <> -1", "k") + """ SELECT CAST(key AS INT) AS event_time, round(est + 1e-7, 4) AS estimate, round(se + 1e-7, 4) AS se, n FROM o JOIN se USING (key)
+UNION ALL SELECT NULL, round((SELECT avg(est) FROM o WHERE key >= 0) + 1e-7, 4), round(sqrt(sum(s * s)) + 1e-7, 4), (SELECT CAST(sum(n) AS BIGINT) FROM o WHERE key >= 0) FROM (SELECT site_id, sum(s) / (SELECT count(*) FROM o WHERE key >= 0) AS s FROM sc WHERE key >= 0 GROUP BY 1)""")
+def m28_two_stage(spark, sf_dir):
+    """Unit and year effects of untreated rows first; what they leave on event times second, reference -1 and the never
+    treated. The headline is the mean of the effects from the start on."""
+    st = _untreated(spark, sf_dir).withColumn("at", F.when(F.col("event") != -1, F.col("event")))
+    fit = two_stage(st, "y", "free", "at", "unit", "year", "site_id")
+    post = np.array([float(int(k) >= 0) for k in fit.terms])
+    return _stage_rows(spark, fit, post / post.sum()).select("event_time", r4(F.col("estimate")).alias("estimate"), r4(F.col("se")).alias("se"), "n")
 
 
 @query()

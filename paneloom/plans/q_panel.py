@@ -289,17 +289,6 @@ def b1_weighted(spark, sf_dir):
     return spark.createDataFrame([(float(fit.beta[0]),)], "estimate double").select(r4(F.col("estimate")).alias("estimate"))
 
 
-@query()
-def m28_two_stage(spark, sf_dir):
-    """Unit and year effects of untreated rows first; what they leave of every row on event times second, reference the rows
-    not treated. The second stage's slopes are the means of the gaps, its headline their mean after the start."""
-    from .q_models import m27_imputation
-
-    gaps = m27_imputation(spark, sf_dir)
-    head = gaps.agg(F.lit(None).cast("int").alias("horizon"), r4(F.avg("estimate")).alias("estimate"), F.sum("n").alias("n"))
-    return gaps.select("horizon", "estimate", "n").union(head)
-
-
 @query(_GROUPS + " SELECT DISTINCT 'did_term' AS term, count(*) AS n, count(*) FILTER (did IS NULL) AS failed FROM m")
 def a33_run_audit(spark, sf_dir):
     a = P.audited(_by_segment(spark, sf_dir))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from paneloom.plans import models as M
 from paneloom.plans.fe import twfe
 from paneloom.plans.stats import chi2_p, f_p, normal_p, t_p
 from paneloom.plans.synth import elastic_net, simplex, synthetic_did
+from paneloom.plans.two_stage import two_stage
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +115,57 @@ def test_matching_takes_every_pair_that_greedy_matching_takes(spark, digits):
     assert len({r.t for r in got}) == len({r.c for r in got}) == len(got) == len(want) > 60
     assert all(abs(abs(score[r.t] - score[r.c]) - r.gap) < 1e-12 and r.gap <= 0.2 for r in got)
     assert np.allclose(sorted(r.gap for r in got), sorted(want))
+
+
+@pytest.fixture(scope="module")
+def starts():
+    """An unbalanced panel of staggered starts with a covariate; one unit has no untreated row."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for u in range(48):
+        g = [None, 3, 5, 6][u % 4] if u != 7 else 0
+        for t in range(8):
+            if rng.random() < 0.85:
+                x = rng.normal()
+                rows.append((u, t, u % 7, g, x, 0.2 * u + 0.5 * t + 0.7 * x + (1.0 + 0.3 * (t - g) if g is not None and t >= g else 0) + rng.normal()))
+    d = pd.DataFrame(rows, columns=["unit", "year", "site_id", "cohort", "x", "y"])
+    d["free"] = d.cohort.isna() | (d.year < d.cohort)
+    d["k"] = [None if pd.isna(g) or t - g == -1 else int(t - g) for g, t in zip(d.cohort, d.year, strict=True)]
+    return d
+
+
+@pytest.mark.parametrize("parts, xs, centre", [(4, (), ()), (7, ("x",), ()), (4, ("x",), ("cohort", "year"))])
+def test_two_stage_is_dummies_and_the_stacked_sandwich(spark, starts, parts, xs, centre):
+    """By hand: first stage by dummies, second by cell means, influence of both stages summed by cluster."""
+    types = "unit long, year long, site_id long, cohort double, x double, y double, free boolean, k double"
+    df = spark.createDataFrame(starts.astype(object).where(starts.notna(), None), types).withColumn("k", F.col("k").cast("int"))
+    fit = two_stage(df.repartition(parts), "y", "free", "k", "unit", "year", "site_id", xs=xs, centre=centre)
+    d = starts[starts.unit != 7]
+    x1 = np.c_[pd.get_dummies(d.unit), pd.get_dummies(d.year), d[list(xs)]].astype(float)
+    x10 = x1 * d.free.to_numpy()[:, None]
+    g = np.linalg.lstsq(x10, d.y * d.free, rcond=None)[0]
+    e1, e = (d.y - x10 @ g) * d.free, d.y - x1 @ g
+    cells = [int(k) for k in fit.terms]
+    x2 = np.array([(d.k == k).to_numpy(float) for k in cells]).T
+    beta = x2.T @ e / x2.sum(axis=0)
+    middle = x2 @ beta if not centre else e.groupby([d.k.fillna(99), d.cohort.fillna(99), d.year]).transform("mean")
+    w = np.linalg.lstsq(x10.T @ x10, x1.T @ x2, rcond=None)[0]
+    influence = (x2 * (e - middle).to_numpy()[:, None] - (x10 @ w) * e1.to_numpy()[:, None]) / x2.sum(axis=0)
+    s = pd.DataFrame(influence).groupby(d.site_id.to_numpy()).sum().to_numpy()
+    assert np.allclose(fit.beta, beta, atol=1e-9) and np.allclose(fit.var, s.T @ s, atol=1e-9)
+    assert fit.n_units == 47 and fit.n_clusters == 7 and [fit.rows[k] for k in fit.terms] == x2.sum(axis=0).astype(int).tolist()
+
+
+def test_two_stage_known_answer_and_empty(spark):
+    rows = [(u, t, u % 6, 4 if u % 3 == 0 else None, 0.3 * u + t * t + (2.0 if u % 3 == 0 and t >= 4 else 0)) for u in range(30) for t in range(8)]
+    df = spark.createDataFrame(rows, "unit int, year int, site_id int, cohort int, y double").selectExpr("*", "cohort IS NULL OR year < cohort AS free", "CASE WHEN year >= cohort THEN year - cohort END AS k")
+    fit = two_stage(df, "y", "free", "k", "unit", "year", "site_id")
+    assert np.allclose(fit.beta, 2.0) and np.allclose(fit.var, 0, atol=1e-18)
+    assert two_stage(df.where("false"), "y", "free", "k", "unit", "year", "site_id") is None
+    with pytest.raises(ValueError):  # the years after 3 are known from no unit that is also seen before
+        two_stage(df.where("cohort IS NOT NULL OR year > 3"), "y", "free", "k", "unit", "year", "site_id")
+
+
+def test_core_without_regressors(spark, panel):
+    fit = twfe(spark.createDataFrame(panel), "y", [], "unit", "year", "site_id")[()]
+    assert fit.terms == [] and len(fit.period_effects) == 8
