@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paneloom.sources.staging import staged
 from paneloom.sources.tables import balanced, panel, table, treated
 
-from . import ml, synth
+from . import factors, ml, synth
 from .fe import twfe
 from .models import results
 from .registry import query
@@ -83,9 +83,27 @@ def m45_elastic_net_control(spark, sf_dir):
     return synth.elastic_net_control(s.where("treated"), s.where("NOT treated"), 1998, "segment")
 
 
+def _factor_rows(spark, sf_dir):
+    """Units of the balanced panel as rows of years; ring 0 starts in 1998, 1999 or 2000 by site."""
+    u = balanced(spark, sf_dir).withColumn("cohort", F.when(F.col("buff_km") == 0, 1998 + F.col("site_id") % 3).cast("int"))
+    years = [r[0] for r in u.select("year").distinct().orderBy("year").collect()]
+    return factors.in_rows(u.withColumnRenamed("site_id", "cluster"), years), years
+
+
+@query()
+def m36_interactive_effects(spark, sf_dir):
+    """Interactive fixed effects of untreated cells by turns; the treated cells' gaps by event time and over all."""
+    rows, years = _factor_rows(spark, sf_dir)
+    model = factors.factor_model(rows, years, "interactive")
+    return factors.mean_gaps(factors.gaps(rows, model)).withColumn("factors", F.lit(model.n_factors))
+
+
 @query()
 def m38_generalized_control(spark, sf_dir):
-    return synth.generalized_control(balanced(spark, sf_dir).withColumn("treated", F.col("buff_km") == 0), 1998, factors=1)
+    """Factors of the never treated, as many as the treated units' left-out years before the start ask for."""
+    rows, years = _factor_rows(spark, sf_dir)
+    model = factors.factor_model(rows, years)
+    return factors.mean_gaps(factors.gaps(rows, model)).withColumn("factors", F.lit(model.n_factors))
 
 
 @query()

@@ -117,35 +117,6 @@ def elastic_net_control(series: DataFrame, donors: DataFrame, start: int, key: s
     return series.unionByName(donors).groupBy(key).applyInPandas(fit, f"{key} {series.schema[key].dataType.simpleString()}, series string, estimate double, n_donors int")
 
 
-def generalized_control(units: DataFrame, start: int, factors: int = 2, rounds: int = 60) -> DataFrame:
-    """Factors of the controls' two-way residuals from their year x year second moments (summed in Spark, decomposed on
-    the driver), loadings of treated units from their own years before treatment; the gap after treatment by year.
-
-    ``units``: balanced unit, year, y, treated.
-    """
-    years = [r["year"] for r in units.select("year").distinct().orderBy("year").collect()]
-    wide = units.groupBy("unit", "treated").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "y"))), lambda s: s["y"]).alias("v")).where(F.size("v") == len(years))
-    t = len(years)
-    pre = np.array(years) < start
-    cols = [F.get("v", F.lit(i)) for i in range(t)]
-    control = wide.where("NOT treated")
-    mean_v = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / t
-    sums = control.withColumn("m", mean_v).agg(F.count("*").alias("n"), *(F.sum(c - F.col("m")).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum((cols[i] - F.col("m")) * (cols[j] - F.col("m"))).alias(f"q{i}_{j}") for i in range(t) for j in range(i, t))).first()
-    n = sums["n"]
-    mean = np.array([sums[f"s{i}"] for i in range(t)]) / n
-    q = np.array([[sums[f"q{min(i, j)}_{max(i, j)}"] for j in range(t)] for i in range(t)]) / n - np.outer(mean, mean)
-    r = min(factors, int(pre.sum()) - 2, n - 1)
-    basis = np.linalg.eigh(q)[1][:, ::-1][:, : max(r, 0)]
-    design = np.c_[np.ones(t), basis]  # a unit's level and its loadings
-    project = design @ np.linalg.pinv(design[pre])
-    rows = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in project))
-    before = F.transform(F.filter(F.arrays_zip("v", F.lit([float(x) for x in mean]), F.lit([bool(x) for x in pre])), lambda s: s["2"]), lambda s: s["v"] - s["1"])
-    fitted = wide.where("treated").withColumn("pre", before).withColumn("y0", F.zip_with(F.transform(rows, lambda row: F.aggregate(F.zip_with(row, F.col("pre"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)), F.lit([float(x) for x in mean]), lambda a, b: a + b))
-    gaps = fitted.select("unit", F.posexplode(F.zip_with("v", "y0", lambda a, b: a - b)).alias("i", "gap"))
-    named = F.get(F.lit([int(y) for y in years]), F.col("i"))
-    return gaps.groupBy(named.alias("year")).agg(F.avg("gap").alias("gap"), F.count("*").alias("n")).withColumn("post", F.col("year") >= start)
-
-
 def completed_matrix(units: DataFrame, start: int, rank: int = 3) -> DataFrame:
     """Untreated outcomes of treated cells by alternating least squares on two-way residuals; the mean gap."""
     from pyspark.ml.recommendation import ALS
