@@ -90,6 +90,18 @@ def _factor_rows(spark, sf_dir):
     return factors.in_rows(u.withColumnRenamed("site_id", "cluster"), years), years
 
 
+@query()
+def d1_pixel_synthetic(spark, sf_dir):
+    """Two levels: synthetic weights of cells (block, ring) and years by season, spread over the pixels' rows for one weighted
+    regression with pixel-season and period effects."""
+    p = panel(spark, sf_dir).withColumns({"series": F.concat_ws("|", F.col("site_id") % 5, "buff_km"), "treated": F.col("buff_km") == 0})
+    cells = p.groupBy("season", "series", "year").agg(F.avg("y").alias("y"), F.max("treated").alias("treated"))
+    weights = staged(synth.synthetic_weights(cells, 1998, ["season"]))
+    rows = synth.pixel_weights(p.withColumnRenamed("pixel_id", "pixel"), weights, 1998, "season")
+    rows = rows.withColumns({"did_term": (F.col("treated") & (F.col("year") >= 1998)).cast("int"), "unit": F.concat_ws("|", "pixel", "season"), "period": F.col("year") * 10 + F.col("season")})
+    return results(spark, twfe(rows, "y", ["did_term"], "unit", "period", "site_id", weight="weight"))
+
+
 @query()
 def m36_interactive_effects(spark, sf_dir):
     """Interactive fixed effects of untreated cells by turns; the treated cells' gaps by event time and over all."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paneloom.plans import models as M
 from paneloom.plans.fe import twfe
 from paneloom.plans.stats import chi2_p, f_p, normal_p, t_p
-from paneloom.plans.synth import elastic_net, simplex, synthetic_did
+from paneloom.plans.synth import elastic_net_control, elastic_net_cv, elastic_path, penalties, pixel_weights, simplex_ridge, synthetic_did, synthetic_weights
 from paneloom.plans.two_stage import two_stage
 
 
@@ -72,9 +72,19 @@ def test_tails():
     assert abs(chi2_p(3.841458820694124, 1) - 0.05) < 1e-9
 
 
-def test_simplex_and_synthetic_did():
-    w = simplex(np.array([0.5, 2.0, -1.0]))
-    assert abs(w.sum() - 1) < 1e-12 and (w >= 0).all()
+@pytest.mark.parametrize("n, k, zeta", [(6, 4, 0.1), (5, 40, 1e-6), (12, 12, 0.5), (4, 3, 1e-6), (30, 8, 0.0)])
+def test_simplex_weights_are_the_least(n, k, zeta):
+    """The conditions that only the least fulfils: equal pull on weights in use, no less pull elsewhere."""
+    rng = np.random.default_rng(n * k)
+    a, b = rng.normal(size=(n, k)), rng.normal(size=n)
+    w = simplex_ridge(a, b, zeta)
+    ac, bc = a - a.mean(axis=0), b - b.mean()
+    pull = ac.T @ (ac @ w - bc) + zeta**2 * n * w
+    assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+    assert np.ptp(pull[w > 0]) < 1e-7 and (pull >= pull[w > 0].min() - 1e-7).all()
+
+
+def test_synthetic_did():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(12, 1)) + np.arange(10) * 0.1 + rng.normal(size=(12, 10)) * 1e-4
     arm, pre = np.arange(12) < 2, np.arange(10) < 7
@@ -82,12 +92,79 @@ def test_simplex_and_synthetic_did():
     assert abs(synthetic_did(y, arm, pre)[0] - 1.5) < 0.01
 
 
-def test_elastic_net_without_penalty_is_least_squares():
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(50, 3))
+@pytest.mark.parametrize("n, p, l1", [(40, 5, 0.5), (6, 30, 1.0), (12, 12, 0.3)])
+def test_elastic_path_fulfils_its_conditions(n, p, l1):
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(n, p)) @ np.diag(rng.uniform(0.5, 2, p)) + rng.normal(size=(n, 1))
     x -= x.mean(axis=0)
-    y = x @ [1.0, -2.0, 0.5]
-    assert np.allclose(elastic_net(x, y, 0.5, 1e-9, 5000), [1.0, -2.0, 0.5], atol=1e-4)
+    y = x[:, 0] - 2 * x[:, 1] + rng.normal(size=n)
+    y -= y.mean()
+    c = x.T @ y / n
+    alphas = penalties(c, l1)
+    path = elastic_path(x.T @ x / n, c, y @ y / n, l1, alphas, tolerance=1e-13)
+    assert not path[0].any() and path[-1].any()
+    for a, w in zip(alphas, path, strict=True):
+        pull = x.T @ (y - x @ w) / n - a * (1 - l1) * w
+        assert (np.abs(pull) <= a * l1 + 1e-5).all() and np.allclose(pull[w != 0], a * l1 * np.sign(w[w != 0]), atol=1e-5)
+
+
+def test_elastic_net_cv_is_each_fold_by_itself():
+    """The choice by brute force: coordinate descent from zero for each fold, share and penalty."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(11, 4))
+    y = x @ [1.0, 0.0, -0.5, 0.0] + 0.3 * rng.normal(size=11)
+
+    def descend(x, y, a, l1):
+        w = np.zeros(4)
+        for _ in range(3000):
+            for j in range(4):
+                r = x[:, j] @ (y - x @ w + x[:, j] * w[j]) / len(y)
+                w[j] = np.sign(r) * max(abs(r) - a * l1, 0) / (x[:, j] @ x[:, j] / len(y) + a * (1 - l1))
+        return w
+
+    w, level, alpha, l1 = elastic_net_cv(x, y)
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    assert np.allclose(w, descend(xc, yc, alpha, l1), atol=1e-6) and abs(level - (y.mean() - x.mean(axis=0) @ w)) < 1e-12
+    folds = [[0, 1, 2], [3, 4], [5, 6], [7, 8], [9, 10]]
+    error = lambda a, s: np.mean([((y[f] - y[r].mean() - (x[f] - x[r].mean(axis=0)) @ descend(x[r] - x[r].mean(axis=0), y[r] - y[r].mean(), a, s)) ** 2).mean() for f in folds for r in [[i for i in range(11) if i not in f]]])
+    chosen = error(alpha, l1)
+    assert all(chosen <= error(a, s) + 1e-7 for s in (0.3, 1.0) for a in penalties(xc.T @ yc / 11, s)[::20])
+
+
+def test_elastic_net_control_finds_its_donors(spark):
+    rng = np.random.default_rng(9)
+    d = rng.normal(size=(8, 16)).cumsum(axis=1)
+    rows = [("g", f"d{i}", 2000 + t, float(d[i, t])) for i in range(8) for t in range(16)]
+    own = [("g", "own", 2000 + t, float(0.6 * d[0, t] + 0.4 * d[3, t] + (5 if t >= 12 else 0))) for t in range(16)]
+    types = "k string, series string, year int, y double"
+    got = elastic_net_control(spark.createDataFrame(own, types), spark.createDataFrame(rows, types), 2012, "k").collect()
+    assert len(got) == 1 and abs(got[0].estimate - 5) < 0.3 and got[0].post_years == 4
+
+
+def test_pixel_weights_are_a_weighted_regression_with_dummies(spark):
+    """Weights spread by hand, then least squares with dummies on the rows that have weight."""
+    rng = np.random.default_rng(12)
+    rows = [(1, f"c{u % 6}", u, t, u % 6 == 0, float(0.1 * u + t * (1 + u % 6) + rng.normal() + (3 if u % 6 == 0 and t >= 5 else 0)), u % 7) for u in range(60) for t in range(8) if rng.random() < 0.9]
+    d = pd.DataFrame(rows, columns=["season", "series", "pixel", "year", "treated", "y", "site"])
+    df = spark.createDataFrame(d)
+    weights = synthetic_weights(df.groupBy("season", "series", "year").agg(F.avg("y").alias("y"), F.max("treated").alias("treated")), 5, ["season"])
+    w = weights.toPandas()
+    unit, time = w[w.kind == "unit"].set_index("name").weight, w[w.kind == "time"].set_index("name").weight
+    assert abs(unit.sum() - 1) < 1e-9 and abs(time.sum() - 1) < 1e-9
+    n_pix = d.groupby(["series", "year"]).pixel.nunique().groupby("series").max()
+    wu = np.where(d.treated, 1 / d[d.treated].pixel.nunique(), d.series.map(unit / n_pix).fillna(0))
+    wt = np.where(d.year >= 5, 1 / 3, d.year.astype(str).map(time).fillna(0))
+    d["weight"] = wu * wt
+    k = d[d.weight > 0].copy()
+    got = pixel_weights(df, weights, 5, "season")
+    assert got.count() == len(k) < len(d)
+    k["did"] = (k.treated & (k.year >= 5)).astype(float)
+    k = k[k.groupby("pixel").y.transform("size") > 1]
+    x = np.c_[k.did, pd.get_dummies(k.pixel), pd.get_dummies(k.year)].astype(float)
+    root = np.sqrt(k.weight.to_numpy())
+    b = np.linalg.lstsq(x * root[:, None], k.y * root, rcond=None)[0]
+    fit = twfe(got.withColumn("did", F.expr("CAST(treated AND year >= 5 AS INT)")), "y", ["did"], "pixel", "year", "site", weight="weight")[()]
+    assert abs(fit.beta[0] - b[0]) < 1e-8
 
 
 def test_entropy_weights_balance(spark):
