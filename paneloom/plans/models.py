@@ -88,23 +88,6 @@ def wild_bootstrap(df: DataFrame, cluster: str, reps: int = 9999, seed: int = 7)
     return boot.agg(F.count_if(F.col("t") >= float(t)).alias("hits")).select(F.lit(float(beta)).alias("estimate"), F.lit(float(t)).alias("t"), ((F.col("hits") + 1) / F.lit(reps + 1)).alias("p_value"), F.lit(g).alias("n_clusters"))
 
 
-def permutation(df: DataFrame, unit: str, reps: int = 500, seed: int = 5) -> DataFrame:
-    """Randomisation inference on a balanced panel: the treated units are drawn anew ``reps`` times.
-
-    By Frisch-Waugh the slope of a replicate needs each unit's change alone (post mean less pre mean), so rows are summed
-    to units once. The treated of a replicate are the units of the least hash, as many as were treated.
-    """
-    change = df.groupBy(unit).agg(F.max("treatment").alias("treatment"), (F.avg(F.when(F.col("post") == 1, F.col("y"))) - F.avg(F.when(F.col("post") == 0, F.col("y")))).alias("d"))
-    total = change.agg(F.sum("treatment").alias("n1"), F.count("*").alias("n"), F.sum("d").alias("sum"), F.avg(F.when(F.col("treatment") == 1, F.col("d"))).alias("m1"), F.avg(F.when(F.col("treatment") == 0, F.col("d"))).alias("m0")).first()
-    n1, n0 = total["n1"], total["n"] - total["n1"]
-    beta = total["m1"] - total["m0"]
-    drawn = change.select(unit, "d", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    order = Window.partitionBy("rep").orderBy(F.xxhash64("rep", unit, F.lit(seed)))
-    picked = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n1).groupBy("rep").agg(F.sum("d").alias("s"))
-    b = F.col("s") / n1 - (total["sum"] - F.col("s")) / n0
-    return picked.select(b.alias("b")).agg(F.lit(float(beta)).alias("estimate"), F.stddev_samp("b").alias("se"), ((F.count_if(F.abs("b") >= abs(beta) * (1 - 1e-12)) + 1) / F.lit(reps + 1)).alias("p_value"), F.lit(reps).alias("reps"))
-
-
 def group_time_effects(units: DataFrame, last: int) -> DataFrame:
     """ATT(g, t) against never-treated units with the year before g as base: units has unit, year, y, cohort (null: never).
 
@@ -209,39 +192,7 @@ def moran(values: DataFrame, links: DataFrame, k: int) -> tuple[DataFrame, dict]
     return local, {"i": float(whole), "expected": e, "variance": float(var), "z": float(zscore), "p_value": normal_p(float(zscore)), "n": int(n)}
 
 
-def changes_in_changes(df: DataFrame, y: str = "y") -> DataFrame:
-    """The counterfactual mean of the treated after treatment by quantile maps, and the effect.
-
-    A treated pre value takes its rank among the controls before (share of values at or below it) and the control value
-    after of that rank. Ranks meet values in an equi-join on the rank's place in the controls after.
-    """
-    cell = lambda a, p: df.where((F.col("treatment") == a) & (F.col("post") == p)).select(F.col(y).alias("v"))
-    n00, n01 = cell(0, 0).count(), cell(0, 1).count()
-    # cumulative counts of the control cells by distinct value, over ranges of the value so that no task holds a cell
-    both = cell(0, 0).select("v", F.lit(1).alias("c"), F.lit(0).alias("t")).union(cell(1, 0).select("v", F.lit(0).alias("c"), F.lit(1).alias("t")))
-    cdf = running(both.groupBy("v").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "v", "c")
-    place = F.greatest(F.lit(1), F.ceil(F.col("upto") / n00 * n01 - 1e-9)).cast("long")
-    asked = cdf.where("t > 0").select("v", "t", place.alias("place"))
-    values = running(cell(0, 1).groupBy("v").agg(F.count("*").alias("c")), "v", "c").select(F.col("v").alias("mapped"), F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("place"))
-    mapped = asked.join(values, "place").agg((F.sum(F.col("mapped") * F.col("t")) / F.sum("t")).alias("counterfactual"))
-    actual = cell(1, 1).agg(F.avg("v").alias("actual"))
-    return actual.join(F.broadcast(mapped)).select("actual", "counterfactual", (F.col("actual") - F.col("counterfactual")).alias("att"))
-
-
-def running(df: DataFrame, order: str, count: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``upto``: the running sum of ``count`` in order of ``order``, by ranges that are summed first."""
-    bounds = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col(order) > b).cast("int")
-    cut = df.withColumn("_part", part)
-    sums = cut.groupBy("_part").agg(F.sum(count).alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # ``parts`` rows
-    inside = F.sum(count).over(Window.partitionBy("_part").orderBy(order))
-    return cut.join(F.broadcast(before), "_part").withColumn("upto", inside + F.col("_before")).drop("_part", "_before")
-
-
-def entropy_weights(units: DataFrame, covariates: list[str], steps: int = 60) -> tuple[DataFrame, np.ndarray]:
+def entropy_weights(units: DataFrame, covariates: list[str], steps: int = 500) -> tuple[DataFrame, np.ndarray]:
     """Weights of controls (treatment 0) that give them the treated means of ``covariates``: Newton steps on the dual,
     each one aggregate of weighted moments; only p x p sums reach the driver."""
     z = units.agg(*(F.avg(F.when(F.col("treatment") == 1, F.col(c))).alias(f"m{i}") for i, c in enumerate(covariates)), *(F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(covariates))).first()
@@ -258,6 +209,8 @@ def entropy_weights(units: DataFrame, covariates: list[str], steps: int = 60) ->
             break
         step = np.linalg.lstsq(h, g, rcond=None)[0]
         lam = lam - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+    else:
+        raise ValueError("no weights of the controls reach the treated means")
     w = F.exp(sum((float(a) * b for a, b in zip(lam, x, strict=True)), F.lit(0.0)))
     return units.withColumn("weight", F.when(F.col("treatment") == 1, F.lit(1.0)).otherwise(w)), lam
 

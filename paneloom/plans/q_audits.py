@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paneloom.operators.ranges import quantiles
 from paneloom.sources.tables import BALANCED_SQL, ORDERS_SQL, PANEL_SQL, PIXELS_SQL, TREATED_SQL, balanced, orders_by_customer, panel, pixels, table, treated
 
 from .registry import query
@@ -173,9 +174,8 @@ def a24_dose_table(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS crop, year(o_orderdate) AS year, count(*) AS n, quantile_cont(dayofyear(o_orderdate), 0.5) AS sow_median, quantile_cont(dayofyear(o_orderdate), 0.1) AS sow_p10, quantile_cont(dayofyear(o_orderdate), 0.9) AS sow_p90 FROM orders GROUP BY ALL HAVING count(*) >= 3")
 def a26_crop_calendar(spark, sf_dir):
-    day = F.dayofyear("o_orderdate")
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("crop"), F.year("o_orderdate").alias("year"))
-    return g.agg(F.count("*").alias("n"), *(F.percentile(day, q).alias(k) for k, q in (("sow_median", 0.5), ("sow_p10", 0.1), ("sow_p90", 0.9)))).where("n >= 3")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("crop"), F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("day"))
+    return quantiles(o, ["crop", "year"], "day", {"sow_median": 0.5, "sow_p10": 0.1, "sow_p90": 0.9}).where("n >= 3")
 
 
 @query(f"WITH {PIXELS_SQL}, m AS (SELECT site_id, median(lat) AS la, median(lon) AS lo FROM pixels GROUP BY 1) SELECT site_id, round(avg(CAST(sqrt(power((lon - lo) * 111320.0 * cos(radians(la)), 2) + power((lat - la) * 110574.0, 2)) <= 150 AS INT)), 6) AS near, count(*) AS visits FROM pixels JOIN m USING (site_id) GROUP BY 1")
@@ -201,7 +201,9 @@ def a30_agreement(spark, sf_dir):
 
 @query(f"WITH {PANEL_SQL} SELECT buff_km, round(quantile_cont(y, 0.01) + 1e-7, 4) AS p01, round(quantile_cont(y, 0.99) + 1e-7, 4) AS p99, round(100.0 * count(DISTINCT y) / count(DISTINCT pixel_id), 4) AS distinct_per_100 FROM panel GROUP BY 1")
 def a31_tails(spark, sf_dir):
-    return panel(spark, sf_dir).groupBy("buff_km").agg(r4(F.percentile("y", 0.01)).alias("p01"), r4(F.percentile("y", 0.99)).alias("p99"), F.round(100 * F.count_distinct("y") / F.count_distinct("pixel_id"), 4).alias("distinct_per_100"))
+    p = panel(spark, sf_dir)
+    q = quantiles(p, ["buff_km"], "y", {"p01": 0.01, "p99": 0.99}).select("buff_km", r4(F.col("p01")).alias("p01"), r4(F.col("p99")).alias("p99"))
+    return q.join(p.groupBy("buff_km").agg(F.round(100 * F.count_distinct("y") / F.count_distinct("pixel_id"), 4).alias("distinct_per_100")), "buff_km")
 
 
 @query(f"WITH {PANEL_SQL}, d AS (SELECT *, {TREATED_SQL} FROM panel), m AS (SELECT site_id, avg(y) FILTER (treatment = 1 AND post = 1) AS a, avg(y) FILTER (treatment = 1 AND post = 0) AS b, avg(y) FILTER (treatment = 0 AND post = 1) AS c, avg(y) FILTER (treatment = 0 AND post = 0) AS e FROM d GROUP BY 1) SELECT site_id, round((a - b) - (c - e) + 1e-7, 4) AS did FROM m")

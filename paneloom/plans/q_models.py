@@ -7,10 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paneloom.operators import spatial as S
+from paneloom.operators.ranges import quantiles
 from paneloom.sources.staging import staged
 from paneloom.sources.tables import BALANCED_SQL, PANEL_SQL, PIXELS_SQL, TREATED_SQL, balanced, panel, pixels, treated
 
 from . import models as M
+from . import resample as R
 from .fe import twfe
 from .q_audits import r4, season_net
 from .registry import query
@@ -329,12 +331,30 @@ def m23_wild_bootstrap(spark, sf_dir):
 
 @query()
 def m25_permutation(spark, sf_dir):
-    return M.permutation(_pb(spark, sf_dir), "unit", reps=200)
+    return R.permutation(_pb(spark, sf_dir), "unit")
 
 
-@query()
+def _before_after(spark, sf_dir):
+    p = treated(panel(spark, sf_dir))
+    mean = lambda k: F.avg(F.when(F.col("post") == k, F.col("y")))
+    return p.groupBy(F.col("pixel_id").alias("unit"), "treatment").agg(mean(0).alias("y0"), mean(1).alias("y1"))
+
+
+_TAUS = ", ".join(f"({10 * i}, {i / 10})" for i in range(1, 10))
+
+
+@query(f"""WITH {PANEL_SQL}, u AS (SELECT pixel_id, buff_km = 0 AS tr, avg(y) FILTER (year < 1998) AS y0, avg(y) FILTER (year >= 1998) AS y1 FROM panel GROUP BY ALL), w AS (SELECT * FROM u WHERE y0 IS NOT NULL AND y1 IS NOT NULL),
+c AS (SELECT row_number() OVER (ORDER BY y1) AS place, y1 FROM w WHERE NOT tr), t AS (SELECT y0, y1, row_number() OVER (ORDER BY y0) AS i, row_number() OVER (ORDER BY y1) AS j, count(*) OVER () AS n, (SELECT count(*) FROM w x WHERE NOT x.tr AND x.y0 <= w.y0) AS r FROM w WHERE tr),
+m AS (SELECT t.*, c.y1 AS m FROM t JOIN c ON c.place = greatest(1, r))
+SELECT 'att' AS term, round(avg(y1) - avg(m) + 1e-7, 4) AS estimate FROM m UNION ALL SELECT 'q' || q, round(max(y1) FILTER (j = ceil(tau * n - 1e-9)) - max(m) FILTER (i = ceil(tau * n - 1e-9)) + 1e-7, 4) FROM m CROSS JOIN (VALUES {_TAUS}) v(q, tau) GROUP BY q""")
 def m04_changes_in_changes(spark, sf_dir):
-    return M.changes_in_changes(treated(panel(spark, sf_dir)))
+    return R.changes_in_changes(_before_after(spark, sf_dir)).select("term", r4(F.col("estimate")).alias("estimate"))
+
+
+@query()
+def m04_errors(spark, sf_dir):
+    """The same with errors from 200 draws."""
+    return R.bootstrapped(R.changes_in_changes(_before_after(spark, sf_dir), draws=200))
 
 
 @query(f"""WITH {BALANCED_SQL}, w AS (SELECT buff_km = 0 AS tr, year, y - avg(y) FILTER (year < 1998) OVER (PARTITION BY unit) AS e FROM pb), q AS (SELECT t.tau, tr, year >= 1998 AS post, {", ".join(f"quantile_cont(e, {t}) AS q{round(100 * t)}" for t in (0.1, 0.25, 0.5, 0.75, 0.9))} FROM w CROSS JOIN (SELECT 0 AS tau) t GROUP BY ALL)
@@ -343,7 +363,7 @@ def m35_quantile_did(spark, sf_dir):
     e = F.col("y") - F.avg(F.when(F.col("year") < 1998, F.col("y"))).over(Window.partitionBy("unit"))
     w = _pb(spark, sf_dir).withColumn("e", e)
     taus = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
-    q = w.groupBy("treatment", "post").agg(*(F.percentile("e", t).alias(k) for k, t in taus.items()))
+    q = quantiles(w, ["treatment", "post"], "e", taus)
     sign = F.when(F.col("treatment") == F.col("post"), 1).otherwise(-1)
     return q.agg(*(r4(F.sum(sign * F.col(k))).alias(k) for k in taus))
 

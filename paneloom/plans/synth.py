@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.operators.ranges import numbered
+from paneloom.sources.staging import staged
+
 
 def simplex_ridge(a: np.ndarray, b: np.ndarray, zeta: float, begin: np.ndarray | None = None) -> np.ndarray:
     """min |a w + c - b|^2 + zeta^2 n |w|^2 over non-negative weights that sum to one, with a free level c.
@@ -227,7 +230,10 @@ def completed_matrix(units: DataFrame, start: int, rank: int = 3) -> DataFrame:
     """Untreated outcomes of treated cells by alternating least squares on two-way residuals; the mean gap."""
     from pyspark.ml.recommendation import ALS
 
-    u = units.withColumn("uid", F.pmod(F.xxhash64("unit"), F.lit(2_000_000_011)).cast("int"))
+    numbers = staged(numbered(units, "unit"))
+    if (numbers.agg(F.max("number")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more units than the factorisation can number")
+    u = units.join(numbers.select("unit", F.col("number").cast("int").alias("uid")), "unit")
     free = u.where(~(F.col("treated") & (F.col("year") >= start)))
     my, mu = free.groupBy("year").agg(F.avg("y").alias("my")), free.groupBy("uid").agg(F.avg("y").alias("mu"))
     g = free.agg(F.avg("y").alias("g"), F.stddev_samp("y").alias("s"))
