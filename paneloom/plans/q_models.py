@@ -15,6 +15,7 @@ from . import models as M
 from . import resample as R
 from .fe import twfe
 from .q_audits import r4, season_net
+from .q_joins import FUND_SQL, fund
 from .registry import query
 from .stats import chi2_p, t_p
 from .two_stage import two_stage
@@ -41,6 +42,16 @@ v AS (SELECT {k}sum(s * s) AS meat FROM s {"GROUP BY " + keys if keys else ""})
 SELECT {k}'{term}' AS term, round(beta + 1e-7, 4) AS estimate, round(sqrt(meat / (m * m) * g / (g - 1) * (n - 1) / (n - 1 - t)) + 1e-7, 4) AS se, n AS n_obs, units AS n_units, g AS n_clusters FROM b JOIN v {on}"""
 
 
+def _closed_two(terms: tuple[str, str], x1: str, x2: str, part: str = "0") -> str:
+    """SQL of a balanced regression on two terms with unit and period effects, periods by ``part`` of the units."""
+    net = lambda c: f"{c} - avg({c}) OVER (PARTITION BY unit) - avg({c}) OVER (PARTITION BY part, year) + avg({c}) OVER (PARTITION BY part)"
+    row = lambda i, t, v: f"SELECT '{t}' AS term, round(b{i} + 1e-7, 4) AS estimate, round(sqrt({v} / (det * det) * g / (g - 1) * (n - 1) / (n - 3 - t)) + 1e-7, 4) AS se, n AS n_obs, units AS n_units, g AS n_clusters FROM b CROSS JOIN v"
+    return f"""WITH {BALANCED_SQL}, d AS (SELECT *, {part} AS part, {x1} AS x1, {x2} AS x2 FROM pb), z AS (SELECT unit, site_id, year, part, {net("y")} AS y, {net("x1")} AS x1, {net("x2")} AS x2 FROM d),
+m AS (SELECT sum(x1 * x1) AS a, sum(x1 * x2) AS c, sum(x2 * x2) AS d, sum(x1 * y) AS y1, sum(x2 * y) AS y2, count(*) AS n, count(DISTINCT unit) AS units, count(DISTINCT (part, year)) - count(DISTINCT part) AS t, count(DISTINCT site_id) AS g FROM z),
+b AS (SELECT *, a * d - c * c AS det, (d * y1 - c * y2) / det AS b1, (a * y2 - c * y1) / det AS b2 FROM m), s AS (SELECT site_id, sum(x1 * (y - b1 * x1 - b2 * x2)) AS u, sum(x2 * (y - b1 * x1 - b2 * x2)) AS w FROM z CROSS JOIN b GROUP BY 1),
+v AS (SELECT sum(u * u) AS uu, sum(u * w) AS uw, sum(w * w) AS ww FROM s) {row(1, terms[0], "(d * d * uu - 2 * c * d * uw + c * c * ww)")} UNION ALL {row(2, terms[1], "(c * c * uu - 2 * a * c * uw + a * a * ww)")}"""
+
+
 @query(_closed())
 def m01_static_twfe(spark, sf_dir):
     return _short(M.static_twfe(_pb(spark, sf_dir)))
@@ -216,12 +227,12 @@ def m20_q_test(spark, sf_dir):
     return spark.createDataFrame([(r["q"], r["k"] - 1, chi2_p(r["q"], r["k"] - 1))], "q double, df long, p_value double")
 
 
-@query()
+@query(_closed_two(("ddd", "did_term"), "CAST(buff_km = 0 AND year >= 1998 AND segment = 'BUILDING' AS INT)", "CAST(buff_km = 0 AND year >= 1998 AS INT)", "CAST(segment = 'BUILDING' AS INT)"))
 def m10_triple_difference(spark, sf_dir):
     """The difference of one segment's effect from the others', with periods by segment group."""
     g3 = (F.col("segment") == "BUILDING").cast("int")
     p = _pb(spark, sf_dir).withColumn("g3", g3).withColumns({"ddd": F.col("did_term") * F.col("g3"), "period": F.concat_ws("|", "year", "g3")})
-    return M.results(spark, twfe(p, "y", ["ddd", "did_term"], "unit", "period", "site_id"))
+    return _short(M.results(spark, twfe(p, "y", ["ddd", "did_term"], "unit", "period", "site_id")))
 
 
 @query(f"""WITH {BALANCED_SQL}, m AS (SELECT buff_km, avg(y) FILTER (year >= 1998) - avg(y) FILTER (year < 1998) AS change FROM pb GROUP BY 1) SELECT 'ring_' || buff_km AS term, round(change - (SELECT change FROM m WHERE buff_km = 5) + 1e-7, 4) AS estimate FROM m WHERE buff_km < 5""")
@@ -232,65 +243,112 @@ def m24_spillover_rings(spark, sf_dir):
     return M.results(spark, twfe(p, "y", cols, "unit", "year", "site_id")).select("term", r4(F.col("estimate")).alias("estimate"))
 
 
-@query()
+@query(_closed_two(("did_term", "inter"), "CAST(buff_km = 0 AND year >= 1998 AS INT)", "CAST(buff_km = 0 AND year >= 1998 AS INT) * (site_id % 7 - (SELECT avg(site_id % 7) FROM pb))"))
 def m26_interaction(spark, sf_dir):
     """Treatment by a centred covariate: the effect at its mean and the slope of the effect."""
     p = _pb(spark, sf_dir).withColumn("cov", (F.col("site_id") % 7).cast("double"))
     mean = p.agg(F.avg("cov").alias("mean_cov"))
     p = p.join(F.broadcast(mean)).withColumn("inter", F.col("did_term") * (F.col("cov") - F.col("mean_cov")))
-    return M.results(spark, twfe(p, "y", ["did_term", "inter"], "unit", "year", "site_id"))
+    return _short(M.results(spark, twfe(p, "y", ["did_term", "inter"], "unit", "year", "site_id")))
 
 
-@query()
+@query(_closed(x="CASE WHEN buff_km = 0 AND year >= 1998 THEN coalesce(amount, 0) / 1e6 ELSE 0 END", source="dosed", term="dose", more=", " + FUND_SQL + ", dosed AS (SELECT pb.*, amount FROM pb LEFT JOIN (SELECT site_id, month // 12 AS year, max(amount_reported) AS amount FROM fund GROUP BY ALL) f ON f.site_id = pb.site_id AND f.year = pb.year)"))
 def m06_dose_response(spark, sf_dir):
     """Outcome on the site's cumulative amount where treated, in millions."""
-    from .q_joins import fund
-
     a = fund(spark, sf_dir).groupBy("site_id", F.floor(F.col("month") / 12).cast("int").alias("year")).agg(F.max("amount_reported").alias("amount"))
     p = _pb(spark, sf_dir).join(a, ["site_id", "year"], "left").withColumn("dose", F.when(F.col("did_term") == 1, F.coalesce("amount", F.lit(0.0)) / 1e6).otherwise(0.0))
-    return M.results(spark, twfe(p, "y", ["dose"], "unit", "year", "site_id"))
+    return _short(M.results(spark, twfe(p, "y", ["dose"], "unit", "year", "site_id")))
 
 
-@query()
+@query(f"""WITH {BALANCED_SQL}, d AS (SELECT *, CAST(buff_km = 0 AND year >= 1998 AS INT) AS x, CAST(buff_km = 0 AND year >= 1998 AS INT) * (1 + site_id % 3) AS i FROM pb),
+z AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS yy, x - avg(x) OVER (PARTITION BY unit) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS xx, i - avg(i) OVER (PARTITION BY unit) - avg(i) OVER (PARTITION BY year) + avg(i) OVER () AS zz FROM d),
+b AS (SELECT sum(zz * yy) / sum(zz * xx) AS beta, sum(zz * xx) / sum(zz * zz) AS slope, sum(zz * xx) AS zx, sum(zz * zz) AS q, count(*) AS n, count(DISTINCT year) AS t, count(DISTINCT site_id) AS g FROM z),
+s AS (SELECT site_id, sum(zz * (yy - beta * xx)) AS u, sum(zz * (xx - slope * zz)) AS f FROM z CROSS JOIN b GROUP BY 1), v AS (SELECT sum(u * u) AS u, sum(f * f) AS f FROM s)
+SELECT round(beta + 1e-7, 4) AS estimate, round(sqrt(u / (zx * zx) * g / (g - 1) * (n - 1) / (n - 1 - t)) + 1e-7, 4) AS se, round(slope * slope / (f / (q * q) * g / (g - 1) * (n - 1) / (n - 1 - t)), 4) AS first_stage_f, n AS n_obs FROM b CROSS JOIN v""")
 def m08_instrument(spark, sf_dir):
-    """Two-stage slope from the cross products of outcome, treatment and instrument, all from the same core."""
+    """Two-stage slope: the reduced form's over the first stage's. Its scores are the instrument times what the slope leaves of
+    the outcome, so the error is that of a regression of the rest on the instrument, over the first stage's slope."""
     p = _pb(spark, sf_dir).withColumn("z", F.col("did_term") * (1 + F.col("site_id") % 3))
     reduced, first = twfe(p, "y", ["z"], "unit", "year", "site_id")[()], twfe(p, "did_term", ["z"], "unit", "year", "site_id")[()]
-    beta, f = reduced.beta[0] / first.beta[0], (first.beta[0] / first.se[0]) ** 2
-    return spark.createDataFrame([(float(beta), float(reduced.se[0] / abs(first.beta[0])), float(f), reduced.n_obs)], "estimate double, se double, first_stage_f double, n_obs long")
+    beta, f = float(reduced.beta[0] / first.beta[0]), float((first.beta[0] / first.se[0]) ** 2)
+    rest = twfe(p.withColumn("rest", F.col("y") - beta * F.col("did_term")), "rest", ["z"], "unit", "year", "site_id")[()]
+    row = spark.createDataFrame([(beta, float(rest.se[0] / abs(first.beta[0])), f, reduced.n_obs)], "estimate double, se double, first_stage_f double, n_obs long")
+    return row.select(r4(F.col("estimate")).alias("estimate"), r4(F.col("se")).alias("se"), F.round("first_stage_f", 4).alias("first_stage_f"), "n_obs")
 
 
-@query()
-def m09_sun_abraham(spark, sf_dir):
-    """Cohort by relative period effects, averaged by the cohorts' shares."""
+def _stages_sql(cells: str, centre: str) -> str:
+    """SQL of a two-stage estimate on the staggered panel, whose units of one cohort share their untreated years: the normal
+    equations of cohorts and years, for the outcome (key -99) and for every cell, are solved by alternation."""
+    return _STAG.replace("WITH", "WITH RECURSIVE", 1) + f""", d AS (SELECT unit, site_id, year, y, coalesce(cohort, 9999) AS c, year < coalesce(cohort, 9999) AS free, CASE WHEN {cells} THEN year - cohort END AS k FROM st),
+f AS (SELECT *, count(*) OVER (PARTITION BY c) AS years FROM (SELECT c, year, avg(y) AS m, count(*) AS units FROM d WHERE free GROUP BY ALL)),
+rc AS (SELECT -99 AS key, c, sum(m) AS r FROM f GROUP BY 2 UNION ALL SELECT key, c, count(*) FILTER (k = key) FROM (SELECT DISTINCT c, year, k FROM d) CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
+qt AS (SELECT -99 AS key, year, sum(m * units) AS q FROM f GROUP BY 2 UNION ALL SELECT key, year, count(*) FILTER (k = key) FROM d CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
+b AS (SELECT 0 AS it, key, year, CAST(0 AS DOUBLE) AS b FROM qt UNION ALL
+  SELECT it + 1, key, year, (any_value(q) - sum(units * (r - sb) / years)) / sum(units) FROM (SELECT b.it, b.key, b.year, q, r, units, years, sum(b.b) OVER (PARTITION BY b.key, f.c) AS sb FROM b JOIN f USING (year) JOIN rc USING (key, c) JOIN qt USING (key, year) WHERE it < 80) GROUP BY it, key, year),
+v AS (SELECT key, c, year, (r - sum(b) OVER (PARTITION BY key, c)) / years + b AS v FROM b JOIN f USING (year) JOIN rc USING (key, c) WHERE it = 80),
+l AS (SELECT year, b AS shift FROM b WHERE it = 80 AND key = -99),
+e AS (SELECT *, y - shift - avg(y - shift) FILTER (free) OVER (PARTITION BY unit) AS e FROM d JOIN l USING (year)),
+g AS (SELECT *, e - avg(e) OVER (PARTITION BY {centre}) AS w, count(*) OVER (PARTITION BY k) AS n FROM e WHERE k IS NOT NULL),
+sc AS (SELECT key, site_id, sum(s) AS s FROM (SELECT k AS key, site_id, w / n AS s FROM g UNION ALL SELECT key, site_id, -v * e / n FROM e JOIN v USING (c, year) JOIN (SELECT DISTINCT k AS key, n FROM g) USING (key)) GROUP BY ALL),
+o AS (SELECT k AS key, avg(e) AS est, count(*) AS n FROM g GROUP BY 1), se AS (SELECT key, sqrt(sum(s * s)) AS se FROM sc GROUP BY 1)"""
+
+
+def _cohorts(st) -> tuple[dict, list]:
+    """Units of each cohort and the years, from the panel."""
+    sizes = {r["cohort"]: r["n"] for r in st.where("cohort IS NOT NULL").groupBy("cohort").agg(F.count_distinct("unit").alias("n")).collect()}
+    return sizes, sorted(r["year"] for r in st.select("year").distinct().collect())
+
+
+def _sun_abraham(spark, sf_dir):
+    """(event time, estimate, se, p): cohort by relative period effects, averaged by the cohorts' shares."""
     st = _staggered(spark, sf_dir)
-    cells = [(g, k) for g in (1998, 1999, 2000) for k in range(-5, 3) if k != -1 and 1995 <= g + k <= 2000]
-    name = {c: f"c{i}" for i, c in enumerate(cells)}
+    sizes, years = _cohorts(st)
+    name = {(g, t - g): f"c{i}" for i, (g, t) in enumerate((g, t) for g in sorted(sizes) for t in years if t - g != -1)}
     st = st.withColumns({n: F.coalesce((F.col("cohort") == g) & (F.col("year") == g + k), F.lit(False)).cast("int") for (g, k), n in name.items()})
     fit = twfe(st, "y", list(name.values()), "unit", "year", "site_id")[()]
-    sizes = {r["cohort"]: r["n"] for r in st.where("cohort IS NOT NULL").groupBy("cohort").agg(F.count_distinct("unit").alias("n")).collect()}
     rows = []
-    for k in range(-5, 3):
+    for k in sorted({k for _, k in name}):
         mine = [(g, fit.terms.index(name[g, k])) for g in sizes if (g, k) in name and name[g, k] in fit.terms]
         if mine:
             w = np.zeros(len(fit.terms))
             for g, i in mine:
                 w[i] = sizes[g] / sum(sizes[h] for h, _ in mine)
             rows.append((k, *map(float, fit.linear(w))))
-    return spark.createDataFrame(rows, "event_time int, estimate double, se double, p_value double")
+    return rows
 
 
 @query()
-def m32_extended_twfe(spark, sf_dir):
-    """Cohort by year cells after treatment; their mean by the cells' rows."""
+def m09_sun_abraham(spark, sf_dir):
+    return spark.createDataFrame(_sun_abraham(spark, sf_dir), "event_time int, estimate double, se double, p_value double")
+
+
+@query(_CS + " SELECT CAST(year - g AS INT) AS event_time, round(sum(att * n1) / sum(n1) + 1e-7, 4) AS estimate FROM c WHERE year - g <> -1 GROUP BY 1")
+def m09_estimates(spark, sf_dir):
+    """With every relative period of every cohort in the model, they are differences from the never treated."""
+    rows = [(k, b) for k, b, _, _ in _sun_abraham(spark, sf_dir)]
+    return spark.createDataFrame(rows, "event_time int, estimate double").withColumn("estimate", r4(F.col("estimate")))
+
+
+def _extended(spark, sf_dir):
+    """(term, estimate, se, p): cohort by year cells after treatment and their mean by the cells' rows."""
     st = _staggered(spark, sf_dir)
-    cells = [(g, t) for g in (1998, 1999, 2000) for t in range(g, 2001)]
+    sizes, years = _cohorts(st)
+    cells = [(g, t) for g in sorted(sizes) for t in years if t >= g]
     st = st.withColumns({f"e{g}_{t}": F.coalesce((F.col("cohort") == g) & (F.col("year") == t), F.lit(False)).cast("int") for g, t in cells})
     fit = twfe(st, "y", [f"e{g}_{t}" for g, t in cells], "unit", "year", "site_id")[()]
-    sizes = {r["cohort"]: r["n"] for r in st.where("cohort IS NOT NULL AND year = cohort").groupBy("cohort").agg(F.count("*").alias("n")).collect()}
-    w = np.array([sizes[int(t[1:5])] for t in fit.terms], float)
-    est, se, p = fit.linear(w / w.sum())
-    return spark.createDataFrame([("simple", est, se, p)] + [(t, float(b), float(s), t_p(float(b / s), fit.df)) for t, b, s in zip(fit.terms, fit.beta, fit.se, strict=True)], "term string, estimate double, se double, p_value double")
+    w = np.array([sizes[int(t[1:].split("_")[0])] for t in fit.terms], float)
+    return [("simple", *fit.linear(w / w.sum()))] + [(t, float(b), float(s), t_p(float(b / s), fit.df)) for t, b, s in zip(fit.terms, fit.beta, fit.se, strict=True)]
+
+
+@query()
+def m32_extended_twfe(spark, sf_dir):
+    return spark.createDataFrame(_extended(spark, sf_dir), "term string, estimate double, se double, p_value double")
+
+
+@query(_stages_sql("year >= cohort", "k, c, year") + " SELECT 'e' || c || '_' || year AS term, round(avg(e) + 1e-7, 4) AS estimate FROM e WHERE k IS NOT NULL GROUP BY c, year UNION ALL SELECT 'simple', round(avg(e) + 1e-7, 4) FROM e WHERE k IS NOT NULL")
+def m32_estimates(spark, sf_dir):
+    """With every treated cell in the model, effects are the gaps to what untreated rows predict."""
+    return spark.createDataFrame([(t, b) for t, b, _, _ in _extended(spark, sf_dir)], "term string, estimate double").withColumn("estimate", r4(F.col("estimate")))
 
 
 @query()
@@ -302,10 +360,13 @@ def m29_exposure(spark, sf_dir):
     return M.results(spark, twfe(st, "y", cols, "unit", "year", "site_id"))
 
 
-@query()
+@query(_STAG + """, gs AS (SELECT DISTINCT cohort AS g FROM st WHERE cohort IS NOT NULL), r AS (SELECT g, unit, site_id, year, y, CAST(cohort IS NOT NULL AND cohort = g AND year >= g AS INT) AS x FROM st JOIN gs ON cohort = g OR cohort IS NULL OR cohort > g + 3 WHERE year BETWEEN g - 3 AND g + 3),
+z AS (SELECT *, y - avg(y) OVER (PARTITION BY g, unit) - avg(y) OVER (PARTITION BY g, year) + avg(y) OVER (PARTITION BY g) AS yy, x - avg(x) OVER (PARTITION BY g, unit) - avg(x) OVER (PARTITION BY g, year) + avg(x) OVER (PARTITION BY g) AS xx FROM r),
+b AS (SELECT sum(xx * yy) / sum(xx * xx) AS beta, sum(xx * xx) AS m, count(*) AS n, count(DISTINCT (g, unit)) AS units, count(DISTINCT site_id) AS c, count(DISTINCT (g, year)) - count(DISTINCT g) AS t FROM z), s AS (SELECT site_id, sum(xx * (yy - beta * xx)) AS s FROM z CROSS JOIN b GROUP BY 1)
+SELECT 'd' AS term, round(any_value(beta) + 1e-7, 4) AS estimate, round(sqrt(sum(s * s) / any_value(m * m) * any_value(c / (c - 1.0)) * any_value((n - 1.0) / (n - 2 - t))) + 1e-7, 4) AS se, any_value(n) AS n_obs, any_value(units) AS n_units, any_value(c) AS n_clusters FROM s CROSS JOIN b""")
 def m31_stacked(spark, sf_dir):
     s = M.stacked(_staggered(spark, sf_dir))
-    return M.results(spark, twfe(s, "y", ["d"], "stack_unit", "stack_year", "site_id"))
+    return _short(M.results(spark, twfe(s, "y", ["d"], "stack_unit", "stack_year", "site_id")))
 
 
 @query(_STAG + """, c AS (SELECT cohort, year, avg(y) AS m, count(*) AS n FROM st GROUP BY ALL), k AS (SELECT cohort, max(n) AS n FROM c GROUP BY 1), p AS (SELECT a.cohort AS k, b.cohort AS u, a.n AS nk, b.n AS nu, CASE WHEN a.cohort > b.cohort THEN b.cohort ELSE 1995 END AS lo, CASE WHEN b.cohort IS NULL OR a.cohort > b.cohort THEN 2000 ELSE b.cohort - 1 END AS hi FROM k a JOIN k b ON a.cohort IS NOT NULL AND a.cohort IS DISTINCT FROM b.cohort),
@@ -374,23 +435,6 @@ def m27_sample(spark, sf_dir):
     return _staggered(spark, sf_dir).agg(F.count_if(tr).alias("treated_rows"), F.count_if(~tr).alias("untreated_rows"))
 
 
-def _stages_sql(cells: str, centre: str) -> str:
-    """SQL of a two-stage estimate on the staggered panel, whose units of one cohort share their untreated years: the normal
-    equations of cohorts and years, for the outcome (key -99) and for every cell, are solved by alternation."""
-    return _STAG.replace("WITH", "WITH RECURSIVE", 1) + f""", d AS (SELECT unit, site_id, year, y, coalesce(cohort, 9999) AS c, year < coalesce(cohort, 9999) AS free, CASE WHEN {cells} THEN year - cohort END AS k FROM st),
-f AS (SELECT *, count(*) OVER (PARTITION BY c) AS years FROM (SELECT c, year, avg(y) AS m, count(*) AS units FROM d WHERE free GROUP BY ALL)),
-rc AS (SELECT -99 AS key, c, sum(m) AS r FROM f GROUP BY 2 UNION ALL SELECT key, c, count(*) FILTER (k = key) FROM (SELECT DISTINCT c, year, k FROM d) CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
-qt AS (SELECT -99 AS key, year, sum(m * units) AS q FROM f GROUP BY 2 UNION ALL SELECT key, year, count(*) FILTER (k = key) FROM d CROSS JOIN (SELECT DISTINCT k AS key FROM d WHERE k IS NOT NULL) GROUP BY ALL),
-b AS (SELECT 0 AS it, key, year, CAST(0 AS DOUBLE) AS b FROM qt UNION ALL
-  SELECT it + 1, key, year, (any_value(q) - sum(units * (r - sb) / years)) / sum(units) FROM (SELECT b.it, b.key, b.year, q, r, units, years, sum(b.b) OVER (PARTITION BY b.key, f.c) AS sb FROM b JOIN f USING (year) JOIN rc USING (key, c) JOIN qt USING (key, year) WHERE it < 80) GROUP BY it, key, year),
-v AS (SELECT key, c, year, (r - sum(b) OVER (PARTITION BY key, c)) / years + b AS v FROM b JOIN f USING (year) JOIN rc USING (key, c) WHERE it = 80),
-l AS (SELECT year, b AS shift FROM b WHERE it = 80 AND key = -99),
-e AS (SELECT *, y - shift - avg(y - shift) FILTER (free) OVER (PARTITION BY unit) AS e FROM d JOIN l USING (year)),
-g AS (SELECT *, e - avg(e) OVER (PARTITION BY {centre}) AS w, count(*) OVER (PARTITION BY k) AS n FROM e WHERE k IS NOT NULL),
-sc AS (SELECT key, site_id, sum(s) AS s FROM (SELECT k AS key, site_id, w / n AS s FROM g UNION ALL SELECT key, site_id, -v * e / n FROM e JOIN v USING (c, year) JOIN (SELECT DISTINCT k AS key, n FROM g) USING (key)) GROUP BY ALL),
-o AS (SELECT k AS key, avg(e) AS est, count(*) AS n FROM g GROUP BY 1), se AS (SELECT key, sqrt(sum(s * s)) AS se FROM sc GROUP BY 1)"""
-
-
 def _stage_rows(spark, fit, head=()):
     """A row for each cell and, with ``head`` (its weights by cell), one for their weighted sum."""
     rows = [(int(k), float(b), float(s), t_p(float(b / s), fit.df), fit.rows[k]) for k, b, s in zip(fit.terms, fit.beta, fit.se, strict=True)]
