@@ -106,14 +106,19 @@ def dr_learner(df: DataFrame, key: str = "unit", folds: int = 3, trees: int = 20
 
 
 def meta_learners(df: DataFrame, key: str = "unit", trees: int = 20, least: int = 10) -> DataFrame:
-    """T and X learners: mean effect, effect on the treated, spread and tails of the unit effects."""
+    """S, T and X learners: mean effect, effect on the treated, spread and tails of the unit effects."""
+    both = VectorAssembler(inputCols=["x", "arm"], outputCol="xw")
+    at = lambda rows, a: both.transform(rows.withColumn("arm", a))
+    single = _forest("d", trees, least).setFeaturesCol("xw").fit(at(df, F.col("w")))
+    under = lambda rows, a, name: single.setPredictionCol(name).transform(at(rows, F.lit(a))).drop("xw", "arm")
     one, none = _forest("d", trees, least).setPredictionCol("mu1").fit(df.where("w = 1")), _forest("d", trees, least).setPredictionCol("mu0").fit(df.where("w = 0"))
     s = _with_e(_propensity(trees, least).fit(df), none.transform(one.transform(df)))
     s = s.withColumn("t_cate", F.col("mu1") - F.col("mu0")).withColumn("imputed", F.when(F.col("w") == 1, F.col("d") - F.col("mu0")).otherwise(F.col("mu1") - F.col("d")))
     g1 = _forest("imputed", trees, least).setPredictionCol("g1").fit(s.where("w = 1"))
     g0 = _forest("imputed", trees, least).setPredictionCol("g0").fit(s.where("w = 0"))
+    s = under(under(s, 1.0, "s1"), 0.0, "s0").withColumn("s_cate", F.col("s1") - F.col("s0"))
     s = g0.transform(g1.transform(s)).withColumn("x_cate", F.col("e") * F.col("g0") + (1 - F.col("e")) * F.col("g1"))
-    rows = s.select("w", F.explode(F.array(*(F.struct(F.lit(n).alias("learner"), F.col(c).alias("cate")) for n, c in (("T", "t_cate"), ("X", "x_cate"))))).alias("r")).select("w", "r.*")
+    rows = s.select("w", F.explode(F.array(*(F.struct(F.lit(n).alias("learner"), F.col(c).alias("cate")) for n, c in (("S", "s_cate"), ("T", "t_cate"), ("X", "x_cate"))))).alias("r")).select("w", "r.*")
     return rows.groupBy("learner").agg(F.avg("cate").alias("mean_cate"), F.avg(F.when(F.col("w") == 1, F.col("cate"))).alias("att"), F.percentile_approx("cate", 0.1).alias("p10"), F.percentile_approx("cate", 0.9).alias("p90"), F.stddev_samp("cate").alias("sd"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paneloom.sources.staging import staged
 from paneloom.sources.tables import balanced, panel, table, treated
 
-from . import factors, ml, synth
+from . import factors, forest, ml, synth
 from .fe import twfe
 from .models import results
 from .registry import query
@@ -62,6 +62,13 @@ def m42_dr_learner(spark, sf_dir):
     return ml.dr_learner(_x(spark, sf_dir), folds=2, trees=10)
 
 
+@query()
+def m43_honest_forest(spark, sf_dir):
+    u, covariates = long_difference(spark, sf_dir)
+    site = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), (F.col("c_nationkey") + 1).alias("site_id"))
+    return forest.honest_forest(ml.assembled(u.join(site, "unit"), covariates), covariates, "site_id", trees=100)
+
+
 @query()
 def m44_response_surface(spark, sf_dir):
     return ml.dr_learner(_x(spark, sf_dir), folds=2, trees=10, boosted=True)
