@@ -45,18 +45,18 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", most_lengths: int = 1000) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Distinct ``urls`` (url, host, path) with rule and verdict.
 
-    The path lengths that rules have are a short list (checked); a URL's prefixes are taken at those lengths.
+    A URL's suffixes and prefixes are taken at the counts of labels and the lengths that rules have: one row of two sets, which
+    are no longer than the longest rule.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(most_lengths + 1).collect())
-    if len(lengths) > most_lengths:
-        raise ValueError(f"rules have more than {most_lengths} path lengths")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    spread = urls.where("host != ''").select("url", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("url", "h", F.explode("ps").alias("p"))
+    labels = lambda host: F.size(F.split(host, r"\."))
+    shapes = rules.agg(F.collect_set(labels("host")).alias("counts"), F.collect_set(F.length("path")).alias("lengths"))
+    met = urls.where("host != ''").join(F.broadcast(shapes))  # one row
+    counts = F.filter("counts", lambda k: k <= labels("host"))
+    spread = met.select("url", "host", "path", "lengths", F.explode(counts).alias("k")).select("url", F.expr("substring_index(host, '.', -k)").alias("h"), "path", "lengths")
+    spread = spread.select("url", "h", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).select("url", "h", F.expr("substring(path, 1, n)").alias("p"))
     digest = _digest(F.col("h"), F.col("p"))
     asked = spread.select("url", F.substring(digest, 1, 2 * PREFIX_BYTES).alias("short"), digest.alias("asked"))
     met = asked.join(hashed_rules(rules), "short").where(F.col("asked") == F.col("digest"))  # Spark broadcasts short rule lists, and shuffles long ones
@@ -69,8 +69,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """Every row of ``pages`` with host, path, rule and verdict of its url."""
     rest = pages.drop("host", "path", "rule", "verdict")
     urls = parsed(rest.select("url").where("url IS NOT NULL").distinct())
-    joined = rest.join(judge(urls, rules, default), "url", "left")
-    return joined.select(*rest.columns, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    joined = rest.where("url IS NOT NULL").join(judge(urls, rules, default), "url").select(*rest.columns, "host", "path", "rule", "verdict")
+    none = rest.where("url IS NULL").select(*rest.columns, F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return joined.union(none)  # rows without a url need no join
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
