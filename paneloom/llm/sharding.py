@@ -1,9 +1,9 @@
 """A uniform shuffle into shards of exact size, by a hypergeometric communication matrix, in DataFrame functions alone.
 
 Rows belong to blocks by a hash of their key, so that a retried task finds the same blocks. How many of each block's
-rows go to each shard is drawn before any row moves: block by block, the counts are multivariate hypergeometric given
-the places left in the shards, so every row of the matrix sums to its block's rows and every column to its shard's
-size, exactly as in a uniform shuffle of all rows. Each block then permutes its rows by a random key and deals them out
+rows go to each shard is drawn before any row moves, down a tree of groups of blocks: the counts of a group are multivariate
+hypergeometric given the places left in the shards, so every row of the matrix sums to its block's rows and every column to its
+shard's size, exactly as in a uniform shuffle of all rows. Each block then permutes its rows by a random key and deals them out
 by its row of the matrix; after the exchange every shard permutes its rows again. Both permutations sort by a hash of a
 seed and the row, and the second is done in buckets of the hash, whose sizes give each bucket its first slot, so that no
 task ever holds a whole shard.
@@ -82,38 +82,55 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 1) / float(1 << 53)
 
 
-def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(block, upto): for each block of ``counts`` (block, n) the running sum of its rows dealt to shards 0, 1, ...
+FAN = 64
 
-    All counts meet in one row of a fixed number of blocks; the draws run through them in order.
-    """
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: (F.floor(F.col("rows") / shards) + F.when(j < F.col("rows") % shards, 1).otherwise(0)).cast("long"))
 
-    def block_draw(left: Column, b: Column) -> Column:
-        """The counts of one block given the places left in each shard."""
+def _split(nodes: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(node, got): the counts by shard of each child of ``nodes`` (left: places by shard, children: at most FAN of node and n)."""
+
+    def draw(left: Column, child: Column) -> Column:
+        """The counts of one child given the places left in each shard."""
         everything = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x)
-        begin = F.struct(F.array().cast("array<bigint>").alias("got"), b["n"].cast("long").alias("n"), everything.alias("total"))
+        begin = F.struct(F.array().cast("array<bigint>").alias("got"), child["n"].cast("long").alias("n"), everything.alias("total"))
 
         def one_shard(a: Column, j: Column) -> Column:
             places = F.get(left, j)
-            take = hypergeometric(a["n"], places, a["total"], _uniform(F.lit(seed), b["block"], j))
+            take = hypergeometric(a["n"], places, a["total"], _uniform(F.lit(seed), F.col("level"), child["node"], j))
             return _let(take, lambda k: F.struct(F.concat(a["got"], F.array(k)).alias("got"), (a["n"] - k).alias("n"), (a["total"] - places).alias("total")))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), begin, one_shard, lambda a: a["got"])
 
-    first = F.struct(sizes.alias("left"), F.array().cast("array<struct<block:bigint,got:array<bigint>>>").alias("done"))
+    first = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<node:bigint,got:array<bigint>>>").alias("done"))
 
-    def step(a: Column, b: Column) -> Column:
+    def step(a: Column, child: Column) -> Column:
         def put(got: Column) -> Column:
             left = F.zip_with(a["left"], got, lambda x, y: x - y)
-            return F.struct(left.alias("left"), F.concat(a["done"], F.array(F.struct(b["block"].alias("block"), got.alias("got")))).alias("done"))
+            return F.struct(left.alias("left"), F.concat(a["done"], F.array(F.struct(child["node"].alias("node"), got.alias("got")))).alias("done"))
+
+        return _let(draw(a["left"], child), put)
 
-        return _let(block_draw(a["left"], b), put)
+    return nodes.select(F.inline(F.aggregate("children", first, step, lambda a: a["done"])))
 
-    drawn = one.select(F.explode(F.aggregate("blocks", first, step, lambda a: a["done"])).alias("d"))
-    running = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice(F.col("d.got"), 1, j), F.lit(0).cast("long"), lambda a, x: a + x))
-    return drawn.select(F.col("d.block").alias("block"), running.alias("upto"))
+
+def matrix(counts: DataFrame, shards: int, seed: int, blocks: int) -> DataFrame:
+    """(block, upto): for each block of ``counts`` (block, n), numbered below ``blocks``, the running sum of its rows dealt to
+    shards 0, 1, ...
+
+    The counts are drawn down a tree: all places go to FAN groups of blocks at most, each group's to its own groups, and so on,
+    a Spark step a level. A node splits by itself, so no task has more than FAN children of a node to draw.
+    """
+    levels = 1
+    while FAN**levels < blocks:
+        levels += 1
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    even = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: (F.floor(F.col("rows") / shards) + F.when(j < F.col("rows") % shards, 1).otherwise(0)).cast("long"))
+    nodes = counts.agg(rows.alias("rows")).select(F.lit(0).cast("long").alias("node"), even.alias("got"))
+    for level in range(levels - 1, -1, -1):
+        below = counts.groupBy(F.floor(F.col("block") / FAN**level).cast("long").alias("node")).agg(F.sum("n").alias("n"))
+        below = below.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("children"))  # FAN at most
+        nodes = staged(_split(nodes.join(below, F.col("node") == F.col("up")).select(F.col("got").alias("left"), "children", F.lit(level).alias("level")), shards, seed), f"level-{level}")
+    running = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("got", 1, j), F.lit(0).cast("long"), lambda a, x: a + x))
+    return nodes.select(F.col("node").alias("block"), running.alias("upto"))
 
 
 def shuffled(rows: DataFrame, keys: list[str], shards: int = 16, per_block: int = 1_000_000, per_bucket: int = 250_000, seed: int = 11) -> DataFrame:
@@ -124,7 +141,7 @@ def shuffled(rows: DataFrame, keys: list[str], shards: int = 16, per_block: int
     keys, blocks, buckets = [*keys, "nth"], max(512, n // per_block), max(64, n // (shards * per_bucket))
     hashed = numbered.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)))
     counts = staged(hashed.groupBy("block").agg(F.count("*").alias("n")), "blocks")
-    dealt = staged(matrix(counts, shards, seed), "matrix")  # a row for each block, whose number is checked
+    dealt = staged(matrix(counts, shards, seed, blocks), "matrix")  # a row for each block, whose number is checked
     side = F.broadcast(dealt) if blocks <= 100_000 else dealt
     within = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), *keys), *keys)
     placed = hashed.withColumn("place", F.row_number().over(within)).join(side, "block")
