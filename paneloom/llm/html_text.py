@@ -4,8 +4,8 @@ For every node of the page's tree: characters C, tags T, link characters LC and
 density C / T * log_b(C / LC' * T / LT'), whose base b = ln(C / notLC * LC + LCb / Cb * C + e) is link-adjusted by the
 node and the body b. The density sum of a node is the sum of its children's densities. The node with the greatest
 density sum is found; the least density on its path to the body is the threshold, and from the body down, nodes below
-the threshold are left and of the others the subtree with the greatest density sum is taken as the main content. From
-that subtree the text is written block by block.
+the threshold are left and of the others the subtree with the greatest density sum is taken as the main content, with the
+elements beside it that reach the threshold too. From there the text is written block by block.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are no content wherever they
 stand: their elements are left out by name, role, class or id before densities are taken. A form or an element marked by
@@ -13,7 +13,7 @@ role, class or id stays if it is round the article: if no article or main stands
 or most of the page's text outside links.
 
 Defined results: a null page and a page without text give an empty text; unclosed and stray tags are closed or passed
-over as browsers do for paragraphs and list items; a br ends a block's line; repeated rows each keep a row; an empty table gives no rows.
+over as browsers do for paragraphs and list items; a br is white space; repeated rows each keep a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +34,15 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
 APART = frozenset("nav header footer aside form button select dialog menu head noscript template iframe svg math object canvas audio video".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CLOSES_P = BLOCKS - {"br"}
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CLOSES_P = BLOCKS
 #: Words in class, id or role that mark what is not the article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|side|aside|comments?|disqus|reply|replies|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|widget|toolbar|pagination|pager|search|login|signup|contentinfo|complementary|navigation|alert|dialog)(?:$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies)(?:$|[\s_-])", re.I)
 KEPT = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+#: The head of an article by its name is part of it.
+OWN_HEAD = re.compile(r"(?:article|entry|post|content|story)[_-]+header", re.I)
 
 
 class Node:
@@ -59,7 +62,7 @@ def _marked(name: str, attributes: str) -> bool:
     if name in ("html", "body") or not attributes:
         return False
     marks = COMMENTS if name in KEPT else MARKS  # an article is left out only as a reader's comment
-    return any(marks.search(m[1].strip("\"'")) for m in _NAMED.finditer(attributes))
+    return any(marks.search(OWN_HEAD.sub("", m[1].strip("\"'"))) for m in _NAMED.finditer(attributes))
 
 
 def parse(page: str) -> Node:
@@ -217,8 +220,31 @@ def main_content(root: Node) -> Node:
     chosen = max(kept, key=lambda x: x.sum)
     if chosen.sum <= 0:
         return top
-    # sections of one article share a parent: go up to it, unless links make a third of what it holds
-    while chosen.name not in KEPT and chosen.parent is not None and chosen.parent.name not in ("body", "html") and 3 * chosen.parent.link_chars <= chosen.parent.chars:
+    return widened(chosen, threshold)
+
+
+def widened(chosen: Node, threshold: float) -> Node:
+    """The chosen subtree with what belongs to it beside it. In an article it is the article. Else, going up, elements at least
+    as dense as the threshold come along, sections beside a section, and headings right before it; the other elements there are left out, and nothing
+    beyond the first parent that has none to bring along."""
+    up = chosen
+    while up is not None:
+        if up.name == "article":
+            return up
+        up = up.parent
+    while chosen.name not in KEPT and chosen.parent is not None and chosen.parent.name not in ("body", "html"):
+        beside = [x for x in chosen.parent.parts if isinstance(x, Node) and not x.out]
+        place = beside.index(chosen)
+        dense = {id(x) for x in beside if x is not chosen and x.chars > x.link_chars and (x.density >= threshold or x.name == chosen.name == "section")}
+        for x in reversed(beside[:place]):
+            if x.name not in HEADINGS:
+                break
+            dense.add(id(x))
+        others = [x for x in beside if x is not chosen and id(x) not in dense and x.chars]
+        if not dense and (others or any(isinstance(x, str) and not x.isspace() for x in chosen.parent.parts)):
+            break
+        for x in others:
+            x.out = True
         chosen = chosen.parent
     return chosen
 
@@ -235,8 +261,10 @@ def blocks(node: Node) -> list[str]:
         elif isinstance(x, str):
             lines[-1].append(x)
         elif not x.out:
-            block = x.name in BLOCKS
-            if block:
+            if x.name == "br":
+                lines[-1].append(" ")
+                continue
+            if x.name in BLOCKS:
                 if lines[-1]:
                     lines.append([])
                 todo.append(None)

@@ -184,6 +184,21 @@ def test_no_rows_no_shards(spark):
     assert sharding.shuffled(spark.range(0).withColumnRenamed("id", "doc_id"), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("fan", [3, 64])
+def test_matrix_is_drawn_down_a_tree(spark, monkeypatch, fan):
+    """Rows and columns have their sums at every depth; cells spread as a draw without replacement does."""
+    monkeypatch.setattr(sharding, "FAN", fan)
+    counts = spark.range(700).select(F.col("id").alias("block"), F.when(F.col("id") % 10 == 0, 7).otherwise(20).cast("long").alias("n")).where("block % 50 != 3")
+    got = {r.block: np.diff([0, *r.upto]) for r in sharding.matrix(counts, 4, 5, 700).collect()}
+    n = {r.block: r.n for r in counts.collect()}
+    assert set(got) == set(n) and all(got[b].sum() == n[b] and (got[b] >= 0).all() for b in n)
+    total = sum(got.values())
+    assert total.sum() == sum(n.values()) and np.ptp(total) <= 1
+    cells = np.array([got[b] for b in n if n[b] == 20])
+    assert abs(cells.mean() - 5) < 0.1 and abs(cells.var(axis=0).mean() / 3.75 - 1) < 0.12
+    assert sharding.matrix(counts.limit(0), 4, 5, 700).count() == 0
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -486,6 +501,38 @@ def test_density_decides():
     assert "Item" not in found and found.count("first sentence") == 40
 
 
+ARTICLE = "<div>" + ("<p>" + "A sentence of the article that is long enough to read. " * 4 + "</p>") * 3 + "</div>"
+
+
+@pytest.mark.parametrize("lists", [True, False])
+@pytest.mark.parametrize("page, before", [
+    ("<div>{}<div><p>Buy our great things now</p><p>Weather today</p></div></div>", []),
+    ("<div><div><a href=1>Home</a><a href=2>News</a><a href=3>Contact</a></div>{}</div>", []),
+    ("<div>{}<div>Copyright 2020 somebody</div></div>", []),
+    ("<div><h1>The title</h1>{}<div>Weather</div></div>", ["The title"]),
+    ("<div><div>{}</div>{}<ul><li><a href=x>x</a></ul></div>", []),
+])
+def test_density_decides_without_marks(monkeypatch, page, before, lists):
+    """What stands unmarked beside the article is left by its density, with the lists of names and classes or without."""
+    if not lists:
+        monkeypatch.setattr(html_text, "MARKS", re.compile("(?!)"))
+        monkeypatch.setattr(html_text, "APART", frozenset())
+    found = html_text.extract(f"<body>{page.format(ARTICLE, ARTICLE)}</body>").split("\n")
+    assert [x for x in found if "A sentence" not in x] == before and sum("A sentence" in x for x in found) == 3 * page.count("{}")
+
+
+def test_most_given_pages_need_no_lists(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_text.extract(x) for x in pages]
+    monkeypatch.setattr(html_text, "MARKS", re.compile("(?!)"))
+    monkeypatch.setattr(html_text, "APART", frozenset())
+    assert sum(html_text.extract(x) == y for x, y in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+
+
+def test_heads_of_articles_and_line_breaks():
+    assert html_text.extract("<body><article><div class='article-header'><h1>Head</h1></div><p>some text of it a<br>b</p></article><div class='site-header'>site</div>") == "Head\nsome text of it a b"
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 4))
@@ -604,6 +651,12 @@ def test_urls(spark, frame):
     assert len(got) == len(urls) + 1
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == brute_rule(r.url, url_filter.RULES)
+    long = "/" + "p" * 3000
+    many = spark.createDataFrame([("example.com", long[:n], "block" if n % 2 else "allow") for n in range(1, 1502)], "host string, path string, verdict string")
+    odd = spark.createDataFrame([(f"http://{'a.' * 300}example.com{long[:n]}",) for n in (1, 700, 1501, 2999)] + [(None,), ("x",)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.filter_urls(odd, many).collect()}
+    assert got[None] == got["x"] == (None, "allow")
+    assert all(got[u] == (f"example.com{long[:k]}", "block" if k % 2 else "allow") for u, k in zip((r.url for r in odd.limit(4).collect()), (1, 700, 1501, 1501), strict=True))
     assert {r.verdict for r in url_filter.filter_urls(rows, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.filter_urls(rows.limit(0), rules).count() == 0
 
