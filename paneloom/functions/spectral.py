@@ -90,3 +90,8 @@ def biomass(lai: Column, sar: Column, ndvi: Column, slope: Column, base: Column)
     """Mean of the candidates that are there: linear in leaf area by land class, radar, and linear in NDVI; 0 to 500."""
     found = F.filter(F.array(base + slope * lai, sar, 120 * ndvi), lambda x: x.isNotNull())
     return clamp(ratio(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), F.size(found).cast("double")), 0, 500)
+
+
+def kelvin(counts: Column) -> Column:
+    """Kelvin of a product that stores counts of 0.02."""
+    return counts * 0.02

@@ -43,10 +43,13 @@ def x17_biomass(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(agb, 5).alias("agb"))
 
 
-@query("WITH t AS (SELECT event_id, coalesce(CASE WHEN event_id % 7 <> 0 THEN value * 0.02 + 273.15 - 273.15 END, CASE WHEN event_id % 3 <> 0 THEN value / 10 END) AS v FROM events) SELECT event_id, CASE WHEN v IS NOT NULL THEN round(greatest(-60, least(60, v)), 6) END AS tmean, CASE WHEN event_id % 7 <> 0 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 0 END AS source FROM t")
+@query("WITH t AS (SELECT event_id, value, coalesce(CASE WHEN event_id % 7 <> 0 AND floor(13500 + value) * 0.02 BETWEEN 200 AND 340 THEN floor(13500 + value) / 50.0 - 273.15 END, CASE WHEN event_id % 3 <> 0 THEN value / 10 END) AS v FROM events) SELECT event_id, CASE WHEN v IS NOT NULL THEN round(greatest(-60, least(60, v)), 6) END AS tmean, CASE WHEN event_id % 7 <> 0 AND floor(13500 + value) * 0.02 BETWEEN 200 AND 340 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 0 END AS source FROM t")
 def x19_weather_fallback(spark, sf_dir):
-    first, second = F.col("event_id") % 7 != 0, F.col("event_id") % 3 != 0
-    t = F.coalesce(F.when(first, F.col("value") * 0.02 + 273.15 - 273.15), F.when(second, F.col("value") / 10))
+    """Temperature from stored counts of 0.02 kelvin where they give a plausible one, else from a second source in tenths of a
+    degree, clamped."""
+    counts = F.floor(13500 + F.col("value"))
+    first, second = (F.col("event_id") % 7 != 0) & S.kelvin(counts).between(200, 340), F.col("event_id") % 3 != 0
+    t = F.coalesce(F.when(first, S.kelvin(counts) - 273.15), F.when(second, F.col("value") / 10))
     return table(spark, sf_dir, "events").select("event_id", F.round(S.clamp(t, -60, 60), 6).alias("tmean"), F.when(first, 1).when(second, 2).otherwise(0).alias("source"))
 
 

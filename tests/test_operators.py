@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from paneloom.functions.calendar import parsed_date
 from paneloom.functions.pixels import no_data, pixel_id, ring_of
-from paneloom.operators import dedup, joins, spatial, timing
+from paneloom.operators import dedup, joins, report, spatial, timing
 from paneloom.sources.exports import file_keys, resolved_headers
 from paneloom.sources.staging import staged
 
@@ -126,3 +128,28 @@ def test_dates_between_their_neighbours(spark):
     rows = [("a", 1, "13/01/2019"), ("a", 2, "02/03/2019"), ("a", 3, "20/02/2019"), ("b", 1, "05/06/2019"), ("c", 1, "31/12/2018"), ("c", 2, "04/05/2019"), ("c", 3, "25/05/2019")]
     got = {(r.g, r.v): (str(r.date), r.read) for r in panel.dates_in_order(spark.createDataFrame(rows, "g string, v int, t string"), "g", "v", "t").collect()}
     assert got["a", 2] == ("2019-02-03", "month first") and got["b", 1] == ("2019-06-05", "open") and got["c", 2] == ("2019-05-04", "open")
+
+
+def test_statuses_and_strict_checks(spark):
+    rows = spark.createDataFrame([("a", 1.0, 0.5), ("b", None, 1.0), ("c", 1.0, None), ("d", 1.0, 0.0), ("e", 1.0, 0.1), ("f", float("nan"), 1.0)], "m string, estimate double, se double")
+    design = spark.createDataFrame([("a", 0.6), ("e", 0.9)], "m string, se double")
+    got = {r.m: r.status for r in report.statuses(rows, design, ["m"]).collect()}
+    assert got == {"a": "ok", "b": "failed", "c": "no se", "d": "se of zero", "e": "se far below the design's", "f": "failed"}
+    sample = spark.createDataFrame([("u", 1, 0, 1.0), ("u", 1, 1, 5.0), ("v", 0, 0, -999.0)], "unit string, treatment int, post int, y double")
+    checks = report.preflight(sample, "y", 0, 10)
+    assert {r.check: r.n for r in checks.collect()} == {"one side only": 1, "singletons": 1, "out of bounds": 1, "no-data codes": 1, "empty cells": 1}
+    report.require(checks, [])
+    with pytest.raises(ValueError):
+        report.require(checks, ["singletons"])
+
+
+def test_location_facts_keep_the_pixel_with_more_rows(spark):
+    rows = spark.createDataFrame([(1, 10, 0, True)] * 2 + [(1, 11, 0, True)] * 3 + [(1, 12, 1, True), (1, 12, 2, True), (2, 12, 1, False)], "site_id int, pixel_id int, buff_km int, inside boolean")
+    points = spark.createDataFrame([(10, 15.0, 75.0), (11, 15.00001, 75.0), (12, 15.1, 75.0)], "pixel_id int, lat double, lon double")
+    got = {(r.site_id, r.pixel_id): (r.n_rows, r.n_own, r.ring_conflict, r.kept_pixel) for r in report.location_facts(rows, points).collect()}
+    assert got == {(1, 10): (2, 2, False, 11), (1, 11): (3, 3, False, None), (1, 12): (2, 2, True, None), (2, 12): (1, 0, False, None)}
+
+
+def test_results_lacking_columns_are_collected(spark):
+    got = report.collected({"a": spark.createDataFrame([("y", 1.0)], "outcome string, estimate double"), "b": spark.createDataFrame([(2.0, 0.5)], "estimate double, se double")}, "s").orderBy("model").collect()
+    assert [(r.model, r.outcome, r.scenario, r.estimate, r.se, r.n_obs) for r in got] == [("a", "y", "s", 1.0, None, None), ("b", None, "s", 2.0, 0.5, None)]
