@@ -56,3 +56,34 @@ def s17_manifest(spark, sf_dir):
     p = panel(spark, sf_dir).groupBy("pixel_id").agg(F.count("*").alias("rows"), F.count_distinct("season").alias("s"), F.count_distinct("year").alias("t"))
     share = lambda c: F.round(100 * F.count_if(c) / F.count("*"), 4)
     return p.agg(F.sum("rows").alias("n"), F.count("*").alias("pixels"), share(F.col("s") > 1).alias("pct_seasons"), share(F.col("t") > 1).alias("pct_years"))
+
+
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, count(*) FILTER (year(o_orderdate) % 2 = 0) AS evi_known, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) % 3 <> 0 GROUP BY 1")
+def s10_filled_columns(spark, sf_dir):
+    """Exports by year of which some lack an outcome, which is filled with null, and some an essential column, which rejects them."""
+    folder = f"{shared_dir(spark)}/paneloom/lenient-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("Year"), F.lit(15.0).alias("lat"), F.lit(75.0).alias("lon"), F.col("o_totalprice").alias("NDVI"), F.lit(1.0).alias("EVI"))
+    whole, even = F.col("Year") % 3 != 0, F.col("Year") % 2 == 0
+    for name, rows in (("all", o.where(whole & even)), ("no-evi", o.where(whole & ~even).drop("EVI")), ("no-lat", o.where(~whole).drop("lat"))):
+        rows.write.option("header", True).csv(f"{folder}/{name}")
+    h = X.harmonised(spark, folder)
+    return h.groupBy(F.col("Year").cast("int").alias("year")).agg(F.count("*").alias("n"), F.count("EVI").alias("evi_known"), F.round(F.sum("NDVI"), 2).alias("total"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 200000 GROUP BY 1")
+def s4_projected_scan(spark, sf_dir):
+    """Two columns of a Parquet scan, filtered at the scan."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice").where("o_totalprice > 200000")
+    return o.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT 'year=' || year(o_orderdate) AS folder, 1 AS files, CAST(6 AS BIGINT) AS columns FROM orders WHERE year(o_orderdate) <> 1999 GROUP BY year(o_orderdate)")
+def s1_discovered(spark, sf_dir):
+    """Files by extension below a folder, those of an excluded subfolder left out, with their columns."""
+    folder = f"{shared_dir(spark)}/paneloom/found-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.lit("x").alias("remark"))
+    o.repartition(1, "year").write.option("header", True).partitionBy("year").csv(folder)
+    o.groupBy("o_orderstatus").count().coalesce(1).write.option("header", True).csv(f"{folder}/notes")
+    h = X.header_rows(spark, folder, exclude="/(notes|year=1999)/")
+    files = h.groupBy("src_file").agg(F.count("*").alias("columns"))
+    return files.groupBy(F.regexp_extract("src_file", r"/(year=\d+)/", 1).alias("folder"), "columns").agg(F.count("*").cast("int").alias("files")).select("folder", "files", "columns")

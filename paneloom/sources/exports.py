@@ -66,9 +66,12 @@ def resolved_headers(headers: DataFrame, header: str = "header") -> DataFrame:
     return typo.select(header, name.alias("canonical"), rule.alias("rule"))
 
 
-def header_rows(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(src_file, position, header) of every file, from the first line of each."""
+def header_rows(spark: SparkSession, folder: str, pattern: str = "*.csv", exclude: str | None = None) -> DataFrame:
+    """(src_file, position, header) of every file below a folder, from the first line of each; paths that match ``exclude`` are
+    left out."""
     lines = spark.read.option("wholetext", False).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    if exclude:
+        lines = lines.where(~F.col("src_file").rlike(exclude))
     first = lines.where("at = 0").groupBy("src_file").agg(F.first("value").alias("value"))
     return first.select("src_file", F.posexplode(F.split("value", ",")).alias("position", "header"))
 
