@@ -60,6 +60,23 @@ def reconciled(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").select(*keys, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"), side.alias("side"))
 
 
+def similar_pairs(names: DataFrame, name: str = "name", least: float = 0.8) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct names whose similarity without case is ``least`` or more; nulls are left out.
+
+    Such names share ``least`` of the longer one's letters at least, each counted as often as it stands. So they meet in an
+    equi-join on one of the first letters of both, as many as similarity needs, in one order that puts repeats and late letters
+    first, which are rarer.
+    """
+    low = F.lower(name)
+    letters = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(1)))
+    marked = F.transform("letters", lambda c, i: F.struct((-F.size(F.filter(F.slice("letters", F.lit(1), i + 1), lambda x: x == c))).alias("nth"), (-F.ascii(c)).alias("code"), c.alias("letter")))
+    one = names.where(F.col(name).isNotNull()).select(F.col(name).alias("n")).distinct().withColumn(name, F.col("n")).withColumn("letters", F.when(F.length(low) > 0, letters).otherwise(F.array(F.lit(""))))
+    take = F.size("letters") - F.ceil(least * F.size("letters") - 1e-9) + 1
+    first = one.select("n", F.explode(F.slice(F.array_sort(marked), F.lit(1), take.cast("int"))).alias("mark"))
+    met = first.withColumnRenamed("n", "a").join(first.withColumnRenamed("n", "b"), "mark").where("a < b").select("a", "b").distinct()
+    return met.where(similarity(F.lower("a"), F.lower("b")) >= least)
+
+
 def name_clusters(pairs: DataFrame, names: DataFrame, staged) -> DataFrame:
     """(name, cluster): names joined by pairs (a, b), named by their least member.
 

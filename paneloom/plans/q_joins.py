@@ -180,7 +180,4 @@ def j15_fuzzy_names(spark, sf_dir):
 r AS (SELECT n_name AS name, n_name AS seen FROM nation UNION SELECT r.name, p.b FROM r JOIN p ON p.a = r.seen) SELECT name, min(seen) AS cluster FROM r GROUP BY name""")
 def j16_name_clusters(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    listed = n.agg(F.collect_list("name").alias("all"))  # the registry of names, a short list
-    pairs = n.join(F.broadcast(listed)).select(F.col("name").alias("a"), F.explode("all").alias("b")).where("a < b")
-    pairs = pairs.where(J.similarity(F.lower("a"), F.lower("b")) >= 0.45)
-    return J.name_clusters(pairs, n, staged)
+    return J.name_clusters(J.similar_pairs(n, least=0.45), n, staged)

@@ -44,22 +44,22 @@ def m14_matched(spark, sf_dir):
 
 @query()
 def m39_cate_quartiles(spark, sf_dir):
-    return ml.cate_quartiles(_x(spark, sf_dir), "level", trees=10)
+    return ml.cate_quartiles(_x(spark, sf_dir), "level", trees=100)
 
 
 @query()
 def m40_double_ml(spark, sf_dir):
-    return ml.dml(_x(spark, sf_dir), trees=10)
+    return ml.dml(_x(spark, sf_dir), trees=300)
 
 
 @query()
 def m41_meta_learners(spark, sf_dir):
-    return ml.meta_learners(_x(spark, sf_dir), trees=10)
+    return ml.meta_learners(_x(spark, sf_dir), trees=100)
 
 
 @query()
 def m42_dr_learner(spark, sf_dir):
-    return ml.dr_learner(_x(spark, sf_dir), folds=2, trees=10)
+    return ml.dr_learner(_x(spark, sf_dir), trees=100)
 
 
 @query()
@@ -71,7 +71,7 @@ def m43_honest_forest(spark, sf_dir):
 
 @query()
 def m44_response_surface(spark, sf_dir):
-    return ml.dr_learner(_x(spark, sf_dir), folds=2, trees=10, boosted=True)
+    return ml.dr_learner(_x(spark, sf_dir), trees=100, boosted=True)
 
 
 def _series(spark, sf_dir):

@@ -153,3 +153,13 @@ def test_location_facts_keep_the_pixel_with_more_rows(spark):
 def test_results_lacking_columns_are_collected(spark):
     got = report.collected({"a": spark.createDataFrame([("y", 1.0)], "outcome string, estimate double"), "b": spark.createDataFrame([(2.0, 0.5)], "estimate double, se double")}, "s").orderBy("model").collect()
     assert [(r.model, r.outcome, r.scenario, r.estimate, r.se, r.n_obs) for r in got] == [("a", "y", "s", 1.0, None, None), ("b", None, "s", 2.0, 0.5, None)]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.45, 0.8, 1.0])
+def test_similar_pairs_are_all_pairs(spark, least):
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("abcABeé ") for _ in range(rng.randrange(0, 9))) for _ in range(90)} | {"Nation_1", "NATION_12", "nation"})
+    df = spark.createDataFrame([(n,) for n in [*names, None, names[3]]], "name string").repartition(3)
+    near = spark.createDataFrame(list(itertools.combinations(names, 2)), "a string, b string").where(joins.similarity(F.lower("a"), F.lower("b")) >= least)
+    got = {tuple(r) for r in joins.similar_pairs(df, least=least).collect()}
+    assert got == {(min(r), max(r)) for r in near.collect()} and (got or least == 1.0)
