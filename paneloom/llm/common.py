@@ -63,17 +63,21 @@ def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatc
 SLOTS = 1 << 23
 
 
-def _slots(key: list[str]):
-    """The word and the bit of a key in a bitmap of SLOTS bits."""
-    slot = F.pmod(F.xxhash64(F.lit(5), *key), F.lit(SLOTS))
-    return F.shiftright(slot, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit")
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def maybe(rows: DataFrame, wanted: DataFrame, *key: str, others: bool = False) -> DataFrame:
     """The rows whose key may be in ``wanted`` (or the ``others``), by a bitmap of SLOTS bits, whatever the sizes: at most
     SLOTS / 64 rows are broadcast. Rows that it lets go need no shuffle."""
-    word, bit = _slots(list(key))
-    bitmap = wanted.select(word, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    met = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bitmap), "__word", "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    word, bit, bits = (unused(x, rows.columns + wanted.columns) for x in ("__word", "__bit", "__bits"))
+    slot = F.pmod(F.xxhash64(F.lit(5), *key), F.lit(SLOTS))  # the word and the bit of a key in the bitmap
+    of_key = {word: F.shiftright(slot, 6), bit: F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))}
+    bitmap = wanted.select(*(c.alias(x) for x, c in of_key.items())).groupBy(word).agg(F.bit_or(bit).alias(bits))
+    met = rows.withColumns(of_key).join(F.broadcast(bitmap), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(bit)) != 0, F.lit(False))
     return met.where(~hit if others else hit).select(*rows.columns)

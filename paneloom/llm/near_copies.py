@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe, staged
+from .common import maybe, staged, unused
 from .simhash import _votes, components, links
 from .tokenize import release
 
@@ -306,7 +306,7 @@ def suspected_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but for copies and near copies of a row with a lesser doc_id."""
-    own = "__own"  # tells rows of one doc_id apart
+    own = unused("__own", docs.columns)  # tells rows of one doc_id apart
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = keyed.where("doc_id IS NOT NULL").select("doc_id", F.col(own).alias("own"), "text")
     marked = staged(summaries(rows, words), "summaries")

@@ -194,3 +194,13 @@ def test_resampling_repeated_rows_and_no_rows(spark, no_docs):
     found = RS.importance_resample(docs, no_docs.select("text")).collect()
     assert sorted(r.rank for r in found if r.rank) == [1, 2] and len(found) == 10
     assert RS.importance_resample(no_docs, docs).count() == 0
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    from paneloom.llm.near_copies import keep_one_of_each
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "a", 1, 2, 3), (2, text + " end", "b", 4, 5, 6), (3, "another text of its own with more words", "c", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own string, __WORD int, __bit int, node int")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
