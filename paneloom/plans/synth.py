@@ -206,7 +206,8 @@ def synthetic_weights(cells: DataFrame, start: int, keys: list[str]) -> DataFram
         else:
             _, omega, lam = synthetic_did(y, arm, pre)
             rows = [("unit", str(s), float(w)) for s, w in zip(names[~arm], omega, strict=True)] + [("time", str(t), float(w)) for t, w in zip(years[pre], lam, strict=True)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(rows) for k in keys}, "kind": [r[0] for r in rows], "name": [r[1] for r in rows], "weight": np.array([r[2] for r in rows], float)})
+        text = lambda i: pd.Series([r[i] for r in rows], dtype=object)
+        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(rows), dtype=pdf[k].dtype) for k in keys}, "kind": text(0), "name": text(1), "weight": np.array([r[2] for r in rows], float)})
 
     return cells.groupBy(*keys).applyInPandas(fit, f"{kinds}, kind string, name string, weight double")
 

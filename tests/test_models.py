@@ -141,6 +141,11 @@ def test_elastic_net_control_finds_its_donors(spark):
     assert len(got) == 1 and abs(got[0].estimate - 5) < 0.3 and got[0].post_years == 4
 
 
+def test_a_group_without_enough_cells_has_no_weights(spark):
+    cells = spark.createDataFrame([(1, "a", 2000, 1.0, True), (1, "b", 2000, 2.0, False), (2, "c", 2001, 1.0, False)], "season int, series string, year int, y double, treated boolean")
+    assert synthetic_weights(cells, 2001, ["season"]).count() == 0
+
+
 def test_pixel_weights_are_a_weighted_regression_with_dummies(spark):
     """Weights spread by hand, then least squares with dummies on the rows that have weight."""
     rng = np.random.default_rng(12)

@@ -45,6 +45,6 @@ def test_same_as_sql(spark, duck, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", ["m02_event_errors", "m16_pretrend", "m23_wild_bootstrap", "m34_sensitivity", "m25_permutation", "m18_local_moran", "m36_interactive_effects", "m38_generalized_control", "d1_pixel_synthetic", "m37_matrix_completion", "m11_synthetic_did", "o8_hash_sample", "x7_transverse_mercator"])
+@pytest.mark.parametrize("name", ["m02_event_errors", "m16_pretrend", "m23_wild_bootstrap", "m34_sensitivity", "m25_permutation", "m18_local_moran", "m36_interactive_effects", "m38_generalized_control", "m37_matrix_completion", "m11_synthetic_did", "o8_hash_sample", "x7_transverse_mercator"])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
