@@ -677,6 +677,7 @@ COLUMNS = {
     "op1": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op2": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op3": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id start n_tokens ids_crc32", "op5": "doc_id fingerprint component_id", "op6": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op7": "page_id url text n_chars", "op8": "doc_id held_out score predicted", "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "page_id host path rule verdict",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op12": "doc_id n_lines n_dropped kept_sha256", "op13": "doc_id n_features weight score rank",
 }
 
 
