@@ -14,19 +14,29 @@ def binned(df: DataFrame, lat: str, lon: str, degrees: float) -> DataFrame:
     return df.withColumns({"bin_y": F.floor(F.col(lat) / degrees), "bin_x": F.floor(F.col(lon) / degrees)})
 
 
-def around(df: DataFrame, reach: int = 1) -> DataFrame:
-    """Each row under its own bin and the neighbours within ``reach``."""
-    steps = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
-    out = df.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    return out.withColumns({"bin_y": F.col("bin_y") + F.col("dy"), "bin_x": F.col("bin_x") + F.col("dx")}).drop("dy", "dx")
+def met_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """Pairs of ``left`` (.., lat_a, lon_a) and ``right`` (.., lat_b, lon_b), among them all that are ``metres`` apart or less in
+    both directions: a row of ``right`` has one bin, one of ``left`` goes to each bin in reach.
+
+    Bands are ``metres`` high; a band's bins are as wide in metres at its middle, so a row of ``left`` has some nine at any
+    latitude. Both sides are shuffled: the planner doesn't see that one grows ninefold and would broadcast it whole.
+    """
+    high = metres / METRES_LAT
+    wide = high / F.greatest(F.abs(F.cos(F.radians((F.col("bin_y") + 0.5) * high))), F.lit(high / 360))
+    level = F.greatest(F.abs(F.cos(F.radians("lat_a"))) - math.radians(high), F.lit(1e-9))  # of any latitude in reach
+    reach = F.least(F.lit(360.0), metres / METRES_LON / level) * (1 + 1e-9)
+    up = high * (1 + 1e-9)
+    cells = left.withColumn("bin_y", F.explode(F.sequence(F.floor((F.col("lat_a") - up) / high), F.floor((F.col("lat_a") + up) / high))))
+    cells = cells.withColumn("bin_x", F.explode(F.sequence(F.floor((F.col("lon_a") - reach) / wide), F.floor((F.col("lon_a") + reach) / wide))))
+    own = right.withColumn("bin_y", F.floor(F.col("lat_b") / high)).withColumn("bin_x", F.floor(F.col("lon_b") / wide))
+    return cells.hint("merge").join(own, ["bin_y", "bin_x"])
 
 
 def overlap_pairs(points: DataFrame, key: str, lat: str = "lat", lon: str = "lon", side: float = 10.0, least: float = 0.65) -> DataFrame:
     """Pairs (a, b), a < b, of squares of ``side`` metres that overlap by ``least`` of their area or more."""
-    degrees = side / METRES_LAT * 1.5  # wider than a square in both directions
-    left = around(binned(points.select(F.col(key).alias("a"), F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a")), "lat_a", "lon_a", degrees))
-    right = binned(points.select(F.col(key).alias("b"), F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b")), "lat_b", "lon_b", degrees)
-    met = left.join(right, ["bin_y", "bin_x"]).where("a < b")
+    left = points.select(F.col(key).alias("a"), F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a"))
+    right = points.select(F.col(key).alias("b"), F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"))
+    met = met_within(left, right, side).where("a < b")
     dx = F.abs(F.col("lon_a") - F.col("lon_b")) * METRES_LON * F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
     dy = F.abs(F.col("lat_a") - F.col("lat_b")) * METRES_LAT
     share = (1 - dx / side) * (1 - dy / side)
@@ -57,12 +67,11 @@ def canonical_map(pairs: DataFrame, rank: DataFrame, staged) -> DataFrame:
 
 def nearest(points: DataFrame, others: DataFrame, k: int, metres: float, key: str = "key", other_key: str = "other") -> DataFrame:
     """The ``k`` nearest of ``others`` (other_key, lat, lon) within ``metres`` of each point, ties by key."""
-    degrees = metres / METRES_LAT
-    left = around(binned(points.select(key, F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a")), "lat_a", "lon_a", degrees), 2)
-    right = binned(others.select(other_key, F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")), "lat_b", "lon_b", degrees)
+    left = points.select(key, F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    right = others.select(other_key, F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     dx = (F.col("lon_a") - F.col("lon_b")) * METRES_LON * F.cos(F.radians("lat_a"))
     dy = (F.col("lat_a") - F.col("lat_b")) * METRES_LAT
-    met = left.join(right, ["bin_y", "bin_x"]).withColumn("metres", F.sqrt(dx * dx + dy * dy)).where(F.col("metres") <= metres)
+    met = met_within(left, right, metres).withColumn("metres", F.sqrt(dx * dx + dy * dy)).where(F.col("metres") <= metres)
     order = Window.partitionBy(key).orderBy(F.round("metres", 6), other_key)
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(key, other_key, "metres", "place")
 

@@ -172,9 +172,9 @@ def moran(values: DataFrame, links: DataFrame, k: int) -> tuple[DataFrame, dict]
     n, z = mean["n"], values.withColumn("z", F.col("z") - mean["m"])
     powers = z.agg(F.avg(F.col("z") ** 2).alias("m2"), F.avg(F.col("z") ** 4).alias("m4")).first()
     m2, kurt = powers["m2"], powers["m4"] / powers["m2"] ** 2
-    lag = links.join(z.withColumnRenamed("key", "other").withColumnRenamed("z", "zo"), "other").groupBy("key").agg((F.sum("zo") / k).alias("lag"))
+    lag = links.hint("merge").join(z.withColumnRenamed("key", "other").withColumnRenamed("z", "zo"), "other").groupBy("key").agg((F.sum("zo") / k).alias("lag"))
     local = z.join(lag, "key").withColumn("i", F.col("z") * F.col("lag") / m2)
-    mutual = links.join(links.select(F.col("other").alias("key"), F.col("key").alias("other")), ["key", "other"], "left_semi").count()
+    mutual = links.hint("merge").join(links.select(F.col("other").alias("key"), F.col("key").alias("other")), ["key", "other"], "left_semi").count()
     s2 = links.groupBy("other").count().agg(F.sum((1 + F.col("count") / k) ** 2).alias("s"), F.count("*").alias("c")).first()
     s0, s1 = float(n), (n * k + mutual) / k**2
     s2 = s2["s"] + (n - s2["c"])

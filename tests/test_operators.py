@@ -5,8 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from paneloom.functions.calendar import parsed_date
@@ -109,6 +109,21 @@ def test_nearest_without_a_bound(spark):
     assert got == {i: min((0, 9, 18), key=lambda j: (abs(i - j), j)) for i in range(20)}
 
 
+def test_nearest_at_any_latitude(spark):
+    """As by hand up to the poles, where bins of equal degrees lost neighbours; no side is broadcast."""
+    rows = [(i, lat, lon) for i, (lat, lon) in enumerate((lat + dy * 3e-5, 20 + dx * 3e-5) for lat in (0.0, 15.0, 62.0, 75.0, 89.5, -80.0, 90.0) for dy in range(3) for dx in range(6))]
+    pts = spark.createDataFrame(rows, "key int, lat double, lon double")
+    near = spatial.nearest(pts, pts.withColumnRenamed("key", "other"), 1000, 10.0)
+    apart = lambda a, b: np.hypot((a[2] - b[2]) * spatial.METRES_LON * np.cos(np.radians(a[1])), (a[1] - b[1]) * spatial.METRES_LAT)
+    assert {(r.key, r.other) for r in near.collect()} == {(a[0], b[0]) for a in rows for b in rows if apart(a, b) <= 10.0}
+    pairs = spatial.overlap_pairs(pts, "key", least=0.05)
+    share = lambda a, b: (1 - abs(a[2] - b[2]) * spatial.METRES_LON * np.cos(np.radians((a[1] + b[1]) / 2)) / 10) * (1 - abs(a[1] - b[1]) * spatial.METRES_LAT / 10)
+    sure = lambda a, b: a[0] < b[0] and abs(a[1] - b[1]) * spatial.METRES_LAT < 10 and abs(a[2] - b[2]) * spatial.METRES_LON * np.cos(np.radians((a[1] + b[1]) / 2)) < 10 and share(a, b) >= 0.05
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a[0], b[0]) for a in rows for b in rows if sure(a, b)}
+    for df in (near, pairs):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chains_settle(spark):
     """A strip of 120 squares in order of rank, and a chain of 100 names."""
     strip = spark.createDataFrame([(i, i + 1) for i in range(119)], "a int, b int")
