@@ -415,7 +415,7 @@ def m04_changes_in_changes(spark, sf_dir):
 @query()
 def m04_errors(spark, sf_dir):
     """The same with errors from 200 draws."""
-    return R.bootstrapped(R.changes_in_changes(_before_after(spark, sf_dir), draws=200))
+    return R.bootstrapped(R.changes_in_changes_drawn(_before_after(spark, sf_dir), 200))
 
 
 @query(f"""WITH {BALANCED_SQL}, w AS (SELECT buff_km = 0 AS tr, year, y - avg(y) FILTER (year < 1998) OVER (PARTITION BY unit) AS e FROM pb), q AS (SELECT t.tau, tr, year >= 1998 AS post, {", ".join(f"quantile_cont(e, {t}) AS q{round(100 * t)}" for t in (0.1, 0.25, 0.5, 0.75, 0.9))} FROM w CROSS JOIN (SELECT 0 AS tau) t GROUP BY ALL)

@@ -78,3 +78,16 @@ def test_changes_in_changes_of_every_draw(spark):
 def test_poisson_counts(spark):
     w = R.drawn(spark.range(20_000).withColumnRenamed("id", "unit"), "unit", 3).where("draw > 0").groupBy("weight").count().toPandas().set_index("weight")["count"]
     assert abs((w * w.index).sum() / 60_000 - 1) < 0.02 and abs(w[1] / 60_000 - 0.3679) < 0.01 and abs(w[3] / 60_000 - 0.0613) < 0.005
+
+
+def test_drawn_changes_in_changes(spark):
+    """Weights drawn where they are used give the rows of the exploded draws, ties and both key types included."""
+    rng = np.random.default_rng(3)
+    n = 700
+    d = pd.DataFrame({"unit": range(n), "treatment": (rng.random(n) < 0.3).astype(int), "y0": rng.normal(size=n).round(1), "y1": rng.normal(size=n).round(2)})
+    for kind in ("int", "long"):
+        units = spark.createDataFrame(d).withColumn("unit", F.col("unit").cast(kind))
+        table = lambda x: {(r.draw, r.term): r.estimate for r in x.collect()}
+        want, got = table(R.changes_in_changes(units, 12)), table(R.changes_in_changes_drawn(units, 12, at_once=5))
+        assert set(got) == set(want) and len(want) == 130
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
