@@ -30,10 +30,13 @@ def leaf_values(model: RandomForestRegressionModel, rows: DataFrame) -> DataFram
 
 def with_effect(model: RandomForestRegressionModel, rows: DataFrame, values: DataFrame) -> DataFrame:
     """``rows`` with ``tau``: the mean of their leaves' values over the trees whose leaf has one."""
-    table = values.agg(F.map_from_entries(F.collect_list(F.struct(F.col("tree") * SLOTS + F.col("leaf"), "value"))).alias("_table"))  # trees x leaves
+    # trees x leaves in an array: a map would be searched from its start for every tree of every row
+    listed = values.agg(F.map_from_entries(F.collect_list(F.struct(F.col("tree") * SLOTS + F.col("leaf"), "value"))).alias("_map"), F.coalesce(F.max("tree"), F.lit(0)).alias("_last"), (F.coalesce(F.max("leaf"), F.lit(0)) + 1).alias("_wide"))
+    slots = F.transform(F.sequence(F.lit(0), (F.col("_last") + 1) * F.col("_wide") - 1), lambda i: F.try_element_at("_map", (F.floor(i / F.col("_wide")) * SLOTS + i % F.col("_wide")).cast("int")))
+    table = staged(listed.select(slots.alias("_table"), "_wide"))
     met = model.setLeafCol("leaf").transform(rows).drop(model.getPredictionCol()).join(F.broadcast(table))
-    mine = F.filter(F.transform(vector_to_array("leaf"), lambda x, i: F.try_element_at("_table", (i * SLOTS + x.cast("int")).cast("int"))), lambda x: x.isNotNull())
-    return met.withColumn("_mine", mine).withColumn("tau", F.aggregate("_mine", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_mine"), F.lit(0))).drop("_mine", "_table", "leaf")
+    mine = F.filter(F.transform(vector_to_array("leaf"), lambda x, i: F.when(x < F.col("_wide"), F.get("_table", (i * F.col("_wide") + x.cast("int")).cast("int")))), lambda x: x.isNotNull())
+    return met.withColumn("_mine", mine).withColumn("tau", F.aggregate("_mine", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_mine"), F.lit(0))).drop("_mine", "_table", "_wide", "leaf")
 
 
 def honest_effects(df: DataFrame, key: str = "unit", trees: int = 200, least: int = 5, depth: int = 5) -> tuple[DataFrame, np.ndarray]:

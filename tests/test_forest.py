@@ -38,6 +38,7 @@ def test_leaves_are_filled_by_other_rows(spark, units):
     got = {(r.tree, r.leaf): r.value for r in values.collect()}
     assert set(got) == set(uv) and all(abs(got[k] - uv[k] / vv[k]) < 1e-9 for k in got)
     few = values.where("tree < 2")
+    assert "try_element_at" not in forest.with_effect(model, third, values)._jdf.queryExecution().optimizedPlan().toString()  # rows look leaves up by place
     for unit, tau in {r.unit: r.tau for r in forest.with_effect(model, third, few).collect()}.items():
         mine = [got[t, leaf] for t, leaf in enumerate(ids(third.where(F.col("unit") == unit))[unit][:2]) if (t, leaf) in got]
         assert (tau is None and not mine) or abs(tau - np.mean(mine)) < 1e-9
