@@ -3,7 +3,8 @@
 A unit is what stands between two cuts at spaces. Both vocabularies split a text at white space before they merge
 (the byte-level one lets a word take one space before it), so the ids of a text are the ids of its units in turn.
 Cuts are made only before a space whose left neighbour is not white space by the widest definition, so that no run of
-white space is divided. No special token has a space in it, so that each one stands in one unit.
+white space is divided. No special token has a space in it, so that each one stands in one unit. The byte-level vocabulary's
+texts are cut before single line ends too, which are words of their own: a line's last and first word are units then.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 _DIVIDED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
+_RUN = re.compile(r"\s\s")
 _ENDS = ",.!?;:#%*&|<>$()[]\"/-_"
 
 
@@ -56,28 +60,50 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
-        if self.spaced:
-            return text.split(" ") if _DIVIDED.search(text) is None else _CUT.split(text)
+        if self.spaced:  # a unit stands for itself after a space, or alone where it begins with a line end or a space
+            if _RUN.search(text) is None:
+                return text.replace("\n", " \n").split(" ")
+            parts = text.split(" ") if _DIVIDED.search(text) is None else _CUT.split(text)
+            return [parts[0], *(" " + x if x[:1] == "\n" or x[:1] == " " else x for x in parts[1:])]
         if "<|" not in text:  # special tokens are told by case; A-Z are lowered by the vocabulary anyway
             text = text.encode().lower().decode()
         return text.replace("\n", " ").split(" ")
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of single words of letters. The lower-casing vocabulary takes more time to prepare a text than to merge a word,
+        so that words are joined by commas, whose id no letters have."""
+        if self.spaced:
+            return self._encode(words)
+        runs = [words[i : i + 300] for i in range(0, len(words), 300)]
+        comma, out = self._encode([","])[0], []
+        for run, got in zip(runs, self._encode([", ".join(x) + "," for x in runs]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(got, "<u4") == np.frombuffer(comma, "<u4")[0]) * 4 if len(comma) == 4 else ()
+            if len(ends) == len(run):
+                out += [got[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+            else:  # a vocabulary in which a comma isn't one id
+                out += self._encode(run)
+        return out
+
     def _learn(self, units: list[str]) -> None:
         """The ids of new units. Letters and the punctuation after them are two words in both vocabularies."""
-        known, whole, ended = self.known, [], []
+        known, whole, words, ended = self.known, [], [], []
         if len(self.tails) > 50_000:
             self.tails = {}
         for x in units:
             stem = x.rstrip(_ENDS)
-            if len(stem) < len(x) and stem.isalpha() and stem.lower().isalpha():
+            word = stem[1:] if stem[:1] == "\n" else stem
+            if not (word.isalpha() and (word.isascii() or word.lower().isalpha())):
+                whole.append(x)
+            elif len(stem) < len(x):
                 known[stem]
                 ended.append((x, stem, x[len(stem) :]))
             else:
-                whole.append(x)
-        whole += known.new
+                words.append(x)
+        words += known.new
         known.new.clear()
-        space = " " if self.spaced else ""
-        known.update(zip(whole, self._encode([space + x for x in whole]), strict=True))
+        lead = (lambda x: x if x[:1] in ("\n", " ") else " " + x) if self.spaced else str
+        known.update(zip(words, self._encode_words([lead(x) for x in words]), strict=True))
+        known.update(zip(whole, self._encode([lead(x) for x in whole]), strict=True))
         tails = list({x for _, _, x in ended if x not in self.tails})
         self.tails.update(zip(tails, self._encode(tails), strict=True))
         known.update([(x, known[stem] + self.tails[tail]) for x, stem, tail in ended])

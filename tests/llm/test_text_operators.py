@@ -248,6 +248,22 @@ def test_encoder_is_the_library(name, spaced):
     assert got == want
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_asks_the_library_for_few_texts(name, spaced):
+    """New words of letters go to the lower-casing vocabulary in runs; words around a line end aren't units together."""
+    from paneloom.llm.tokenize import Encoder
+
+    mine, asked, rng = Encoder(P.path(name), spaced), [], random.Random(5)
+    encode = mine._encode
+    mine._encode = lambda units: asked.extend(units) or encode(units)
+    words = ["".join(rng.choice("abcdefg\u00f1\u00df") for _ in range(6)) for _ in range(60)]
+    texts = [f"{rng.choice(words)} {a}.\n{b.title()} {a}, {b}" for a in words for b in words]
+    got = [np.frombuffer(x, "<u4").tolist() for x in mine.ids(texts)]
+    assert got == [x.ids for x in mine.library.encode_batch(texts, add_special_tokens=False)]
+    heads = len(texts) if spaced else 0  # a text's first unit has no space before it
+    assert len(asked) - heads < (3 * len(words) if spaced else 10)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
