@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from paneloom.sources.staging import staged
 
-from .ml import _forest, _propensity, _with_e, cross_fitted
+from .cells import Forest
+from .ml import by_forests
 from .stats import normal_p, t_p
 
 SLOTS = 1 << 16
@@ -41,12 +42,7 @@ def with_effect(model: RandomForestRegressionModel, rows: DataFrame, values: Dat
 
 def honest_effects(df: DataFrame, key: str = "unit", trees: int = 200, least: int = 5, depth: int = 5) -> tuple[DataFrame, np.ndarray]:
     """``df`` (x, d, w) with p_d, e and the honest effect tau of every unit, and the splits' importance of the columns of x."""
-
-    def nuisance(train):
-        m, e = _forest("d", trees, least).fit(train), _propensity(trees, least).fit(train)
-        return lambda rest: _with_e(e, m.transform(rest))
-
-    s = cross_fitted(df, key, 3, nuisance).withColumns({"u": F.col("d") - F.col("p_d"), "v": F.col("w") - F.col("e")})
+    s = by_forests(df, key, [Forest("p_d", "d")], trees, least, 3).withColumns({"u": F.col("d") - F.col("p_d"), "v": F.col("w") - F.col("e")})
     s = staged(s.withColumns({"ratio": F.col("u") / F.col("v"), "size": F.col("v") * F.col("v"), "part": F.pmod(F.xxhash64(F.lit(3), key), F.lit(3))}))
     out, importance = None, 0.0
     for p in range(3):

@@ -1,18 +1,21 @@
 """Effect models with pyspark.ml on the long difference: one row for each unit with change d, treatment w, covariates.
 
 Nuisance models are cross-fitted: rows get a fold by a stable hash, each fold is predicted by models of the others. Scores
-are columns, and estimates are aggregates of them.
+are columns, and estimates are aggregates of them. Nuisance forests are grown from sums by cell (cells.py).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paneloom.sources.staging import staged
+
+from .cells import Forest, predicted
 from .stats import normal_p
 
 CLIP = 0.02
@@ -22,19 +25,23 @@ def assembled(df: DataFrame, covariates: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=covariates, outputCol="x", handleInvalid="skip").transform(df)
 
 
-def _forest(label: str, trees: int, least: int, weight: str | None = None):
-    made = RandomForestRegressor(featuresCol="x", labelCol=label, predictionCol=f"p_{label}", numTrees=trees, minInstancesPerNode=least, maxDepth=5, seed=1)
-    return made.setWeightCol(weight) if weight else made
+def _forest(label: str, trees: int, least: int):
+    return RandomForestRegressor(featuresCol="x", labelCol=label, predictionCol=f"p_{label}", numTrees=trees, minInstancesPerNode=least, maxDepth=5, seed=1)
+
+
+def _clipped(e):
+    return F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), e))
 
 
-def _propensity(trees: int, least: int, forest: bool = True):
-    common = {"featuresCol": "x", "labelCol": "w", "probabilityCol": "prob", "rawPredictionCol": "raw", "predictionCol": "cls"}
-    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=least, maxDepth=5, seed=1, **common) if forest else LogisticRegression(**common)
+def _with_e(df: DataFrame) -> DataFrame:
+    """``df`` with the propensity e of a logistic regression."""
+    model = LogisticRegression(featuresCol="x", labelCol="w", probabilityCol="prob", rawPredictionCol="raw", predictionCol="cls").fit(df)
+    return model.transform(df).withColumn("e", _clipped(vector_to_array("prob")[1])).drop("prob", "raw", "cls")
 
 
-def _with_e(model, df: DataFrame) -> DataFrame:
-    e = vector_to_array("prob")[1]
-    return model.transform(df).withColumn("e", F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), e))).drop("prob", "raw", "cls")
+def by_forests(df: DataFrame, key: str, forests: list[Forest], trees: int, least: int, folds: int = 1) -> DataFrame:
+    """``df`` with the forests' predictions and the propensity e, written so that what follows doesn't predict again."""
+    return staged(predicted(df, key, [*forests, Forest("e", "w", share=True)], trees, least, folds).withColumn("e", _clipped(F.col("e"))))
 
 
 def cross_fitted(df: DataFrame, key: str, folds: int, fit) -> DataFrame:
@@ -56,7 +63,7 @@ def mean_and_se(scores: DataFrame, score: str, model: str) -> DataFrame:
 
 def aipw_att(df: DataFrame) -> DataFrame:
     """Doubly robust effect on the treated: logistic propensity, outcome regression of the controls, influence function."""
-    fitted = _with_e(_propensity(0, 0, forest=False).fit(df), df)
+    fitted = _with_e(df)
     m0 = LinearRegression(featuresCol="x", labelCol="d", predictionCol="m0").fit(df.where("w = 0"))
     s = m0.transform(fitted).withColumn("odds", F.col("e") / (1 - F.col("e")))
     means = s.agg(F.avg("w").alias("pw"), F.avg(F.col("odds") * (1 - F.col("w"))).alias("po"))
@@ -68,12 +75,7 @@ def aipw_att(df: DataFrame) -> DataFrame:
 
 def dml(df: DataFrame, key: str = "unit", folds: int = 3, trees: int = 30, least: int = 20) -> DataFrame:
     """Partially linear double machine learning: residual on residual over cross-fitted forests, HC0 errors."""
-
-    def fit(train):
-        m, e = _forest("d", trees, least).fit(train), _propensity(trees, least).fit(train)
-        return lambda rest: _with_e(e, m.transform(rest))
-
-    s = cross_fitted(df, key, folds, fit).select((F.col("d") - F.col("p_d")).alias("u"), (F.col("w") - F.col("e")).alias("v"))
+    s = by_forests(df, key, [Forest("p_d", "d")], trees, least, folds).select((F.col("d") - F.col("p_d")).alias("u"), (F.col("w") - F.col("e")).alias("v"))
     t = s.agg(F.sum(F.col("u") * F.col("v")).alias("uv"), F.sum(F.col("v") * F.col("v")).alias("vv"))
     t = s.join(F.broadcast(t)).withColumn("theta", F.col("uv") / F.col("vv"))
     psi = F.col("v") * (F.col("u") - F.col("theta") * F.col("v"))
@@ -83,16 +85,15 @@ def dml(df: DataFrame, key: str = "unit", folds: int = 3, trees: int = 30, least
 
 def _two_arms(df: DataFrame, key: str, folds: int, trees: int, least: int, boosted: bool = False) -> DataFrame:
     """Cross-fitted outcome models of both arms (mu1, mu0) and the propensity e."""
-
-    def model(name):
-        made = GBTRegressor(featuresCol="x", labelCol="d", maxIter=15, maxDepth=3, seed=1) if boosted else _forest("d", trees, least)
-        return made.setPredictionCol(name)
+    if not boosted:
+        return by_forests(df, key, [Forest("mu1", "d", among="w"), Forest("mu0", "d", among="1 - w")], trees, least, folds)
 
     def fit(train):
-        one, none, e = model("mu1").fit(train.where("w = 1")), model("mu0").fit(train.where("w = 0")), _propensity(trees, least).fit(train)
-        return lambda rest: _with_e(e, none.transform(one.transform(rest)))
+        model = lambda w, name: GBTRegressor(featuresCol="x", labelCol="d", predictionCol=name, maxIter=15, maxDepth=3, seed=1).fit(train.where(F.col("w") == w))
+        one, none = model(1, "mu1"), model(0, "mu0")
+        return lambda rest: none.transform(one.transform(rest))
 
-    return cross_fitted(df, key, folds, fit)
+    return cross_fitted(by_forests(df, key, [], trees, least, folds), key, folds, fit)
 
 
 def _aipw_score(s: DataFrame) -> DataFrame:
@@ -111,26 +112,19 @@ def meta_learners(df: DataFrame, key: str = "unit", trees: int = 20, least: int
     at = lambda rows, a: both.transform(rows.withColumn("arm", a))
     single = _forest("d", trees, least).setFeaturesCol("xw").fit(at(df, F.col("w")))
     under = lambda rows, a, name: single.setPredictionCol(name).transform(at(rows, F.lit(a))).drop("xw", "arm")
-    one, none = _forest("d", trees, least).setPredictionCol("mu1").fit(df.where("w = 1")), _forest("d", trees, least).setPredictionCol("mu0").fit(df.where("w = 0"))
-    s = _with_e(_propensity(trees, least).fit(df), none.transform(one.transform(df)))
+    s = by_forests(df, key, [Forest("mu1", "d", among="w"), Forest("mu0", "d", among="1 - w")], trees, least)
     s = s.withColumn("t_cate", F.col("mu1") - F.col("mu0")).withColumn("imputed", F.when(F.col("w") == 1, F.col("d") - F.col("mu0")).otherwise(F.col("mu1") - F.col("d")))
-    g1 = _forest("imputed", trees, least).setPredictionCol("g1").fit(s.where("w = 1"))
-    g0 = _forest("imputed", trees, least).setPredictionCol("g0").fit(s.where("w = 0"))
+    s = staged(predicted(s, key, [Forest("g1", "imputed", among="w"), Forest("g0", "imputed", among="1 - w")], trees, least))
     s = under(under(s, 1.0, "s1"), 0.0, "s0").withColumn("s_cate", F.col("s1") - F.col("s0"))
-    s = g0.transform(g1.transform(s)).withColumn("x_cate", F.col("e") * F.col("g0") + (1 - F.col("e")) * F.col("g1"))
+    s = s.withColumn("x_cate", F.col("e") * F.col("g0") + (1 - F.col("e")) * F.col("g1"))
     rows = s.select("w", F.explode(F.array(*(F.struct(F.lit(n).alias("learner"), F.col(c).alias("cate")) for n, c in (("S", "s_cate"), ("T", "t_cate"), ("X", "x_cate"))))).alias("r")).select("w", "r.*")
     return rows.groupBy("learner").agg(F.avg("cate").alias("mean_cate"), F.avg(F.when(F.col("w") == 1, F.col("cate"))).alias("att"), F.percentile_approx("cate", 0.1).alias("p10"), F.percentile_approx("cate", 0.9).alias("p90"), F.stddev_samp("cate").alias("sd"))
 
 
 def cate_quartiles(df: DataFrame, covariate: str, key: str = "unit", folds: int = 3, trees: int = 20, least: int = 10) -> DataFrame:
     """An R-learner's effects by quartile of a covariate, with the doubly robust mean beside them."""
-
-    def fit(train):
-        m, e = _forest("d", trees, least).fit(train), _propensity(trees, least).fit(train)
-        return lambda rest: _with_e(e, m.transform(rest))
-
-    s = cross_fitted(df, key, folds, fit).withColumn("v", F.col("w") - F.col("e")).withColumn("pseudo", (F.col("d") - F.col("p_d")) / F.col("v")).withColumn("v2", F.col("v") * F.col("v"))
-    s = _forest("pseudo", trees, least, "v2").setPredictionCol("cate").fit(s).transform(s)
+    s = by_forests(df, key, [Forest("p_d", "d")], trees, least, folds).withColumn("v", F.col("w") - F.col("e")).withColumn("pseudo", (F.col("d") - F.col("p_d")) / F.col("v")).withColumn("v2", F.col("v") * F.col("v"))
+    s = staged(predicted(s, key, [Forest("cate", "pseudo", weight="v2")], trees, least))
     cuts = s.stat.approxQuantile(covariate, [0.25, 0.5, 0.75], 0.001)
     q = F.lit(1)
     for c in cuts:
@@ -140,7 +134,7 @@ def cate_quartiles(df: DataFrame, covariate: str, key: str = "unit", folds: int
 
 def matched_pairs(df: DataFrame, key: str = "unit", caliper: float = 0.2, rounds: int = 1000) -> DataFrame:
     """One-to-one matches on the logit of the propensity within a caliper of its spread, without replacement."""
-    s = _with_e(_propensity(0, 0, forest=False).fit(df), df).withColumn("logit", F.log(F.col("e") / (1 - F.col("e"))))
+    s = _with_e(df).withColumn("logit", F.log(F.col("e") / (1 - F.col("e"))))
     return pairs_within(s, caliper * (s.agg(F.stddev_samp("logit")).first()[0] or 1.0), key, rounds)
 
 
@@ -151,8 +145,6 @@ def pairs_within(s: DataFrame, width: float, key: str = "unit", rounds: int = 10
     are neighbours in the order of scores; in each round all such neighbours give as many pairs as the lesser of them holds,
     by rank of the key, until none is left. Equal gaps go to the lower score.
     """
-    from paneloom.sources.staging import staged
-
     ranked = staged(s.select(F.col(key).alias("key"), F.col("w").cast("int").alias("w"), "logit").withColumn("place", F.row_number().over(Window.partitionBy("logit", "w").orderBy("key")).cast("long")))
     left, taken = staged(ranked.groupBy("logit", "w").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("used"))), []
     order = Window.partitionBy("at").orderBy("logit", "w")
