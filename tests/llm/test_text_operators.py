@@ -264,6 +264,21 @@ def test_encoder_asks_the_library_for_few_texts(name, spaced):
     assert len(asked) - heads < (3 * len(words) if spaced else 10)
 
 
+def test_new_units_of_the_byte_level_vocabulary_are_encoded_together():
+    """Units of digits, marks and letters share a call; those that end in white space or hold a special token don't."""
+    from paneloom.llm.tokenize import Encoder
+
+    mine, asked, rng = Encoder(P.path("byte_bpe_50k.json"), True), [], random.Random(6)
+    encode = mine._encode
+    mine._encode = lambda units: asked.extend(units) or encode(units)
+    units = ["".join(rng.choice("abc1(\u00f1'\u0301\U0001f642") for _ in range(5)) for _ in range(600)]
+    texts = [" ".join(["head", *units[i : i + 20], "<|endoftext|>,", "e\n\nf  g", "last \n"]) for i in range(0, 600, 20)] + [" ".join(units), "one", "", " "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in mine.ids(texts)]
+    assert got == [x.ids for x in mine.library.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) - len(texts) < 20
+    assert mine.ids([]) == []
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
