@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding by ranked merges, folded by Spark's higher-order functions.
 
 1. Tasks cut their documents into words (matches of the pattern) and make one row for each batch of documents: the
-   distinct words of the batch as byte arrays, and for each document the numbers of its words.
-2. Each distinct word is folded in place by higher-order functions: the state is the list of pieces and the list of the
-   ranks of neighbouring pieces; each step joins the leftmost pair of the lowest rank and looks up the two pairs that
-   this makes. Ranks come from one literal of the plan, an array of small maps addressed by a hash of the piece.
-3. Ids are decoded by concatenating binary pieces from a literal array.
-4. Tasks put the words' ids together again, document by document.
+   words that no earlier batch of the task had, as arrays of bytes (each with the next one), and the numbers of its words.
+2. Each new word is folded in place by higher-order functions: the state is the list of pieces with the ranks of their
+   pairs; each step joins the leftmost pair of the lowest rank and looks up the two pairs that this makes. Ranks of pairs stand in a double array (``Vocabulary``), which is broadcast as one row of arrays.
+3. Ids are decoded by concatenating binary pieces.
+4. Tasks note the ids and bytes of new words and put documents together again.
 
-Nothing is shuffled: a batch's words stay in the row of the batch, whose size is bounded by ``batch_chars``. Words longer
-than ``longest`` bytes (a run of letters without end) would make the fold quadratic; they are merged exactly by a heap
-in step 4 instead.
+Nothing is shuffled, and a word is folded once in a task: steps 1 and 4 number words alike, since rows stay in the order
+of their task. Both start anew after ``most`` words, so memory is bounded by that and by ``batch_chars``. Words longer than
+``longest`` bytes (a run of letters without end) would make the fold quadratic; they are merged exactly by a heap
+in step 4 instead, as are pieces that merges alone would not reach (the public vocabulary has none).
 
 Defined results: a null text is an empty text: no ids, the checksums of empty strings; repeated rows and equal or null
 doc_ids each keep a row; an empty table gives no rows. Only doc_id and text are read.
@@ -21,8 +21,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
+from array import array
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from .tokenize import _CUT, _DIVIDED
 
 #: White space as Unicode has it, in place of \s, whose meaning differs between regular expression libraries.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-NO_RANK = 1 << 30
+#: More than any id; pairs without a rank are looked up as larger numbers.
+NO_RANK = 1 << 20
+_MARKS = frozenset(",.;:!?")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,62 +56,92 @@ def _let(value: Column, use) -> Column:
 
 
 class Vocabulary:
-    """Rank lookup and pieces as literals. Pieces are written as hexadecimal digits, so that they fit JSON, from which
-    the optimizer makes the literals when it folds constants."""
-
-    def __init__(self, ranks: dict[bytes, int], slots: int = 1 << 17):
-        import xxhash
-
-        self.ranks, self.slots = ranks, slots
-        table_: list[dict[str, int] | None] = [None] * slots
-        for piece, rank in ranks.items():
-            key = piece.hex().upper()
-            signed = xxhash.xxh64_intdigest(key.encode(), 42)
-            slot = (signed - (1 << 64) if signed >> 63 else signed) % slots
-            table_[slot] = (table_[slot] or {}) | {key: rank}
-        names: list[str | None] = [None] * (max(ranks.values()) + 1)
+    """Ranks of pairs as a double array: the pair (a, b) has the cell ``base[a] + b``, which holds a's number above 20 bits of
+    rank if that pair has one. An id is the rank of its piece."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values()) + 1
+        if self.size >= NO_RANK:
+            raise ValueError("ids have 20 bits at most")
+        after: dict[int, dict[int, int]] = {}
         for piece, rank in ranks.items():
-            names[rank] = piece.hex().upper()
-        self.lookup = F.from_json(F.lit(json.dumps(table_)), "array<map<string,int>>")
-        self.names = F.from_json(F.lit(json.dumps(names)), "array<string>")
-
-    def rank(self, piece: Column) -> Column:
-        """The rank of a piece in hexadecimal, or NO_RANK."""
-        slot = F.pmod(F.xxhash64(piece), F.lit(self.slots)).cast("int")
-        return F.coalesce(F.try_element_at(F.get(self.lookup, slot), piece), F.lit(NO_RANK))
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    after.setdefault(left, {})[right] = rank
+        self.after, self.base = after, np.zeros(self.size, np.int32)
+        self.cells = self._placed()
+
+    def _placed(self) -> np.ndarray:
+        """Rows of pairs, larger ones first, each at a place where all its cells are free."""
+        width = max(1 << 10, 4 * sum(map(len, self.after.values())))
+        cells, used = np.full(width + self.size, self.size << 20, np.int64), set()
+        for left, row in sorted(self.after.items(), key=lambda x: -len(x[1])):
+            place = left * 40_503 % width
+            while not used.isdisjoint(map(place.__add__, row)):
+                place = (place + 7_919) % width
+            used.update(map(place.__add__, row))
+            self.base[left] = place
+            for right, rank in row.items():
+                cells[place + right] = left << 20 | rank
+        return cells
+
+    def apart(self) -> set[bytes]:
+        """Pieces of the vocabulary that merges of their bytes do not end at."""
+        return {x for x, rank in self.ranks.items() if self._merged(x) != [rank]}
+
+    def _merged(self, word: bytes) -> list[int]:
+        ids = [self.ranks[word[i : i + 1]] for i in range(len(word))]
+        while len(ids) > 1:
+            low, i = min((self.after.get(ids[i], {}).get(ids[i + 1], NO_RANK), i) for i in range(len(ids) - 1))
+            if low == NO_RANK:
+                break
+            ids[i : i + 2] = [low]
+        return ids
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row of arrays: pieces of two neighbouring bytes, base, cells and the pieces of ids."""
+        names: list[bytes | None] = [None] * self.size
+        for piece, rank in self.ranks.items():
+            names[rank] = piece
+        alone = [self.ranks[bytes([i])] for i in range(256)]
+        first = [self.ranks.get(bytes([i, j]), NO_RANK) << 42 | alone[i] for i in range(256) for j in range(256)] + [NO_RANK << 42 | x for x in alone]
+        lists = {"v_first": (first, pa.int64()), "v_base": (self.base, pa.int32()), "v_cells": (self.cells, pa.int64()), "v_names": (names, pa.binary())}
+        return spark.createDataFrame(pa.table({x: pa.array([values], pa.list_(kind)) for x, (values, kind) in lists.items()}))
 
     def fold(self, word: Column) -> Column:
-        """The ids of one word, a byte array."""
-        return _let(F.hex(word), lambda w: _let(self.rank(w), lambda known: F.when(known < NO_RANK, F.array(known)).otherwise(self._merged(w))))
+        """The ids of one word, an array of its bytes, each times 256 with the next one added (the last: 65,536 added). The state is a list of pieces as numbers: the rank of the pair that
+        a piece makes with the next (NO_RANK: none) above 22 bits of its place above 20 bits of its id, so that the least
+        number is the leftmost pair of the lowest rank."""
 
-    def _merged(self, w: Column) -> Column:
-        n = (F.length(w) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(w, 2 * i + 1, F.lit(2)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: self.rank(F.substring(w, 2 * i + 1, F.lit(4))))).otherwise(F.array().cast("array<int>"))
+        def pair(a: Column, b: Column) -> Column:  # a null neighbour makes no pair
+            return F.least(F.get("v_cells", F.get("v_base", a.cast("int")) + b.cast("int")).bitwiseXOR(F.shiftleft(a, 20)), F.lit(NO_RANK).cast("long"))
 
-        def step(s: Column, _: Column) -> Column:
-            return _let(F.array_min(s["r"]), lambda low: F.when(F.coalesce(low, F.lit(NO_RANK)) >= NO_RANK, s).otherwise(_let(F.array_position(s["r"], low).cast("int"), lambda i: join(s, i))))
+        def piece(rank: Column, place_and_id: Column) -> Column:
+            return F.shiftleft(rank, 42).bitwiseOR(place_and_id)
 
-        def join(s: Column, i: Column) -> Column:
-            p, r = s["p"], s["r"]
+        def number(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(NO_RANK - 1))
 
-            def put(one: Column) -> Column:
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), one)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i < F.size(r), F.array(self.rank(F.concat(one, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-                rest = F.greatest(F.size(r) - i - 1, F.lit(0))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(one), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, rest)).alias("r"),
-                )
+        def step(s: Column, _: Column) -> Column:
+            return _let(F.array_min(s), lambda low: F.when(low < F.lit(NO_RANK << 42), F.array_remove(F.transform(s, lambda x, i: join(s, x, i, low)), F.lit(-1).cast("long"))).otherwise(s))
 
-            return _let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
+        def join(s: Column, x: Column, i: Column, low: Column) -> Column:
+            new = F.shiftright(low, 42)
+            place = low.bitwiseAND(F.lit((1 << 42) - NO_RANK))
+            return (
+                F.when(x == low, piece(pair(new, number(F.get(s, i + 2))), place.bitwiseOR(new)))
+                .when(F.get(s, i + 1) == low, piece(pair(number(x), new), x.bitwiseAND(F.lit((1 << 42) - 1))))
+                .when(F.get(s, i - 1) == low, F.lit(-1).cast("long"))
+                .otherwise(x)
+            )
 
-        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], self.rank))
+        start = F.transform(word, lambda x, i: F.get("v_first", x).bitwiseOR(F.shiftleft(i.cast("long"), 20)))
+        return F.aggregate(word, start, step, lambda s: F.transform(s, lambda x: number(x).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their binary pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.names, i)), ""))
+        return F.aggregate(ids, F.lit(b""), lambda found, i: F.concat(found, F.get("v_names", i)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -140,60 +173,96 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in piece if x is not None]
 
 
-BATCH = "doc_ids array<long>, counts array<int>, units binary, unit_sizes binary, unit_words binary, words array<binary>"
-_BATCH = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("units", pa.binary()), ("unit_sizes", pa.binary()), ("unit_words", pa.binary()), ("words", pa.list_(pa.binary()))])
+BATCH = "doc_ids array<long>, counts array<int>, numbers binary, known int, words array<array<int>>, apart_at array<int>, apart array<binary>"
+_BATCH = pa.schema([("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary()), ("known", pa.int32()), ("words", pa.list_(pa.list_(pa.int32()))), ("apart_at", pa.list_(pa.int32())), ("apart", pa.list_(pa.binary()))])
+
+
+class _Units(dict):
+    """What stands between two safe cuts at spaces, and its words' numbers as bytes. The pattern takes a space and ASCII letters
+    as one word, and a mark after them as another."""
+
+    def __init__(self, find, words: dict[str, int]):
+        super().__init__()
+        self.find, self.words = find, words
+
+    def numbers(self, found: list[str]) -> bytes:
+        words = self.words
+        return array("i", [words.setdefault(x, len(words)) for x in found]).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        text = " " + unit
+        if unit.isascii() and unit.isalpha():
+            found = [text]
+        elif unit.isascii() and unit[-1:] in _MARKS and unit[:-1].isalpha():
+            found = [text[:-1], unit[-1]]
+        else:
+            found = self.find(text)
+        self[unit] = numbers = self.numbers(found)
+        return numbers
 
 
-def word_batches(docs: DataFrame, pattern: str, batch_chars: int) -> DataFrame:
-    """One row for each batch of documents. Units (what stands between safe cuts at spaces) are numbered so that the
-    pattern runs over each distinct unit once; a unit is the list of its words' numbers."""
+def word_batches(docs: DataFrame, pattern: str, batch_chars: int, longest: int, unmerged: set[bytes], most: int = 400_000, most_units: int = 250_000) -> DataFrame:
+    """One row for each batch of documents: the numbers of their words, how many words the task knew before it, and the new
+    ones. Words that are not to be folded stand in ``apart`` and leave an empty array in ``words``. The pattern runs over
+    each distinct unit about once."""
     spelled = portable(pattern)
 
     def of(batches: Iterator[pa.RecordBatch]):
         import regex
 
         find = regex.compile(spelled).findall
-        keys, counts, numbers, known, size = [], [], [], {}, 0
+        words: dict[str, int] = {}
+        units, keys, counts, numbers, known, size = _Units(find, words), [], [], [], 0, 0
 
         def row():
-            words: dict[str, int] = {}
-            sizes, flat = [], []
-            for unit in known:
-                found = find(unit)
-                sizes.append(len(found))
-                flat.extend(words.setdefault(x, len(words)) for x in found)
-            one = {"doc_ids": [keys], "counts": [counts], "units": [np.concatenate(numbers).tobytes()], "unit_sizes": [np.array(sizes, "<i4").tobytes()], "unit_words": [np.array(flat, "<i4").tobytes()], "words": [[x.encode() for x in words]]}
-            return pa.RecordBatch.from_pydict(one, _BATCH)
+            new = [x.encode() for x in islice(words, known, None)]
+            apart = [i for i, x in enumerate(new) if len(x) > longest or x in unmerged]
+            kept = [new[i] for i in apart]
+            for i in apart:
+                new[i] = b""
+            ends = np.zeros(len(new) + 1, np.int32)
+            np.cumsum(np.fromiter(map(len, new), np.int32, len(new)), out=ends[1:])
+            flat = np.frombuffer(b"".join(new), np.uint8).astype(np.int32)
+            codes = flat << 8
+            codes[:-1] |= flat[1:]
+            last = ends[1:][ends[1:] > ends[:-1]] - 1
+            codes[last] = flat[last] + (1 << 16)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)))
+            one = [[keys], [counts], [b"".join(numbers)], [known], lists, [apart], [kept]]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(one, _BATCH.types, strict=True)], schema=_BATCH)
 
         for batch in batches:
             for key, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = x.as_py() or ""
                 head, *rest = text.split(" ") if _DIVIDED.search(text) is None else _CUT.split(text)
-                parts = [head, *(" " + y for y in rest)]
-                keys.append(key), counts.append(len(parts))
-                for y in parts:
-                    if y not in known:
-                        known[y] = len(known)
-                numbers.append(np.fromiter(map(known.__getitem__, parts), "<i4", len(parts)))
+                found = units.numbers(find(head)) + b"".join(map(units.__getitem__, rest))
+                keys.append(key), counts.append(len(found) // 4), numbers.append(found)
                 size += len(text)
                 if size >= batch_chars:
                     yield row()
-                    keys, counts, numbers, known, size = [], [], [], {}, 0
+                    keys, counts, numbers, known, size = [], [], [], len(words), 0
+                    if len(words) >= most:
+                        words.clear(), units.clear()
+                        known = 0
+                if len(units) >= most_units:
+                    units.clear()
         if keys:
             yield row()
 
     return docs.select("doc_id", "text").mapInArrow(of, BATCH)
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_chars: int = 5_000_000, longest: int = 200) -> DataFrame:
-    """Each batch row with ids and decoded bytes of its distinct words (null for words longer than ``longest``)."""
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, batch_chars: int = 5_000_000, longest: int = 200, most: int = 400_000) -> DataFrame:
+    """Each batch row with ids and decoded bytes of its new words (empty for those in ``apart``)."""
     vocabulary = Vocabulary(ranks)
-    short = F.transform("words", lambda w: F.when(F.octet_length(w) <= longest, vocabulary.fold(w)))
-    folded = word_batches(docs, pattern, batch_chars).withColumn("ids", short)
-    return folded.withColumn("decoded", F.transform("ids", lambda x: F.when(x.isNotNull(), vocabulary.decode(x))))
+    batches = word_batches(docs, pattern, batch_chars, longest, vocabulary.apart(), most)
+    folded = batches.crossJoin(F.broadcast(vocabulary.row(docs.sparkSession))).withColumn("ids", F.transform("words", vocabulary.fold))
+    kept = [x for x in batches.columns if x != "words"]
+    return folded.withColumn("decoded", F.transform("ids", vocabulary.decode)).select(*kept, "ids", "decoded")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def digests(batches_: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -201,36 +270,33 @@ def digests(batches_: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = batches_.sparkSession.sparkContext.broadcast(ranks)
 
     def of(batches: Iterator[pa.RecordBatch]):
-        pieces = None
+        pieces = {v: k for k, v in shared.value.items()}
+        digits = {i: str(i).encode() for i in pieces}
+        written: list[bytes] = []
+        decoded: list[bytes] = []
         for batch in batches:
             for r in range(len(batch)):
                 row = {x: batch.column(x)[r] for x in batch.schema.names}
-                ids, decoded = row["ids"].as_py(), row["decoded"].as_py()
-                for i, x in enumerate(ids):
-                    if x is None:
-                        pieces = pieces or {v: k for k, v in shared.value.items()}
-                        ids[i] = merge_long(row["words"][i].as_py(), shared.value)
-                        decoded[i] = b"".join(map(pieces.__getitem__, ids[i]))
-                written = [",".join(map(str, x)).encode() for x in ids]
-                sizes, flat = np.frombuffer(row["unit_sizes"].as_py(), "<i4"), np.frombuffer(row["unit_words"].as_py(), "<i4").tolist()
-                unit_ids, unit_bytes, unit_n, at = [], [], [], 0
-                for size in sizes.tolist():
-                    if size == 1:
-                        w = flat[at]
-                        unit_ids.append(written[w]), unit_bytes.append(decoded[w]), unit_n.append(len(ids[w]))
-                    else:
-                        ws = flat[at : at + size]
-                        unit_ids.append(b",".join([written[w] for w in ws])), unit_bytes.append(b"".join([decoded[w] for w in ws])), unit_n.append(sum(len(ids[w]) for w in ws))
-                    at += size
-                units, tokens = np.frombuffer(row["units"].as_py(), "<i4"), np.array(unit_n, np.int64)
-                out, at = [], 0
+                known = row["known"].as_py()
+                if known == 0:
+                    written, decoded = [], []
+                elif known != len(written):
+                    raise ValueError("rows of encoded() have to stay in their tasks and in order")
+                ids = row["ids"].values
+                ends, flat = ids.offsets.to_numpy(), [*map(digits.__getitem__, ids.flatten().to_pylist())]
+                written += [b",".join(flat[a:b]) for a, b in pairwise((ends - ends[0]).tolist())]
+                decoded += row["decoded"].values.to_pylist()
+                for i, word in zip(row["apart_at"].as_py(), row["apart"].as_py(), strict=True):
+                    found = merge_long(word, shared.value)
+                    written[known + i] = b",".join(map(digits.__getitem__, found))
+                    decoded[known + i] = b"".join(map(pieces.__getitem__, found))
+                numbers, out, at = np.frombuffer(row["numbers"].as_py(), "<i4"), [], 0
                 for key, count in zip(row["doc_ids"].as_py(), row["counts"].as_py(), strict=True):
-                    mine = units[at : at + count]
+                    mine = numbers[at : at + count].tolist()
                     at += count
-                    listed = mine.tolist()
-                    text = b",".join([x for i in listed if (x := unit_ids[i])])
-                    out.append((key, int(tokens[mine].sum()), hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([unit_bytes[i] for i in listed])).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    text = b",".join(map(written.__getitem__, mine))
+                    out.append((key, text.count(b",") + 1 if mine else 0, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, mine))).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _DIGESTS.types, strict=True)], schema=_DIGESTS)
 
     return batches_.mapInArrow(of, DIGESTS)
 

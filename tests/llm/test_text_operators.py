@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from paneloom.llm import binary_ids, bpe, chunking, classifier, html_text, near_copies, packing, quality_rules, sharding, simhash, url_filter
@@ -465,6 +466,26 @@ def test_bpe_is_tiktokens(spark, frame):
         assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id] or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most", [400_000, 7])
+def test_bpe_folds_a_word_once_in_a_task(spark, most):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b" a": 257, b"bc": 258, b" ab": 259, b"abcd": 260, b"xyz": 261, b"aa": 262, b"aaa": 263}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = ["abc ab, ab abcd", None, "xyz xyz abcabc abcd", "ab, abc aaaa aaaaa don't \u00e9\u00e9 \u00e9", " aaaaab xyz", "abc  ab\n abc!"] * 3
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    batches = bpe.encoded(docs, ranks, P.PATTERN, batch_chars=30, longest=6, most=most)
+    if most > 7:
+        distinct = {w for x in rows for w in regex.findall(P.PATTERN, x or "")}
+        assert batches.count() > 3 and batches.selectExpr("sum(size(ids)) AS n").first().n == len(distinct)
+    got = bpe.digests(batches, ranks).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = own.encode_ordinary(rows[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id] or "").encode()).hexdigest()
+
+
 def test_long_words_merge_alike():
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     import tiktoken
